@@ -1,0 +1,16 @@
+"""Size checks that decide how a small table is used."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a table holds no more than so many rows; reads at most one row beyond that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast hint only behind a row count; a larger table is left to a shuffled join."""
+    return F.broadcast(df) if at_most(df, rows) else df
