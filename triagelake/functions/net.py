@@ -17,7 +17,7 @@ def is_ipv4(text: Column) -> Column:
 
 
 def octet(ip: Column, n: int) -> Column:
-    return F.element_at(F.split(ip, r"\."), n).try_cast("int")
+    return F.get(F.split(ip, r"\."), F.lit(n - 1)).try_cast("int")
 
 
 def url_host(url: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.once import computed
+
 _NAMED = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&apos;": "'"}
 _PIECES = r"(&(?:lt|gt|amp|quot|apos|#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8});|[^&]+|&)"
 
@@ -33,30 +35,27 @@ def with_payload(events: DataFrame) -> DataFrame:
     Done once at ingest; the detections then read map keys instead of parsing again.
     """
     pattern = r'<Data Name="([^"]*)">([^<]*)</Data>'
-    names = F.regexp_extract_all("payload_xml", F.lit(pattern), 1)
-    values = F.regexp_extract_all("payload_xml", F.lit(pattern), 2)
-    return (
-        events.withColumn("_n", names)
-        .withColumn("_v", values)
-        .withColumn("_k", F.array_distinct("_n"))
-        .withColumn(
-            "payload",
-            F.map_from_arrays(
-                "_k",
-                F.transform(
-                    "_k",
-                    lambda k: decode_entities(F.element_at(F.col("_v"), F.array_position(F.col("_n"), k).cast("int"))),
-                ),
-            ),
-        )
-        .drop("_n", "_v", "_k")
+    cut = computed(
+        events,
+        _n=F.regexp_extract_all("payload_xml", F.lit(pattern), 1),
+        _v=F.regexp_extract_all("payload_xml", F.lit(pattern), 2),
     )
+    keys = F.array_distinct("_n")
+
+    def value(k: Column) -> Column:
+        return decode_entities(F.element_at(F.col("_v"), F.array_position(F.col("_n"), k).cast("int")))
+
+    return computed(cut, payload=F.map_from_arrays(keys, F.transform(keys, value))).drop("_n", "_v")
 
 
-def data(events: DataFrame, name: str) -> Column:
-    """Payload field of the row; empty or missing gives null."""
+def with_fields(events: DataFrame, **fields: str) -> DataFrame:
+    """Adds payload fields as columns (column name = field name); empty or missing gives null.
+
+    Reads the parsed map when there is one, else cuts each field out of the text once.
+    """
     if "payload" in events.columns:
-        value = F.element_at("payload", F.lit(name))
-    else:
-        value = decode_entities(F.regexp_extract("payload_xml", f'<Data Name="{name}">([^<]*)</Data>', 1))
-    return F.when(value != "", value)
+        return computed(events, **{c: F.nullif(F.element_at("payload", F.lit(n)), F.lit("")) for c, n in fields.items()})
+    raw = {c: F.regexp_extract("payload_xml", f'<Data Name="{n}">([^<]*)</Data>', 1).alias(f"_{c}") for c, n in fields.items()}
+    cut = events.select("*", *raw.values())
+    out = computed(cut, **{c: F.nullif(decode_entities(F.col(f"_{c}")), F.lit("")) for c in fields})
+    return out.drop(*[f"_{c}" for c in fields])

@@ -1,0 +1,20 @@
+"""Cutting the plan of an intermediate result that several later steps read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes the rows to the reliable checkpoint folder and goes on from there.
+
+    The folder is the cluster's `spark.checkpoint.dir`; only where none is set, as in
+    local tests, a temporary one is made. The files outlive a lost executor.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="triagelake-"))
+    return df.checkpoint()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.once import computed
+
 GRAM = 8
 CHUNK = 64
 
@@ -60,7 +62,7 @@ def substring_pairs(rows: DataFrame, text: str, needles: DataFrame, max_seeds: i
     for r in known:
         by_width.setdefault(r["width"], []).append(r["gram"])
     small = len(known) <= max_seeds
-    chunks = _chunks(F.col(text))
+    chunks = F.col("_chunks")
 
     def wanted(pieces: Column, grams: list[str]) -> Column:
         return F.filter(pieces, lambda p: p.isin(grams)) if small else pieces
@@ -72,11 +74,11 @@ def substring_pairs(rows: DataFrame, text: str, needles: DataFrame, max_seeds: i
         by_width = {n: [] for n in range(1, GRAM + 1)}
     found = F.array_distinct(F.flatten(F.transform(chunks, cut)))
     if small:
-        flagged = rows.withColumn("_grams", found).filter(F.size("_grams") > 0)
+        flagged = computed(computed(rows, _chunks=_chunks(F.col(text))), _grams=found).drop("_chunks").filter(F.size("_grams") > 0)
         pairs = flagged.withColumn("gram", F.explode("_grams")).drop("_grams").join(F.broadcast(picked.select("needle", "gram")), "gram").drop("gram")
         return pairs.filter(F.contains(F.col(text), F.col("needle"))).join(F.broadcast(needles), "needle")
     ident = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in rows.columns]))
     keyed = rows.withColumn("_id", ident)
-    cand = keyed.select("_id", F.explode(found).alias("gram")).join(picked.select("needle", "gram"), "gram").select("_id", "needle").distinct()
+    cand = computed(keyed, _chunks=_chunks(F.col(text))).select("_id", F.explode(found).alias("gram")).join(picked.select("needle", "gram"), "gram").select("_id", "needle").distinct()
     pairs = keyed.join(cand, "_id").drop("_id").filter(F.contains(F.col(text), F.col("needle")))
     return pairs.join(needles, "needle")

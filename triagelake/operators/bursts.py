@@ -14,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.ordered import carry_last, carry_next, first_n, running_sum
+from triagelake.functions.ordered import carry_last, first_n, running_sum, sample_lists
+from triagelake.functions.settle import settle
 
 
 def _bucketed(df: DataFrame, ts: str, window_s: float) -> DataFrame:
-    return df.withColumn("_us", F.unix_micros(ts)).withColumn("_bucket", F.floor(F.col("_us") / int(window_s * 1_000_000)))
+    return df.withColumn("_us", F.unix_micros(ts)).withColumn("_bucket", F.call_function("div", F.col("_us"), F.lit(int(window_s * 1_000_000))))
 
 
 def first_count_burst(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], k: int, window_s: float) -> DataFrame:
@@ -27,7 +28,7 @@ def first_count_burst(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence
     Adds `burst_pos` (1..k). Keys with no burst give no rows.
     """
     order = ["_us", *tie]
-    few = first_n(_bucketed(df, ts, window_s), [*keys, "_bucket"], order, k).drop("_rank")
+    few = settle(first_n(_bucketed(df, ts, window_s), [*keys, "_bucket"], order, k).drop("_rank"))
     w = Window.partitionBy(*keys).orderBy(*order)
     span = F.col("_us") - F.lag("_us", k - 1).over(w)
     ranked = few.withColumn("_span", span).withColumn("_seq", F.row_number().over(w))
@@ -50,12 +51,12 @@ def first_distinct_burst(
     """
     width = int(window_s * 1_000_000)
     pos = F.struct("_us", *tie)
+    base = settle(_bucketed(df, ts, window_s).select(*keys, value, *tie, "_us", "_bucket"))
     per_value = (
-        _bucketed(df, ts, window_s)
-        .groupBy(*keys, "_bucket", value)
+        base.groupBy(*keys, "_bucket", value)
         .agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
     )
-    few = first_n(per_value, [*keys, "_bucket"], ["_first"], k).drop("_rank")
+    few = settle(first_n(per_value, [*keys, "_bucket"], ["_first"], k).drop("_rank"))
     # A candidate end is a value's first row in its bucket; the window behind it reaches
     # at most one bucket back, so each row is also offered to the next bucket.
     here = few.select(*keys, F.col("_bucket").alias("_b"), value, "_first", "_last", F.lit(0).alias("_back"))
@@ -68,7 +69,7 @@ def first_distinct_burst(
     full = covered.groupBy(*keys, "_b", "_end").agg(F.count_distinct(value).alias("_n")).filter(F.col("_n") >= k)
     chosen = full.groupBy(*keys).agg(F.min(F.struct("_end", "_b")).alias("_hit")).select(*keys, "_hit._end", "_hit._b")
     # Exact start of the window: the earliest row of the key not older than the width.
-    rows = _bucketed(df, ts, window_s).join(chosen, list(keys))
+    rows = base.join(chosen, list(keys))
     inside = rows.filter((F.col("_us") >= F.col("_end._us") - width) & (F.struct("_us", *tie) <= F.col("_end")))
     firsts = inside.groupBy(*keys, value).agg(
         F.min(pos).alias("_p"), F.min("_us").alias("_lo"), F.max("_end._us").alias("_hi")
@@ -96,23 +97,27 @@ def first_spread_burst(
     A row with a null value counts as a row but not as a value. The number of rows and of
     distinct values in the trailing window is a sweep line: +1 where a row (or a value not
     seen within the window) enters, -1 where it expires. Two running sums, no self-join.
-    Output per key: first_us, last_us, n_values, n_rows.
+    Output per key: first_us, last_us, n_values, n_rows, sample (first eight values by name).
     """
     width = int(window_s * 1_000_000)
+    shard = int(shard_s * 1_000_000)
     base = df.select(*keys, F.col(value).alias("_val"), F.unix_micros(ts).alias("_us"), *[F.col(t) for t in tie])
-    base = base.withColumn("_shard", F.floor(F.col("_us") / int(shard_s * 1_000_000)))
-    valued = base.filter(F.col("_val").isNotNull())
-    vkeys, order = [*keys, "_val"], ["_us", *tie]
-    near = carry_last(valued, vkeys, "_shard", order, {"_prev": F.col("_us")}, inclusive=False)
-    near = carry_next(near, vkeys, "_shard", order, {"_next": F.col("_us")})
-    fresh = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > width)
-    gone = F.col("_next").isNull() | (F.col("_next") - F.col("_us") > width)
-    marked = near.select(*keys, "_us", *tie, fresh.cast("long").alias("_in"), gone.cast("long").alias("_out"))
-    nulls = base.filter(F.col("_val").isNull()).select(*keys, "_us", *tie, F.lit(0).cast("long").alias("_in"), F.lit(0).cast("long").alias("_out"))
-    rows = marked.unionByName(nulls)
-    enter = rows.select(*keys, "_us", F.lit(0).alias("_kind"), *tie, F.lit(1).alias("_rows"), F.col("_in").alias("_vals"))
-    leave = rows.select(*keys, (F.col("_us") + width).alias("_us"), F.lit(1).alias("_kind"), *tie, F.lit(-1).alias("_rows"), (-F.col("_out")).alias("_vals"))
-    sweep = enter.unionByName(leave).withColumn("_shard", F.floor(F.col("_us") / int(shard_s * 1_000_000)))
+    base = settle(base.withColumn("_shard", F.call_function("div", F.col("_us"), F.lit(shard))))
+    near = carry_last(base.filter(F.col("_val").isNotNull()), [*keys, "_val"], "_shard", ["_us", *tie], {"_prev": F.col("_us")}, inclusive=False)
+    known = F.coalesce(F.col("_us") - F.col("_prev") <= width, F.lit(False))
+    nulls = base.filter(F.col("_val").isNull()).withColumn("_prev", F.lit(None).cast("bigint"))
+    rows = settle(near.unionByName(nulls).select(*keys, "_us", *tie, "_prev", known.alias("_known"), F.col("_val").isNotNull().cast("int").alias("_is")))
+
+    def step(at: Column, kind: int, n_rows: Column, n_values: Column, keep: Column | None = None) -> DataFrame:
+        part = rows if keep is None else rows.filter(keep)
+        return part.select(*keys, at.alias("_us"), F.lit(kind).alias("_kind"), *tie, n_rows.alias("_rows"), n_values.alias("_vals"))
+
+    new = F.col("_is") * (~F.col("_known")).cast("int")
+    enter = step(F.col("_us"), 0, F.lit(1), new)
+    leave = step(F.col("_us") + width, 1, F.lit(-1), -F.col("_is"))
+    # A value seen again within the window does not expire with its earlier row.
+    renew = step(F.col("_prev") + width, 1, F.lit(0), F.lit(1), F.col("_known"))
+    sweep = enter.unionByName(leave).unionByName(renew).withColumn("_shard", F.call_function("div", F.col("_us"), F.lit(shard)))
     summed = running_sum(
         sweep, keys, "_shard", ["_us", "_kind", *tie], {"n_rows": F.col("_rows"), "n_values": F.col("_vals")}
     )
@@ -120,10 +125,13 @@ def first_spread_burst(
         (F.col("_kind") == 0) & (F.col("n_values") >= k) & (F.col("n_rows") <= F.col("n_values") * max_per_value)
     )
     best = passing.groupBy(*keys).agg(F.min(F.struct("_us", *tie, "n_values", "n_rows")).alias("_hit"))
-    hit = best.select(*keys, F.col("_hit._us").alias("last_us"), F.col("_hit.n_values"), F.col("_hit.n_rows"))
+    hit = settle(best.select(*keys, F.col("_hit._us").alias("last_us"), F.col("_hit.n_values"), F.col("_hit.n_rows")))
     starts = base.join(hit, list(keys)).filter(F.col("_us").between(F.col("last_us") - width, F.col("last_us")))
-    lows = starts.groupBy(*keys).agg(F.min("_us").alias("first_us"))
-    return hit.join(lows, list(keys)).select(*keys, "first_us", "last_us", "n_values", "n_rows")
+    found = starts.groupBy(*keys).agg(
+        F.min("_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("n_values").alias("n_values"), F.max("n_rows").alias("n_rows"),
+    )
+    names = starts.filter(F.col("_val").isNotNull()).select(*keys, "_val").distinct()
+    return found.join(sample_lists(names, keys, ["_val"], "_val", 8, "sample"), list(keys), "left")
 
 
 def largest_window(df: DataFrame, keys: Sequence[str], ts: str, k: int, window_s: float, extra: Column | None = None) -> DataFrame:
@@ -141,7 +149,7 @@ def largest_window(df: DataFrame, keys: Sequence[str], ts: str, k: int, window_s
         .groupBy(*keys, "_us")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    own = counts.withColumn("_bucket", F.floor(F.col("_us") / span)).withColumn("_own", F.lit(True))
+    own = counts.withColumn("_bucket", F.call_function("div", F.col("_us"), F.lit(span))).withColumn("_own", F.lit(True))
     lent = own.withColumn("_bucket", F.col("_bucket") + 1).withColumn("_own", F.lit(False))
     frame = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-width, 0)
     sums = own.unionByName(lent).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.payload import data
+from triagelake.functions.payload import with_fields
 from triagelake.operators.findings import C2, CRITICAL, EXPLOIT, HIGH, MEDIUM, findings, text, union
 from triagelake.operators.ioc import KIND_LABELS
 
@@ -46,7 +46,7 @@ def host_source_ips(t) -> DataFrame:
     """Remote logon sources, once per host."""
     ssh = t["auth_log"].filter("kind = 'sshAccepted'").select("host_id", F.col("source_ip").alias("ip"))
     logons = t["events"].filter("event_id IN (4624, 4625)")
-    win = logons.select("host_id", data(logons, "IpAddress").alias("ip"))
+    win = with_fields(logons, ip="IpAddress").select("host_id", "ip")
     return ssh.unionByName(win).filter(~F.col("ip").isin("", "-", "::1", "127.0.0.1")).distinct()
 
 

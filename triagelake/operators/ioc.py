@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.payload import data, decode_entities
+from triagelake.functions.once import computed
+from triagelake.functions.payload import decode_entities, with_fields
 from triagelake.functions.sizing import broadcast_if_small
 from triagelake.functions.substring import substring_pairs
 from triagelake.operators.cross_platform import full_path
@@ -73,7 +74,7 @@ def match(t, iocs: DataFrame | None = None, span: int = 80) -> DataFrame:
 
     ev = t["events"]
     logon = ev.filter("event_id IN (4624, 4625)")
-    logon = logon.withColumn("ip", F.lower(data(logon, "IpAddress"))).filter("ip IS NOT NULL")
+    logon = with_fields(logon, _ip="IpAddress").withColumn("ip", F.lower("_ip")).filter("ip IS NOT NULL")
     addresses = needles.filter("ioc_kind = 'ip'").select(F.col("needle").alias("ip")).distinct()
     structured = logon.join(broadcast_if_small(addresses), "ip").select(
         "host_id",
@@ -83,9 +84,8 @@ def match(t, iocs: DataFrame | None = None, span: int = 80) -> DataFrame:
         text("Structured logon source ", F.col("ip")).alias("context"),
         F.col("written_at").alias("timestamp"),
     )
-    payload = ev.select(
-        "host_id", "event_id", "record_number", "channel", "source_file", "written_at", F.lower(decode_entities(F.col("payload_xml"))).alias("hay")
-    ).filter("hay <> ''")
+    keep_ev = ["host_id", "event_id", "record_number", "channel", "source_file", "written_at"]
+    payload = computed(ev.select(*keep_ev, "payload_xml"), hay=F.lower(decode_entities(F.col("payload_xml")))).drop("payload_xml").filter("hay <> ''")
     hit = _matched(payload, needles)
     start = F.greatest(F.lit(1), F.col("at") - span)
     stop = F.col("at") + F.length("needle") + span

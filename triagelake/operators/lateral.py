@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.payload import data
+from triagelake.functions.payload import with_fields
 from triagelake.operators.windows import trimmed
 
 REMOTE_TYPES = ["3", "7", "8", "10"]
 
 
 def remote_logons(events: DataFrame) -> DataFrame:
-    rows = events.filter("event_id IN (4624, 4625)")
-    station, ip = trimmed(data(rows, "WorkstationName")), trimmed(data(rows, "IpAddress"))
+    rows = with_fields(events.filter("event_id IN (4624, 4625)"), _station="WorkstationName", _ip="IpAddress", user="TargetUserName", type="LogonType")
+    station, ip = trimmed(F.col("_station")), trimmed(F.col("_ip"))
     source = F.when(~station.isin("", "-"), station).when(~ip.isin("", "-", "::1", "0.0.0.0", "127.0.0.1"), ip)
     rows = rows.select(
         "written_at",
         source.alias("source"),
         F.col("computer").alias("target"),
         (F.col("event_id") == 4625).alias("failed"),
-        data(rows, "TargetUserName").alias("user"),
-        data(rows, "LogonType").alias("type"),
+        "user",
+        "type",
     )
     return rows.filter(F.col("type").isin(REMOTE_TYPES) & (F.col("target") != "") & F.col("source").isNotNull() & (F.col("source") != F.col("target")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.once import computed
 from triagelake.functions.payload import decode_entities
 from triagelake.operators.cross_platform import full_path
 from triagelake.operators.findings import PHASES, text, union
@@ -57,10 +58,11 @@ def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame
         f, "file", F.col("name"), F.col("parent_path"), F.when(name.isNotNull(), path).otherwise(excerpt(path, needle)),
         F.coalesce(name, F.when(F.lower(path).contains(needle), body)), text(F.col("id"), "|", path),
     )
-    e = t["events"]
-    payload = decode_entities(F.col("payload_xml"))
+    e = computed(t["events"], _text=decode_entities(F.col("payload_xml")))
+    e = computed(e, _flat=squeeze(F.col("_text")))
+    payload = F.col("_text")
     best = F.greatest(identifier_score(F.col("channel"), needle), identifier_score(F.col("provider"), needle), identifier_score(F.col("event_id").cast("string"), needle))
-    flat = squeeze(payload)
+    flat = F.col("_flat")
     events = _hits(
         e, "event", text(F.col("channel"), " — Event ", F.col("event_id")), F.when(F.col("provider") == "", F.col("computer")).otherwise(F.col("provider")),
         F.when(F.lower(flat).contains(needle), excerpt(flat, needle)).otherwise(F.substring(flat, 1, 120)),

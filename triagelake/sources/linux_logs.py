@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.once import computed
 from triagelake.functions.ordered import carry_last, carry_next, running_sum
 from triagelake.functions.text import contains_any
 from triagelake.operators.linux import word_after
@@ -69,7 +70,8 @@ def split_stamp(df: DataFrame) -> DataFrame:
     part = [F.regexp_extract(line, _CLASSIC, i) for i in range(1, 7)]
     classic = part[0].isin(MONTHS) & part[1].cast("int").between(1, 31)
     stamp = yearless(part[0], part[1], part[2:5], F.col("anchor"))
-    return df.select("*", F.when(iso.isNotNull(), iso).when(classic, stamp).alias("timestamp"), F.when(iso.isNotNull(), iso_rest).when(classic, part[5]).alias("rest")).filter("rest IS NOT NULL")
+    when = F.when(iso.isNotNull(), iso).when(classic, stamp)
+    return computed(df, timestamp=when, rest=F.when(iso.isNotNull(), iso_rest).when(classic, part[5])).filter("rest IS NOT NULL")
 
 
 def syslog_lines(lines: DataFrame) -> DataFrame:
@@ -77,12 +79,12 @@ def syslog_lines(lines: DataFrame) -> DataFrame:
     df = split_stamp(lines)
     tail = r"^ *([^ ]+) ([^:]*):(.*)$"
     tag = F.regexp_extract("rest", tail, 2)
-    df = df.select(
-        *lines.columns, "timestamp",
-        F.regexp_extract("rest", tail, 1).alias("host"),
-        F.regexp_extract(tag, r"^([^\[]*)", 1).alias("process"),
-        F.regexp_extract(tag, r"\[([^\]]*)\]?$", 1).try_cast("bigint").alias("pid"),
-        strip(F.regexp_extract("rest", tail, 3)).alias("message"),
+    df = computed(
+        df,
+        host=F.regexp_extract("rest", tail, 1),
+        process=F.regexp_extract(tag, r"^([^\[]*)", 1),
+        pid=F.regexp_extract(tag, r"\[([^\]]*)\]?$", 1).try_cast("bigint"),
+        message=strip(F.regexp_extract("rest", tail, 3)),
     )
     return df.filter("process <> '' AND message <> ''")
 
@@ -109,7 +111,7 @@ def auth_log(lines: DataFrame) -> DataFrame:
         .when(~added & ~sudo & closed, "sessionClosed")
         .otherwise("other")
     )
-    df = df.withColumn("kind", kind)
+    df = computed(df, kind=kind)
     k = F.col("kind")
     failed_user = F.when(m.contains(" for invalid user "), word_after(" for invalid user ", m)).otherwise(word_after(" for ", m))
     user = (
@@ -178,7 +180,7 @@ def system_log(lines: DataFrame) -> DataFrame:
         .when(systemd & low.startswith("started "), "serviceStarted")
         .when(systemd & low.startswith("stopped "), "serviceStopped")
     )
-    df = df.withColumn("category", category).filter("category IS NOT NULL")
+    df = computed(df, category=category).filter("category IS NOT NULL")
     cat = F.col("category")
     command = F.regexp_replace(F.regexp_extract(m, r"(?s)CMD \((.*)$", 1), r"\)$", "")
     unit = extract(m, r"(?:^|[ :])([^ :]*\.(?:service|timer|mount|socket))(?=[ :]|$)")
@@ -207,7 +209,7 @@ def _request(target: Column) -> tuple[Column, Column]:
 
 def _combined(df: DataFrame, line: Column) -> DataFrame:
     """Adds the parsed fields of a combined/common line as struct `web`, null when it is none."""
-    df = df.withColumn("_f", _clf_fields(line))
+    df = computed(df, _f=_clf_fields(line))
     f = lambda i: F.get("_f", F.lit(i))
     words = F.filter(F.split(f(4), " "), lambda w: w != "")
     target = F.coalesce(F.get(words, F.lit(1)), F.lit(""))
@@ -226,7 +228,7 @@ def _combined(df: DataFrame, line: Column) -> DataFrame:
         absent(7).alias("referer"),
         absent(8).alias("user_agent"),
     )
-    return df.withColumn("web", F.when(ok, web)).drop("_f")
+    return computed(df, web=F.when(ok, web)).drop("_f")
 
 
 def web_log(lines: DataFrame, server: str = "unknown") -> DataFrame:
@@ -318,13 +320,15 @@ def audit_records(lines: DataFrame) -> DataFrame:
     pattern = r"""([^ =]+)=("[^"]*(?:"|$)|'[^']*(?:'|$)|[^ ]*)"""
     keys = F.regexp_extract_all(body, F.lit(pattern), 1)
     values = F.regexp_extract_all(body, F.lit(pattern), 2)
-    df = lines.filter(line.rlike(head)).select(
-        *FILE, *ORDER, F.regexp_extract(line, head, 1).alias("type"), F.regexp_extract(line, head, 2).try_cast("double").alias("epoch"),
-        F.regexp_extract(line, head, 3).try_cast("bigint").alias("serial"), keys.alias("_k"), values.alias("_v"),
-    ).filter("serial IS NOT NULL")
+    df = computed(
+        lines.filter(line.rlike(head)).select(*FILE, *ORDER, "line"),
+        type=F.regexp_extract(line, head, 1), epoch=F.regexp_extract(line, head, 2).try_cast("double"),
+        serial=F.regexp_extract(line, head, 3).try_cast("bigint"), _k=keys, _v=values,
+    ).drop("line").filter("serial IS NOT NULL")
     # The last value of a key wins.
     last = lambda k: F.element_at(F.col("_v"), (F.size("_k") - F.array_position(F.reverse("_k"), k) + 1).cast("int"))
-    return df.withColumn("_u", F.array_distinct("_k")).withColumn("fields", F.map_from_arrays("_u", F.transform("_u", last))).drop("_k", "_v", "_u")
+    keys = F.array_distinct("_k")
+    return computed(df, fields=F.map_from_arrays(keys, F.transform(keys, last))).drop("_k", "_v")
 
 
 def _argv(fields: Column) -> Column:
@@ -407,7 +411,7 @@ def audit_log(lines: DataFrame, by_serial: bool = False) -> DataFrame:
 
 # ---- Packages ---------------------------------------------------------------------------------
 def dpkg_log(lines: DataFrame) -> DataFrame:
-    df = lines.withColumn("w", F.filter(F.split("line", " "), lambda x: x != "")).filter(F.size("w") >= 4)
+    df = computed(lines, w=F.filter(F.split("line", " "), lambda x: x != "")).filter(F.size("w") >= 4)
     w = lambda i: F.get("w", F.lit(i))
     version = F.when(F.size("w") >= 6, w(5)).when(F.size("w") >= 5, w(4))
     df = df.filter(w(2).isin("install", "upgrade", "remove", "purge"))
