@@ -83,7 +83,7 @@ simple("external_rdp_logon", "events", src=ev(lt="LogonType", ip="IpAddress", us
        title=r"'RDP logon from external IP ' || ip || ' as ' || coalesce(dom || '\', '') || coalesce(usr, '(unknown)')", severity="3", phase="'delivery'", attack="'T1133'", ts="written_at")
 ORACLES["suspicious_powershell"] = f"""{cte('events')}, s AS (SELECT *, lower({fld('ScriptBlockText')}) sc FROM a_events WHERE event_id = 4104 AND contains(lower(channel), 'powershell')),
  n AS (SELECT *, {count_('sc', w.POWERSHELL_HIGH)} hi, {count_('sc', w.POWERSHELL_EVASION)} ev,
-  list_filter([{', '.join(f"CASE WHEN contains(sc, {q(t)}) THEN {q(t)} END" for t in w.POWERSHELL_HIGH + w.POWERSHELL_EVASION)}], x -> x IS NOT NULL) why FROM s WHERE sc IS NOT NULL)
+  list_filter([{', '.join(f"CASE WHEN contains(sc, {q(t)}) THEN {q(t)} END" for t in w.POWERSHELL_HIGH + w.POWERSHELL_EVASION)}], lambda x: x IS NOT NULL) why FROM s WHERE sc IS NOT NULL)
  SELECT host_id, 'Suspicious PowerShell scriptblock (' || array_to_string(why[1:6], ', ') || ')' AS title, CAST(CASE WHEN hi > 0 AND hi + ev >= 3 THEN 4 WHEN hi > 0 THEN 3 ELSE 2 END AS INT) AS severity, 'exploitation' AS phase, 'T1059.001' AS attack_id, epoch_us(written_at) AS ts_us FROM n WHERE hi > 0 OR ev >= 2"""
 PROC = f"""(SELECT host_id, event_id, written_at, record_number, computer, source_file, CASE WHEN event_id = 4688 THEN {fld('NewProcessName')} ELSE {fld('Image')} END image,
  CASE WHEN event_id = 4688 THEN {fld('ParentProcessName')} ELSE {fld('ParentImage')} END parent, {fld('CommandLine')} command FROM a_events WHERE event_id = 4688 OR (event_id = 1 AND contains(lower(channel), 'sysmon'))) p"""
@@ -202,17 +202,17 @@ add("browser_downloads", ["browser_history"], f"""SELECT host_id, 'Suspicious br
  (SELECT host_id, lower(coalesce(target_path, url)) k, bool_or({SH('host')}) bad, max(timestamp) last, arg_max(struct_pack(u := url, t := coalesce(target_path, ''), x := ext), {NEW.format('url')}) r FROM (SELECT *, {DX.format('coalesce(leaf, url)')} ext FROM {BH}) a WHERE kind = 'download' AND (ext IN {in_(x.DOWNLOAD_EXEC + x.DOWNLOAD_ARCHIVE)} OR {SH('host')}) GROUP BY 1, 2) g""")
 add("suspicious_hosts", ["browser_history"], f"""SELECT host_id, 'Browser activity to suspicious host: ' || host AS title, CASE WHEN count(*) FILTER (kind = 'download') > 0 THEN 3 ELSE 2 END AS severity, 'commandAndControl' AS phase, 'T1102' AS attack_id, max(timestamp) AS ts FROM {BH} WHERE host IS NOT NULL AND ({IP4.format('host')} OR {SH('host')}) GROUP BY host_id, host""")
 add("offensive_tools_browsed", ["browser_history"], f"""SELECT host_id, 'Offensive tool referenced in browser history: ' || tool AS title, 3 AS severity, 'weaponization' AS phase, 'T1588.002' AS attack_id, max(timestamp) AS ts FROM (SELECT *, {first_("lower(url || ' ' || coalesce(leaf, ''))", x.OFFENSIVE_TOOLS)} tool FROM {BH}) a WHERE tool IS NOT NULL GROUP BY host_id, tool""")
-LINES = f"(SELECT host_id, at, lower(line) low FROM (SELECT host_id, written_at at, trim({HAY}) line FROM {PROC} UNION ALL SELECT host_id, timestamp, command FROM a_shell_history) u WHERE line <> '') r"
+LINES = f"(SELECT host_id, seen, lower(line) low FROM (SELECT host_id, written_at seen, trim({HAY}) line FROM {PROC} UNION ALL SELECT host_id, timestamp, command FROM a_shell_history) u WHERE line <> '') r"
 REC = case_([(all_("low", t), q(lab)) for lab, t in x.RECOVERY_RULES])
-add("recovery_inhibition", ["events", "shell_history"], f"SELECT host_id, 'Inhibit System Recovery: ' || {REC} AS title, CASE WHEN {REC} IS NOT NULL THEN 4 END AS severity, 'actionsOnObjectives' AS phase, 'T1490' AS attack_id, at AS ts FROM {LINES}")
+add("recovery_inhibition", ["events", "shell_history"], f"SELECT host_id, 'Inhibit System Recovery: ' || {REC} AS title, CASE WHEN {REC} IS NOT NULL THEN 4 END AS severity, 'actionsOnObjectives' AS phase, 'T1490' AS attack_id, seen AS ts FROM {LINES}")
 WT = case_([(all_("low", t), q("Data destruction / disk wipe: " + lab)) for lab, t, a in x.WIPE_RULES] + [(all_("low", x.BOOT_SECTOR_TOKENS), q("Disk-structure overwrite (dd to boot sector)"))])
 WA = case_([(all_("low", t), q(a)) for lab, t, a in x.WIPE_RULES] + [(all_("low", x.BOOT_SECTOR_TOKENS), q("T1561.002"))])
-add("disk_wipe", ["events", "shell_history"], f"SELECT host_id, {WT} AS title, CASE WHEN {REC} IS NULL AND {WT} IS NOT NULL THEN 3 END AS severity, 'actionsOnObjectives' AS phase, {WA} AS attack_id, at AS ts FROM {LINES}")
+add("disk_wipe", ["events", "shell_history"], f"SELECT host_id, {WT} AS title, CASE WHEN {REC} IS NULL AND {WT} IS NOT NULL THEN 3 END AS severity, 'actionsOnObjectives' AS phase, {WA} AS attack_id, seen AS ts FROM {LINES}")
 add("mass_encryption", ["files", "usn", "mft"], f"""SELECT host_id, 'Possible mass file encryption: ' || count(DISTINCT nm) || ' files with extension ''.' || ext || '''' AS title, CASE WHEN count(DISTINCT nm) >= 25 THEN 4 END AS severity, 'actionsOnObjectives' AS phase, 'T1486' AS attack_id, NULL AS ts FROM (
  SELECT host_id, {EXT.format('name')} ext, lower(name) nm FROM a_files WHERE NOT is_directory AND NOT ends_with(name, '-slack') UNION ALL SELECT host_id, {EXT.format('file_name')}, lower(file_name) FROM a_usn WHERE NOT is_directory AND (reason_raw & 8448) <> 0
  UNION ALL SELECT host_id, {EXT.format('file_name')}, lower(file_name) FROM a_mft WHERE NOT is_directory AND file_name IS NOT NULL) u WHERE ext <> '' AND (ext IN {in_(x.RANSOM_EXTENSIONS)} OR ext NOT IN {in_(x.BULK_EXTENSIONS)}) GROUP BY host_id, ext""")
 NOTE = f"({any_('lower(name)', x.RANSOM_NOTES)} OR ((starts_with(lower(name), 'readme') OR contains(lower(name), 'read_me') OR contains(lower(name), 'read-me')) AND {any_('lower(name)', x.NOTE_INTENT)}))"
-add("ransom_notes", ["files"], f"SELECT host_id, 'Ransom note dropped: ' || r.n AS title, 3 AS severity, 'actionsOnObjectives' AS phase, 'T1486' AS attack_id, r.t AS ts FROM (SELECT host_id, lower(name) k, arg_min(struct_pack(n := name, t := coalesce(created, modified)), struct_pack(a := id, b := parent_path)) r FROM a_files WHERE NOT is_directory AND {NOTE} GROUP BY 1, 2) g")
+add("ransom_notes", ["files"], f"SELECT host_id, 'Ransom note dropped: ' || r.n AS title, 3 AS severity, 'actionsOnObjectives' AS phase, 'T1486' AS attack_id, r.t AS ts FROM (SELECT host_id, lower(name) k, arg_min(struct_pack(n := name, t := coalesce(created, modified)), struct_pack(a := id, b := parent_path, c := name, d := coalesce(created, modified))) r FROM a_files WHERE NOT is_directory AND {NOTE} GROUP BY 1, 2) g")
 simple("remote_provider_shell", "events", src=f"(SELECT *, lower({base('parent')}) pb, lower({base('image')}) ib FROM {PROC}) r", where=f"ib IN {in_(x.REMOTE_SHELL_CHILDREN)} AND pb IN ('wsmprovhost.exe', 'wmiprvse.exe')",
        title="CASE WHEN pb = 'wsmprovhost.exe' THEN 'WinRM / PowerShell Remoting' ELSE 'WMI remote execution' END || ': ' || pb || ' spawned ' || ib || ' on ' || computer", severity="3", phase="'exploitation'", attack="CASE WHEN pb = 'wsmprovhost.exe' THEN 'T1021.006' ELSE 'T1047' END", ts="written_at")
 add("lateral_tokens", ["events"], rf"""SELECT host_id, f || ' on ' || computer AS title, 2 AS severity, 'exploitation' AS phase, a AS attack_id, written_at AS ts FROM (
@@ -279,7 +279,7 @@ add("last_login", ["lastlog", "linux_users", "linux_groups"], f"""SELECT host_id
  (SELECT a.host_id, a."user" u, a.uid, a.host, a.timestamp, (coalesce(a."user" IN {in_(l.SERVICE_NAMES)}, false) OR coalesce(s.shell LIKE '%nologin' OR s.shell LIKE '%/false', false) OR (a."user" IS NULL AND a.uid < 1000 AND a.uid <> 0)) svc, EXISTS (SELECT 1 FROM a_linux_groups g WHERE g.host_id = a.host_id AND g.name IN {in_(l.PRIVILEGED_GROUPS)} AND list_contains(split(g.members, ','), a."user")) priv
   FROM a_lastlog a LEFT JOIN (SELECT host_id, name, arg_min(shell, struct_pack(a := uid, b := shell)) shell FROM a_linux_users GROUP BY 1, 2) s ON a.host_id = s.host_id AND a."user" = s.name) r""")
 TGT = first_("cmd", l.LOG_TARGETS)
-SEG = "len(list_filter(regexp_split_to_array(cmd, '&&|\\|\\||;|\\||&'), s -> contains(s, tgt) AND (contains(s, 'rm ') OR contains(s, 'shred ')))) > 0"
+SEG = "len(list_filter(regexp_split_to_array(cmd, '&&|\\|\\||;|\\||&'), lambda s: contains(s, tgt) AND (contains(s, 'rm ') OR contains(s, 'shred ')))) > 0"
 CLR = f"({SEG} OR contains(cmd, '> ' || tgt) OR contains(cmd, '>' || tgt) OR {any_('cmd', ['truncate -s 0', 'truncate --size=0', 'cp /dev/null', 'cat /dev/null >'])})"
 HR = case_([(f"{any_('cmd', a)} AND {all_('cmd', n)}", q(t)) for a, n, t, s, k in l.HISTORY_RULES])
 HS = case_([(f"{any_('cmd', a)} AND {all_('cmd', n)}", s) for a, n, t, s, k in l.HISTORY_RULES])
@@ -301,7 +301,7 @@ SYS = lambda c: f"(NOT contains({c}, '/users/') AND {any_(c, m.SYSTEM_ROOTS)})"
 STR = f"""((low <> '' AND {any_('low', m.LAUNCH_STAGING)}) OR (run_at_load AND {LEAF.format('low')} IN {in_(m.LAUNCH_TOOLS)}) OR (lower({LEAF.format("split(program_arguments, ',')[1]")}) IN {in_(m.SHELL_NAMES)} AND list_contains(split(program_arguments, ',')[2:], '-c')) OR (starts_with(lower(label), 'com.apple.') AND NOT {SYS('lower(plist_path)')} AND NOT {SYS('low')}))"""
 simple("launch_items", "launch_items", src=f"(SELECT *, lower(coalesce({EXE}, '')) low FROM a_launch_items) r", title=f"{case_([(f'scope = {q(k)}', q(v[0])) for k, v in m.LAUNCH_SCOPES.items()])} || ' persistence: ' || label", severity=case_([(STR, 3), ("start_interval BETWEEN 1 AND 300", 2)]), phase="'installation'", attack=case_([(f"scope = {q(k)}", q(v[1])) for k, v in m.LAUNCH_SCOPES.items()]))
 PT = f"coalesce(nullif(name, ''), CASE WHEN schedule IS NOT NULL THEN CASE WHEN regexp_extract(command, '^ *([^ ]+)', 1) = '' THEN schedule ELSE schedule || '  ' || regexp_extract(command, '^ *([^ ]+)', 1) END END, nullif(command, ''), {LEAF.format('source_file')})"
-CRN = f"(lower(coalesce(schedule, '')) = '@reboot' OR {any_('lower(command)', m.SWEEP_STAGING)} OR len(list_filter(regexp_split_to_array(lower(command), '[ /]+'), s -> s IN {in_(m.SWEEP_TOOLS)})) > 0)"
+CRN = f"(lower(coalesce(schedule, '')) = '@reboot' OR {any_('lower(command)', m.SWEEP_STAGING)} OR len(list_filter(regexp_split_to_array(lower(command), '[ /]+'), lambda s: s IN {in_(m.SWEEP_TOOLS)})) > 0)"
 simple("persistence_sweep", "mac_persistence", title=f"CASE WHEN kind = 'emond' THEN 'emond persistence rule: ' || {PT} WHEN kind = 'loginHook' THEN 'macOS login hook: ' || command WHEN kind = 'logoutHook' THEN 'macOS logout hook: ' || command WHEN kind = 'cron' THEN 'Suspicious cron job: ' || {PT} WHEN kind = 'periodic' THEN 'Custom periodic script: ' || {PT} ELSE 'macOS rc.local boot script' END",
        severity=case_([(f"kind IN ('emond', 'loginHook', 'logoutHook') OR (kind = 'cron' AND {CRN}) OR (kind = 'rcScript' AND lower(name) = 'rc.local')", 3), ("kind = 'periodic'", 2)]), phase="'installation'", attack="CASE WHEN kind = 'emond' THEN 'T1546.014' WHEN kind IN ('loginHook', 'logoutHook') THEN 'T1037.002' WHEN kind = 'cron' THEN 'T1053.003' WHEN kind = 'periodic' THEN 'T1053' ELSE 'T1037.004' END")
 QL = r"regexp_extract(regexp_extract(data_url, '^[^?#]*'), '^[a-z]+://[^/]+/(?:.*/)?([^/]+)/*$', 1)"

@@ -72,7 +72,7 @@ def human_bytes(n: Column) -> Column:
     """1024 steps with one decimal; plain count below one KB."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n.cast("double") / float(1024**power))).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n.cast("double") / float(1024**power), 1))).otherwise(out)
     return out
 
 
