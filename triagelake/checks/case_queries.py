@@ -9,6 +9,7 @@ from triagelake.checks.adapters import GivenCase, spark_text
 from triagelake.checks.oracle_case import CLAIMS, CONVERSATION_NOTES, FEEDS, FINDINGS, LINES, TOKENS
 from triagelake.functions import net, text, times
 from triagelake.functions.payload import decode_entities
+from triagelake.functions.settle import settle
 from triagelake.operators import (
     casebook, correlation, cross_platform, enrichment, entropy, hierarchy, ioc, lateral, reporting, search, windows,
 )
@@ -31,7 +32,10 @@ def us(df: DataFrame, *names: str) -> DataFrame:
 
 
 def found(t) -> DataFrame:
-    return union([DETECTIONS[n][0](t) for n in FINDINGS])
+    """The findings of a few detections, computed once per query."""
+    if "_found" not in t._tables:
+        t._tables["_found"] = settle(union([DETECTIONS[n][0](t) for n in FINDINGS]))
+    return t._tables["_found"]
 
 
 def sql(t, statement: str) -> DataFrame:
@@ -73,6 +77,11 @@ def _enriched(t) -> DataFrame:
     return enrichment.enrich(wanted, feeds)
 
 
+def _csv_lines(t) -> DataFrame:
+    rows = t.given("part").select("p_partkey", F.concat(F.lit("=,"), F.col("p_name")).alias("a"), "p_brand")
+    return rows.select("p_partkey", out.csv_record(rows.drop("p_partkey")).alias("line"))
+
+
 QUERIES = {
     # graph and correlation
     "lateral_edges": _case(lambda t: us(lateral.edges(t["events"]), "first_seen", "last_seen").withColumn("logon_types", F.array_join(F.col("logon_types").cast("array<string>"), ","))),
@@ -137,7 +146,7 @@ QUERIES = {
     "fn_url_host": _case(lambda t: t.given("pages").select("page_id", F.lower(net.url_host(F.col("url"))).alias("host"))),
     "fn_payload_field": _case(lambda t: windows.with_fields(t["events"], command="CommandLine").select("record_number", "command")),
     "fn_entities": _case(lambda t: t.given("pages").select("page_id", F.length(decode_entities(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("n"))),
-    "fn_csv_record": _case(lambda t: t.given("part").select("p_partkey", out.csv_record(t.given("part").select(F.concat(F.lit("=,"), F.col("p_name")).alias("a"), "p_brand")).alias("line"))),
+    "fn_csv_record": _case(_csv_lines),
     "event_filter": _case(lambda t: t["events"].filter((F.col("level") == 4) | (F.col("level") == 0)).filter(text.icontains(F.col("channel"), "SEC") | F.col("event_id").cast("string").contains("40")).select("record_number")),
     "user_key": _case(lambda t: t["auth_log"].select("user", correlation.user_key(F.col("user")).alias("key"), correlation.is_builtin(F.col("user")).alias("builtin")).distinct()),
     # scans of text composed from the event rows

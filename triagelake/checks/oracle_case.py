@@ -101,8 +101,8 @@ MT = f"""{cte('iocs', 'events', 'registry', 'files', 'hosts')}, {NEED},
  UNION ALL SELECT host_id, v, kind, 'file', p, epoch_us(at1) FROM (SELECT host_id, {FP} p, lower({FP}) hay, coalesce(modified, created) at1 FROM a_files) f JOIN n ON {HIT})""".replace("'\\\\'", "'\\'")
 O["ioc_matches"] = f"{MT} SELECT host_id, v AS ioc_value, kind AS ioc_kind, place, s AS summary, us AS timestamp_us FROM m"
 KL = case_([(f"kind = {q(k)}", q(v)) for k, v in KIND_LABELS.items()])
-O["ioc_export_rows"] = f"{MT} SELECT coalesce(strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ'), '') AS timestamp_iso, {KL} AS ioc_kind, v AS ioc_value, 'file' AS location_type, s AS location_detail, s AS context, coalesce(display_name, '') AS host FROM m LEFT JOIN a_hosts USING (host_id) WHERE place = 'file'"
-O["shared_indicators"] = f"{MT} SELECT 'Shared indicator across ' || n || ' hosts: ' || {KL} || ' ' || v AS title, {SEV} AS severity, 'commandAndControl' AS phase, 'T1105' AS attack_id, us AS ts_us, hs AS hosts FROM (SELECT min(v || chr(1) || kind) x, split_part(min(v || chr(1) || kind), chr(1), 1) v, split_part(min(v || chr(1) || kind), chr(1), 2) kind, count(DISTINCT host_id) n, min(us) us, string_agg(DISTINCT display_name, '|' ORDER BY display_name) hs FROM m JOIN a_hosts USING (host_id) GROUP BY lower(v) HAVING count(DISTINCT host_id) >= 2) z"
+O["ioc_export_rows"] = f"{MT} SELECT coalesce(strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ'), '') AS timestamp_iso, {KL} AS ioc_kind, v AS ioc_value, 'file' AS location_type, s AS location_detail, s AS context, coalesce(display_name, '') AS host FROM m LEFT JOIN (SELECT host_id, display_name FROM a_hosts) hh USING (host_id) WHERE place = 'file'"
+O["shared_indicators"] = f"{MT} SELECT 'Shared indicator across ' || n || ' hosts: ' || {KL} || ' ' || v AS title, {SEV} AS severity, 'commandAndControl' AS phase, 'T1105' AS attack_id, us AS ts_us, hs AS hosts FROM (SELECT min(v || chr(1) || kind) x, split_part(min(v || chr(1) || kind), chr(1), 1) v, split_part(min(v || chr(1) || kind), chr(1), 2) kind, count(DISTINCT host_id) n, min(us) us, string_agg(DISTINCT display_name, '|' ORDER BY display_name) hs FROM m JOIN (SELECT host_id, display_name FROM a_hosts) hh USING (host_id) GROUP BY lower(v) HAVING count(DISTINCT host_id) >= 2) z"
 CLS = r"CASE WHEN starts_with(lower(value), 'http://') OR starts_with(lower(value), 'https://') THEN 'url' WHEN regexp_matches(lower(value), '^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$') THEN 'hash' WHEN regexp_matches(value, '^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$') OR (contains(value, ':') AND regexp_matches(lower(value), '^[0-9a-f:]*$')) THEN 'ip' ELSE 'domain' END"
 O["ioc_classify"] = f"SELECT DISTINCT value, {CLS} AS kind FROM ({TOKENS}) t"
 O["ioc_ingest"] = f"{cte('iocs')} SELECT {CLS} AS kind, value FROM (SELECT arg_min(tok, line_no) value FROM (SELECT line_no, trim(t, '\"''<>') tok FROM (SELECT line_no, unnest(regexp_split_to_array(line, '[,;\\n\\r\\t ]')) t FROM ({LINES['ioc']}) l WHERE NOT starts_with(trim(line), '#')) a) b WHERE tok <> '' AND lower(tok) NOT IN (SELECT lower(value) FROM a_iocs) GROUP BY lower(tok)) c"
@@ -121,7 +121,7 @@ O["host_profiles"] = rf"{cte('registry')} SELECT host_id, arg_max(data, CASE WHE
 O["file_facts"] = f"""{cte('files')}, n AS (SELECT host_id, arg_min({FP}, struct_pack(a := id, b := parent_path, c := name, d := coalesce(created, modified))) p FROM a_files WHERE NOT is_directory AND {d.NOTE} GROUP BY host_id, lower(name)),
  f AS (SELECT host_id, lower(trim({FP})) key, id, {FP} p, size, is_deleted, created, modified FROM a_files WHERE NOT is_directory AND (host_id, lower(trim({FP}))) IN (SELECT (host_id, lower(trim(p))) FROM n)),
  g AS (SELECT host_id, key, min(id) i, count(DISTINCT (p, size, is_deleted, coalesce(CAST(created AS VARCHAR), ''), coalesce(CAST(modified AS VARCHAR), ''))) k FROM f GROUP BY 1, 2)
- SELECT g.host_id, g.key, arg_min(size, struct_pack(a := f.id)) AS size, arg_min(is_deleted, struct_pack(a := f.id)) AS is_deleted, any_value(k) > 1 AS ambiguous, epoch_us(arg_min(modified, struct_pack(a := f.id))) AS modified_us FROM g JOIN f ON f.host_id = g.host_id AND f.key = g.key GROUP BY 1, 2"""
+ SELECT g.host_id, g.key, arg_min(size, struct_pack(a := f.id, b := f.size, c := f.is_deleted, d := f.modified)) AS size, arg_min(is_deleted, struct_pack(a := f.id, b := f.size, c := f.is_deleted, d := f.modified)) AS is_deleted, any_value(k) > 1 AS ambiguous, epoch_us(arg_min(modified, struct_pack(a := f.id, b := f.size, c := f.is_deleted, d := f.modified))) AS modified_us FROM g JOIN f ON f.host_id = g.host_id AND f.key = g.key GROUP BY 1, 2"""
 O["download_origin_facts"] = f"{cte('where_froms')} SELECT host_id, lower(path) AS key, split(min(urls), ',')[1] AS download_url, count(DISTINCT urls) > 1 AS ambiguous FROM a_where_froms GROUP BY 1, 2"
 O["multi_host_packages"] = f"{cte('packages')} SELECT host_id, package, action, epoch_us(timestamp) AS ts_us FROM a_packages WHERE host_id IN ('host-1', 'host-2')"
 O["source_integrity"] = "SELECT CAST(doc_id AS VARCHAR) AS path, 'sha256' AS algorithm, CASE WHEN doc_id % 5 = 0 THEN 'unavailable' WHEN doc_id % 7 = 0 THEN 'verified' ELSE 'mismatch' END AS status FROM documents"

@@ -56,7 +56,7 @@ def file_facts(t, findings: DataFrame) -> DataFrame:
     cited = findings.select("host_id", F.explode("evidence").alias("p"))
     wanted = cited.select("host_id", path_key(F.col("p")).alias("key")).distinct()
     rows = t["files"].filter("NOT is_directory").withColumn("path", full_path()).withColumn("key", path_key(F.col("path")))
-    return _first_fact(rows.join(wanted, ["host_id", "key"], "left_semi"), ["id"], ["path", "size", "is_deleted", "created", "modified"])
+    return _first_fact(rows.join(wanted, ["host_id", "key"], "left_semi"), ["id", "size", "is_deleted", "modified", "created"], ["path", "size", "is_deleted", "created", "modified"])
 
 
 def download_origin_facts(t) -> DataFrame:

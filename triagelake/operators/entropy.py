@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from triagelake.functions.ordered import first_n
 from triagelake.functions.text import extension
@@ -18,7 +19,7 @@ SAMPLES = 8
 HIGH = 7.5
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def shannon(blocks: pd.Series) -> pd.Series:
     """Bits per byte of each block; an empty block is 0."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.functions.settle import settle
 from triagelake.functions.substring import substring_pairs
 from triagelake.functions.text import code_label
 from triagelake.operators.findings import PHASES, SEVERITY_LABELS, with_finding_id
@@ -127,6 +128,7 @@ def claim_metrics(validated: DataFrame, findings: DataFrame, unsupported_pairs:
 
     unsupported_pairs: (a, b) technique keys that must not be linked in one claim, a < b.
     """
+    findings, validated = settle(findings), settle(validated)
     groups = digest_groups(findings).select("key", F.col("max_severity").alias("s"))
     shown = digest(findings, cap).select("key").withColumn("shown", F.lit(True))
     asserted = validated.filter("kept").select(F.explode("technique_keys").alias("key")).distinct().withColumn("asserted", F.lit(True))

@@ -38,10 +38,11 @@ def excerpt(value: Column, needle: str, window: int = 80) -> Column:
 
 
 def _hits(df: DataFrame, kind: str, title: Column, subtitle: Column, snippet: Column, score: Column, ref: Column) -> DataFrame:
-    return df.select(
-        "host_id", F.lit(kind).alias("kind"), title.alias("title"), subtitle.alias("subtitle"), snippet.alias("snippet"),
-        (score + KIND_BIAS[kind]).cast("int").alias("score"), ref.cast("string").alias("reference"),
-    ).filter(F.col("score").isNotNull())
+    scored = computed(df, score=(score + KIND_BIAS[kind]).cast("int")).filter(F.col("score").isNotNull())
+    return scored.select(
+        "host_id", F.lit(kind).alias("kind"), title.alias("title"), subtitle.alias("subtitle"), snippet.alias("snippet"), "score",
+        ref.cast("string").alias("reference"),
+    )
 
 
 def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame | None = None, limit: int = 500) -> DataFrame:

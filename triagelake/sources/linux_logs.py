@@ -433,7 +433,7 @@ def apt_history(lines: DataFrame) -> DataFrame:
     df = carry_last(df, FILE, "block", ORDER, {"stamp": mark})
     action = F.lower(extract(t, "^(" + "|".join(APT_ACTIONS) + "):"))
     df = df.withColumn("action", action).filter("action IS NOT NULL")
-    items = F.transform(F.split(F.regexp_extract("t", r"^[^:]*:(.*)$", 1), r",(?![^(]*\))"), F.trim)
+    items = F.transform(F.split(F.regexp_extract("t", r"^[^:]*:(.*)$", 1), r",(?![^(]*\))"), lambda i: F.trim(i))
     df = df.withColumn("item", F.explode(F.filter(items, lambda i: i != "")))
     name = F.regexp_extract("item", r"^([^ ]+)", 1)
     version = extract(F.col("item"), r"\(([^),]*)[,)]")
