@@ -122,7 +122,7 @@ QUERIES = {
     "overview_counts": _case(lambda t: reporting.overview(t, tl.events(t), found(t))),
     "finding_export_rows": _case(lambda t: out.finding_rows(DETECTIONS["log_cleared"][0](t), t["hosts"]).select("timestamp_iso", "severity", "phase", "attack_id", "attack_name", "title", "host")),
     "timeline_export_rows": _case(lambda t: out.timeline_rows(tl.shell_history(t), t["hosts"])),
-    "search": _case(lambda t: search.search(t, "  Svc1 ", tl.events(t), None, limit=10**9).groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"))),
+    "search": _case(lambda t: search.search(t, "  Svc1 ", tl.events(t), None, limit=None).groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"))),
     "search_top": _case(lambda t: search.search(t, "mimikatz", tl.files(t), None, limit=300).select("score", "kind", "title", "snippet")),
     "annotation_upsert": _case(lambda t: casebook.upsert_annotations(*annotation_sets(t)).select("target_key", "tag", "author", F.length("note").alias("note_len"), "title")),
     "annotation_bookmarks": _case(lambda t: casebook.bookmarks(annotation_sets(t)[0], "benign").select("target_key", "tag")),

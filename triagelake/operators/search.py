@@ -45,11 +45,11 @@ def _hits(df: DataFrame, kind: str, title: Column, subtitle: Column, snippet: Co
     )
 
 
-def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame | None = None, limit: int = 500) -> DataFrame:
-    """The best hits of a query. Each table is filtered and scored where it is read, and the
-    top rows are taken per task before they are merged."""
+def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame | None = None, limit: int | None = 500) -> DataFrame:
+    """The best hits of a query; limit=None gives all of them, unordered. Each table is filtered
+    and scored where it is read, and the top rows are taken per task before they are merged."""
     needle = query.strip().lower()
-    empty = len(needle) < MIN_QUERY or limit <= 0
+    empty = len(needle) < MIN_QUERY or (limit is not None and limit <= 0)
     body = F.lit(BODY)
 
     f = t["files"]
@@ -104,4 +104,6 @@ def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame
     out = union(parts)
     if empty:
         return out.limit(0)
+    if limit is None:
+        return out
     return out.orderBy(F.col("score").desc(), "kind", "title", "snippet", "host_id", "reference").limit(limit)
