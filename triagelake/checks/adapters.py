@@ -98,7 +98,7 @@ SELECT {H}, event_id AS record_number, ts AS written_at,
      TargetDomainName=pick('user_id', ['CORP', '', 'LAB']),
      IpAddress=pick('user_id * 3 + event_id % 4', ['10.0.0.{m}', '203.0.113.{h}', '-', '192.168.1.{m}', '198.51.100.{h}', '::1', '172.20.1.{h}', '172.40.1.{h}', 'fe80::1']),
      WorkstationName=pick('event_id % 9 + user_id', ['-', 'WS-{m}', '', 'LAPTOP-{h}', '-']),
-     LogonType=pick('event_id + user_id', ['2', '3', '10', '7', '5', '8']),
+     LogonType=pick('event_id * 2 + user_id', ['2', '3', '10', '7', '5', '8']),
      NewProcessName=pick('event_id * 3 + user_id', [r'C:\Windows\System32\cmd.exe', r'C:\Windows\powershell.exe', r'C:\Program Files\AnyDesk\AnyDesk.exe', r'C:\Users\u\Downloads\ngrok.exe', r'C:\Windows\notepad.exe', '']),
      ParentProcessName=pick('event_id * 11 + user_id', [r'C:\Office\WINWORD.EXE', r'C:\Windows\explorer.exe', r'C:\Apps\chrome.exe', r'C:\Windows\wsmprovhost.exe', r'C:\Windows\wbem\WmiPrvSE.exe']),
      Image=pick('event_id * 3 + user_id * 2', [r'C:\Windows\System32\rundll32.exe', r'C:\Tools\TeamViewer.exe', r'C:\Windows\mshta.exe', '']),
@@ -175,7 +175,7 @@ SELECT {H}, {pick('event_id + user_id', ['EBBC7BD0EFF5B9E8', '9b9cdc69c1c24e2b',
 FROM events""".replace("{{}}", ""))
 adapter("usn", f"""
 SELECT {H}, event_id * 64 AS usn, {NULL_TS} AS timestamp,
- {pick('event_id * 3 + user_id', ['payload{d}.exe', 'notes{d}.txt', 'tool{m}.ps1', 'data{e}.locked', 'image{d}.png', 'x{e}.qqz'])} AS file_name, event_id % 17 = 0 AS is_directory,
+ {pick('event_id * 4 + user_id', ['payload{d}.exe', 'notes{d}.txt', 'tool{m}.ps1', 'data{e}.locked', 'image{d}.png', 'x{e}.qqz'])} AS file_name, event_id % 17 = 0 AS is_directory,
  event_id % 400 AS mft_entry, 1 AS mft_sequence, 5 AS parent_mft_entry,
  CAST({pick('event_id * 7 + user_id', ['256', '512', '4096', '8192', '2147484160', '258', '1', '768'])} AS BIGINT) AS reason_raw, 32 AS file_attributes, {SRC('$J')}
 FROM events""")
@@ -287,7 +287,7 @@ SELECT {H}, {NULL_TS} AS timestamp, {pick('event_id * 3 + user_id', ['install',
 FROM events""")
 adapter("journald", f"""
 SELECT {H}, {NULL_TS} AS timestamp, {pick('event_id * 3 + user_id', MESSAGES + ['pam_unix(sudo:auth): authentication failure; user=u{m}', 'journalctl --rotate run', 'Started thing{d}', 'systemctl stop rsyslog'])} AS message, CAST(event_id % 8 AS INT) AS priority,
- 'comm' AS comm, CAST(event_id % 500 AS BIGINT) AS pid, {pick('event_id', ['ssh.service', None])} AS unit, {pick('event_id * 7 + user_id', ['sshd', 'sudo', None, 'sshd'])} AS identifier, {SRC('system.journal')}
+ 'comm' AS comm, CAST(event_id % 500 AS BIGINT) AS pid, {pick('event_id', ['ssh.service', None])} AS unit, {pick('event_id * 2 + user_id', ['sshd', 'sudo', None, 'sshd'])} AS identifier, {SRC('system.journal')}
 FROM events""")
 adapter("audit", f"""
 SELECT {H}, {NULL_TS} AS timestamp, event_id AS serial, {pick('event_id * 3 + user_id', ['EXECVE', 'SYSCALL', 'USER_AUTH', 'ADD_USER', 'AVC', 'USER_ACCT', 'GRP_MGMT', 'CWD'])} AS record_type,
@@ -334,7 +334,7 @@ SELECT {H}, {pick('event_id * 3 + user_id', ['/app/inFocus', '/app/usage', '/dis
 adapter("recent_items", f"""
 SELECT {H}, {pick('event_id', ['servers', 'documents', 'hosts', 'applications'])} AS kind, 'item' || CAST(event_id % 50 AS STRING) AS title, {pick('event_id * 3 + user_id', ['smb://srv{m}/share', 'vnc://198.51.100.{h}', '/private/tmp/a{m}', 'file:///Users/x/run%20{m}.sh', 'srv{m}.corp', 'https://ok', '~/doc.txt', '/Users/a/b.command'])} AS value, {NULL_TS} AS timestamp, {SRC('x.sfl2')} FROM events""")
 adapter("security_events", f"""
-SELECT {H}, {pick('event_id * 3 + user_id', ['gatekeeper', 'xprotect', 'mrt', 'syspolicyd'])} AS kind, {pick('event_id * 5 + user_id', ['blocked', 'allowed', 'detected', 'warning', 'remediated', 'info'])} AS severity, {NULL_TS} AS timestamp, {pick('event_id', ['spctl', None])} AS process,
+SELECT {H}, {pick('event_id * 3 + user_id', ['gatekeeper', 'xprotect', 'mrt', 'syspolicyd'])} AS kind, {pick('event_id * 2 + user_id', ['blocked', 'allowed', 'detected', 'warning', 'remediated', 'info'])} AS severity, {NULL_TS} AS timestamp, {pick('event_id', ['spctl', None])} AS process,
  {pick('event_id * 7 + user_id', ['spctl --master-disable', 'scan ok {d}', 'assessment'])} AS message, {pick('event_id * 11 + user_id', ['/Apps/A{b}.app', None, '/tmp/B{m}', ''])} AS path, {pick('event_id * 13', ['OSX.Bad{m}', None, ''])} AS signature, 's' AS scope, {SRC('XProtect.log')} FROM events""")
 adapter("kexts", f"SELECT {H}, {pick('event_id', ['kext', 'systemExtension'])} AS kind, {pick('event_id * 3 + user_id', ['com.apple.k', 'org.v{d}'])} AS bundle_id, {pick('event_id', ['Kx{m}', 'Kx{m}'])} AS name, {pick('event_id * 5', ['/L/a{m}.kext', None])} AS path, 's' AS scope, '/db' AS source_file FROM events")
 adapter("background_items", f"SELECT {H}, {pick('event_id * 3', ['Item{d}', '', 'Up{m}'])} AS name, {pick('event_id * 5 + user_id', ['/Users/Shared/x', '/Applications/a', None])} AS executable, {pick('event_id * 7 + user_id', ['com.apple.a', 'org.b{m}', None])} AS bundle_id, {pick('event_id * 11', ['Apple', 'Dev', None])} AS developer_name, 's' AS scope, '/btm' AS source_file FROM events")
