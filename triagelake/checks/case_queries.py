@@ -11,7 +11,7 @@ from triagelake.functions import net, text, times
 from triagelake.functions.payload import decode_entities
 from triagelake.functions.settle import settle
 from triagelake.operators import (
-    casebook, correlation, cross_platform, enrichment, entropy, hierarchy, ioc, lateral, reporting, search, windows,
+    casebook, correlation, cross_platform, enrichment, entropy, filters, hierarchy, ioc, lateral, reporting, search, windows,
 )
 from triagelake.operators.findings import union
 from triagelake.plans import timeline as tl
@@ -147,7 +147,13 @@ QUERIES = {
     "fn_payload_field": _case(lambda t: windows.with_fields(t["events"], command="CommandLine").select("record_number", "command")),
     "fn_entities": _case(lambda t: t.given("pages").select("page_id", F.length(decode_entities(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("n"))),
     "fn_csv_record": _case(_csv_lines),
-    "event_filter": _case(lambda t: t["events"].filter((F.col("level") == 4) | (F.col("level") == 0)).filter(text.icontains(F.col("channel"), "SEC") | F.col("event_id").cast("string").contains("40")).select("record_number")),
+    "event_filter": _case(lambda t: filters.event_filter(t["events"], "info", "40").select("record_number")),
+    "quick_filter_web": _case(lambda t: filters.web_filter(t["web_access"], "SQLMAP", errors=True).select("host_id", "client_ip", "path", "status")),
+    "quick_filter_usn": _case(lambda t: filters.usn_filter(t["usn"], "rename", key_changes=True).select("usn")),
+    "quick_filter_mft": _case(lambda t: filters.mft_filter(t["mft"], "drop", anomalies=True).select("record_number")),
+    "quick_filter_journal": _case(lambda t: filters.journal_filter(t["journald"], "ssh", errors=True).select("host_id", "message")),
+    "registry_search": _case(lambda t: filters.registry_filter(t["registry"], " Evil ").select("host_id", "name", "data")),
+    "registry_decode": _case(lambda t: t["files"].select("size", filters.registry_text(F.lit("REG_DWORD"), F.col("size").cast("string")).alias("number"), filters.registry_text(F.lit("REG_BINARY"), F.col("size").cast("string")).alias("bytes")).distinct()),
     "user_key": _case(lambda t: t["auth_log"].select("user", correlation.user_key(F.col("user")).alias("key"), correlation.is_builtin(F.col("user")).alias("builtin")).distinct()),
     # scans of text composed from the event rows
     "scan_auth_log": _case(lambda t: us(linux_logs.auth_log(lines(t, "auth")).select("host_id", "timestamp", "host", "process", "pid", "kind", "user", "source_ip", "port", "method", "message"), "timestamp")),

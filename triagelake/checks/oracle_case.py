@@ -174,7 +174,13 @@ O["fn_extension"] = f"{cte('files')} SELECT id, {EXT.format('name')} AS ext, {BA
 O["fn_url_host"] = f"SELECT page_id, {d.HOST.format('url')} AS host FROM pages"
 O["fn_payload_field"] = f"{cte('events')} SELECT record_number, {fld('CommandLine')} AS command FROM a_events"
 O["fn_csv_record"] = "SELECT p_partkey, '\"''=,' || p_name || '\",' || p_brand AS line FROM part"
-O["event_filter"] = f"{cte('events')} SELECT record_number FROM a_events WHERE level IN (0, 4) AND (contains(lower(channel), 'sec') OR contains(CAST(event_id AS VARCHAR), '40'))"
+O["event_filter"] = f"{cte('events')} SELECT record_number FROM a_events WHERE level IN (0, 4) AND (contains(lower(channel), '40') OR contains(lower(provider), '40') OR contains(CAST(event_id AS VARCHAR), '40') OR contains(lower(computer), '40'))"
+O["quick_filter_web"] = f"{cte('web_access')} SELECT host_id, client_ip, path, status FROM a_web_access WHERE status >= 400 AND (contains(lower(path || coalesce('?' || query, '')), 'sqlmap') OR contains(lower(user_agent), 'sqlmap'))"
+O["quick_filter_usn"] = f"{cte('usn')} SELECT usn FROM a_usn WHERE (reason_raw & 13056) <> 0 AND (contains(lower(file_name), 'rename') OR (reason_raw & 12288) <> 0)"
+O["quick_filter_mft"] = f"{cte('mft')} SELECT record_number FROM a_mft WHERE si_created_raw <> 0 AND fn_created_raw - si_created_raw > 10000000 AND (contains(lower(full_path), 'drop') OR contains(lower(file_name), 'drop'))"
+O["quick_filter_journal"] = f"{cte('journald')} SELECT host_id, message FROM a_journald WHERE priority <= 3 AND (contains(lower(message), 'ssh') OR contains(coalesce(identifier, comm), 'ssh') OR contains(coalesce(unit, ''), 'ssh'))"
+O["registry_search"] = f"{cte('registry')} SELECT host_id, name, data FROM a_registry WHERE contains(lower(name), 'evil') OR contains(lower(path), 'evil') OR contains(lower(data), 'evil')"
+O["registry_decode"] = f"{cte('files')} SELECT DISTINCT size, size || ' (0x' || upper(to_hex(size)) || ')' AS number, trim(regexp_replace(CAST(size AS VARCHAR), '(..)', '\\1 ', 'g')) AS bytes FROM a_files"
 TUS = f"epoch_us({STAMP})"
 M6 = "event_id % 6"
 O["scan_auth_log"] = f"""SELECT {H} AS host_id, 'srv1' AS host, {arms(6, [q('sshd'), q('sshd'), q('sudo'), q('useradd'), q('cron'), 'NULL'])} AS process, CAST({arms(6, ['event_id', '7', 'NULL', '9', '3', 'NULL'])} AS BIGINT) AS pid, {arms(6, [q('sshAccepted'), q('sshFailed'), q('sudo'), q('userAdded'), q('sessionOpened'), 'NULL'])} AS kind,
