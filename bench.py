@@ -13,7 +13,7 @@ HEADLINE = [
     "lateral_edges", "lateral_nodes", "detect_failed_logon_burst", "detect_password_spray", "detect_kerberoasting",
     "detect_suspicious_powershell", "detect_usn_renamed_to_exec", "detect_mass_encryption", "detect_ssh_brute_force",
     "detect_web_attacks", "detect_anti_forensics", "detect_security_blocks", "detect_recycle_bin_burst", "timeline_files",
-    "timeline_filtered", "timeline_histogram_months", "timeline_sessions", "ioc_matches", "enrichment", "search_top",
+    "timeline_filtered", "timeline_histogram_months", "timeline_sessions", "enrichment", "search_top",
     "file_tree", "kill_chain_groups", "scan_auth_log", "scan_audit_log", "scan_powerlog_clock",
 ]
 
