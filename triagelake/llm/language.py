@@ -29,9 +29,9 @@ class Settings:
     orders: tuple[int, ...] = (2, 3, 4)
     #: Labelled rows that training uses; a text costs the driver 8 bytes for each of its distinct buckets.
     sample_rows: int = 2000
-    epochs: int = 6
-    batch: int = 64
-    rate: float = 0.5
+    steps: int = 600
+    batch: int = 16
+    rate: float = 1.0
     seed: int = 11
     #: A prediction is rejected if its calibrated probability of being right is below this.
     reject_below: float = 0.5
@@ -119,30 +119,28 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
     fit = np.flatnonzero((fold != 0) & np.array([len(k) > 0 for k in keys], bool))
     if not len(fit):
         fit = np.arange(len(keys))
-    for epoch in range(s.epochs):
-        rng.shuffle(fit)
-        rate = s.rate * (1 - epoch / s.epochs)
-        for at in range(0, len(fit), s.batch):
-            rows_ = fit[at : at + s.batch]
-            k = np.concatenate([keys[r] for r in rows_])
-            if not len(k):
-                continue
-            c = np.concatenate([counts[r] / max(1.0, counts[r].sum()) for r in rows_])
-            own = np.repeat(np.arange(len(rows_)), [len(keys[r]) for r in rows_])
-            mean = np.zeros((len(rows_), s.dim), np.float32)
-            np.add.at(mean, own, emb[k] * c[:, None])
-            grad = _softmax(mean @ out + bias)
-            grad[np.arange(len(rows_)), target[rows_]] -= 1
-            back = grad @ out.T
-            out -= rate * mean.T @ grad
-            bias -= rate * grad.mean(axis=0) * 0.1
-            # A step on the mean moves every bucket in proportion to its share; scaled so that rare ones learn too.
-            np.add.at(emb, k, -rate * s.dim * back[own] * c[:, None])
+    order = np.concatenate([rng.permutation(fit) for _ in range(1 + s.steps * s.batch // len(fit))])
+    for step in range(s.steps):
+        rows_ = order[step * s.batch : (step + 1) * s.batch]
+        rate = s.rate * (1 - step / s.steps)
+        k = np.concatenate([keys[r] for r in rows_])
+        c = np.concatenate([counts[r] / max(1.0, counts[r].sum()) for r in rows_])
+        own = np.repeat(np.arange(len(rows_)), [len(keys[r]) for r in rows_])
+        mean = np.zeros((len(rows_), s.dim), np.float32)
+        np.add.at(mean, own, emb[k] * c[:, None])
+        grad = _softmax(mean @ out + bias)
+        grad[np.arange(len(rows_)), target[rows_]] -= 1
+        back = grad @ out.T
+        out -= rate * mean.T @ grad
+        bias -= rate * grad.mean(axis=0) * 0.1
+        # A step on the mean moves every bucket in proportion to its share; scaled so that rare ones learn too.
+        np.add.at(emb, k, -rate * s.dim * back[own] * c[:, None])
     scores = emb @ out
     z = np.array([(scores[k] * (c / max(1.0, c.sum()))[:, None]).sum(axis=0) + bias for k, c in zip(keys, counts, strict=True)])
     held = np.flatnonzero(fold == 0) if (fold == 0).any() else np.arange(len(target))
     grid = np.geomspace(0.02, 10, 60)
-    loss = [-np.log(_softmax(z[held] / t)[np.arange(len(held)), target[held]] + 1e-12).mean() for t in grid]
+    # A little smoothing, so that a sample without an error doesn't ask for endless confidence.
+    loss = [-(0.98 * np.log(q[np.arange(len(held)), target[held]]).mean() + 0.02 * np.log(q).mean()) for q in (_softmax(z[held] / t) + 1e-12 for t in grid)]
     temperature = float(grid[int(np.argmin(loss))])
     return Model(tuple(langs), scores.astype(np.float32), bias, temperature, s)
 
