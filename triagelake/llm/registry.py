@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.language import op9_language
 from triagelake.llm.sharding import op6_sharding
+from triagelake.llm.transducer import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
     "op9_language": op9_language,
 }
