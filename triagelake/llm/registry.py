@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.language import op9_language
+from triagelake.llm.packing import op8_packing
 from triagelake.llm.sharding import op6_sharding
 from triagelake.llm.transducer import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_sharding": op6_sharding,
+    "op8_packing": op8_packing,
     "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {}
