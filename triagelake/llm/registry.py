@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.language import op9_language
 from triagelake.llm.packing import op8_packing
+from triagelake.llm.privacy import op3_privacy
 from triagelake.llm.sharding import op6_sharding
 from triagelake.llm.substrings import ORACLE as SUBSTRINGS_SQL
 from triagelake.llm.substrings import op5_substrings
 from triagelake.llm.transducer import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_privacy": op3_privacy,
     "op4_token_counts": op4_token_counts,
     "op5_substrings": op5_substrings,
     "op6_sharding": op6_sharding,
