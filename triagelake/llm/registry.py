@@ -12,6 +12,8 @@ from triagelake.llm.privacy import op3_privacy
 from triagelake.llm.sharding import op6_sharding
 from triagelake.llm.substrings import ORACLE as SUBSTRINGS_SQL
 from triagelake.llm.substrings import op5_substrings
+from triagelake.llm.topk import ORACLE as TOPK_SQL
+from triagelake.llm.topk import op7_topk
 from triagelake.llm.transducer import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_substrings": op5_substrings,
     "op6_sharding": op6_sharding,
+    "op7_topk": op7_topk,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
 }
 ORACLES: dict[str, str] = {
     "op5_substrings": SUBSTRINGS_SQL,
+    "op7_topk": TOPK_SQL,
 }
