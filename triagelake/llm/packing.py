@@ -32,13 +32,13 @@ INSIDE_PENALTY = 48
 #: Longest stretch without a place to cut; longer sentences get places at this distance.
 STRIDE = 64
 #: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-MEMORY = 500_000
+MEMORY = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Token ids of texts by the tokenizers library, which is asked once for each distinct pre-token."""
+    """Token ids of texts by the tokenizers library, which is asked once for each distinct pre-token (by a 64-bit hash)."""
 
     def __init__(self, path: str, classes: bytes):
         from tokenizers import Tokenizer
@@ -46,16 +46,35 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = np.frombuffer(zlib.decompress(classes), np.uint8)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _words(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = words
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+        self.forget()
+
+    def forget(self) -> None:
+        """Known pre-tokens: their hashes in order, where each one's ids begin, how many they are, and all ids."""
+        self.hashes, self.begins, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, hashes)
+        known = at < len(self.hashes)
+        known[known] = self.hashes[at[known]] == hashes[known]
+        return at, known
+
+    def learn(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of pre-tokens (ascending hashes) among the known ones, after asking the library for the others."""
+        at, known = self._places(hashes)
+        if len(self.hashes) + np.count_nonzero(~known) > MEMORY:
+            self.forget()
+            at, known = self._places(hashes)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            words = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
+            begins = len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.append(self.ids, np.array(found.ids, np.uint32))
+            where = at[new]
+            self.hashes, self.begins, self.sizes = np.insert(self.hashes, where, hashes[new]), np.insert(self.begins, where, begins), np.insert(self.sizes, where, sizes)
+            at, _ = self._places(hashes)
+        return at
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a slice, their row offsets, and the places right behind a sentence's end."""
@@ -67,13 +86,11 @@ class Encoder:
         starts, ends, rows = pretokens(data, offsets, self.classes)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
-        _, first, which = np.unique(byte_hash(data, starts, ends), return_index=True, return_inverse=True)
-        found = self._words([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.array([len(x) for x in found])
-        flat, at = np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
-        n = sizes[which]
+        hashes, first, which = np.unique(byte_hash(data, starts, ends), return_index=True, return_inverse=True)
+        at = self.learn(raw, hashes, starts[first], ends[first])
+        n = self.sizes[at][which]
         behind = np.cumsum(n)
-        ids = flat[np.repeat(at[:-1][which] - (behind - n), n) + np.arange(behind[-1])]
+        ids = self.ids[np.repeat(self.begins[at][which] - (behind - n), n) + np.arange(behind[-1])]
         last = data[ends - 1]
         stops = (last == 0x2E) | (last == 0x21) | (last == 0x3F) | (last == 0x0A)
         by_row = np.concatenate([[0], np.cumsum(np.bincount(rows, n, len(offsets) - 1).astype(np.int64))])
