@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.language import op9_language
+from triagelake.llm.neardup import op10_neardup
 from triagelake.llm.packing import op8_packing
 from triagelake.llm.privacy import op3_privacy
 from triagelake.llm.sharding import op6_sharding
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk": op7_topk,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
+    "op10_neardup": op10_neardup,
 }
 ORACLES: dict[str, str] = {
     "op5_substrings": SUBSTRINGS_SQL,
