@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triagelake.llm.jaccard import ORACLE as JACCARD_SQL
+from triagelake.llm.jaccard import op1_jaccard
 from triagelake.llm.language import op9_language
 from triagelake.llm.neardup import op10_neardup
 from triagelake.llm.packing import op8_packing
@@ -18,6 +20,7 @@ from triagelake.llm.topk import op7_topk
 from triagelake.llm.transducer import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op3_privacy": op3_privacy,
     "op4_token_counts": op4_token_counts,
     "op5_substrings": op5_substrings,
@@ -28,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_neardup": op10_neardup,
 }
 ORACLES: dict[str, str] = {
+    "op1_jaccard": JACCARD_SQL,
     "op5_substrings": SUBSTRINGS_SQL,
     "op7_topk": TOPK_SQL,
 }
