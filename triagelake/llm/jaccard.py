@@ -163,7 +163,7 @@ def _compare(t: pa.Table, threshold: float) -> pa.Table:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id with the same words), n_links (other documents with a
+    """One row per document: doc_id, text_key, class_id (smallest id with the same words), n_links (other documents with a
     Jaccard similarity of at least `threshold`, those of its class included), component_id (smallest id reachable by
     links) and kept (whether it is that one).
 
@@ -201,14 +201,30 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     ids = comp.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
     per_class = classes.join(counts, "node", "left").join(comp, "node", "left").join(ids, "component", "left")
     per_class = per_class.select("digest", "class_id", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
-    linked = signed.select("doc_id", "digest").join(per_class, "digest").select("doc_id", "class_id", "n_links", "component_id")
+    linked = signed.select("doc_id", "text_key", "digest").join(per_class, "digest").select("doc_id", "text_key", "class_id", "n_links", "component_id")
     wordless = F.col("doc_id").isNull() | F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    alone = docs.select("doc_id", "text").filter(wordless).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    alone = docs.select("doc_id", "text").filter(wordless).select("doc_id", text_key().alias("text_key"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The rows without near duplicates: of each component the document with the smallest id stays, with all columns,
+    and of rows that repeat an id and text one. Rows without words or without an id stay."""
+    names = docs.columns
+    linked = stored(jaccard_join(docs, **settings).select("doc_id", "text_key", "kept"), "kept")
+    keys = linked.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
+    again = stored(keys.filter("n > 1 and kept").select("doc_id", "text_key"), "repeated")
+    go = keys.filter("n > 1 or not kept").select("doc_id", "text_key")
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.struct(*names).alias("_row"))
+    left = rows.join(go, ["doc_id", "text_key"], "left_anti").select("_row.*")
+    if again.isEmpty():
+        return left
+    once = rows.join(again, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.first("_row").alias("_row")).select("_row.*")
+    return left.union(once)
+
+
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 ORACLE = r"""

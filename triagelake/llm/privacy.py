@@ -172,14 +172,15 @@ def redacted(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """All rows and columns with personal data and revealing terms taken out of `text`; n_chars follows if present."""
     names = docs.columns
-    rows = with_base(docs)
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    # The other columns travel as one, so that none of them can clash with the working ones.
+    rows = with_base(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_row")))
     terms = term_spans(docs.select("doc_id", "text"), with_base(docs.select("doc_id", "text")), **settings)
     joined = rows.join(terms, ["doc_id", "_key"], "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_terms", F.array().cast(_SPAN))))
     out = joined.withColumn("_spans", spans).withColumn("text", redacted(F.col("text"), F.col("_spans")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    length = F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in names else None
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else length.alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in names])
 
 
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from triagelake.llm.jaccard import ORACLE as JACCARD_SQL
 from triagelake.llm.jaccard import op1_jaccard
 from triagelake.llm.language import op9_language
+from triagelake.llm.mixing import op2_mixing
 from triagelake.llm.neardup import op10_neardup
 from triagelake.llm.packing import op8_packing
 from triagelake.llm.privacy import op3_privacy
@@ -21,6 +22,7 @@ from triagelake.llm.transducer import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
+    "op2_mixing": op2_mixing,
     "op3_privacy": op3_privacy,
     "op4_token_counts": op4_token_counts,
     "op5_substrings": op5_substrings,
