@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions.once import computed
-from triagelake.llm.shared import table, text_key
+from triagelake.llm.shared import stored, table, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The contract's patterns. Possessive repeats and the look-behind change no match: they keep long runs of word
@@ -127,7 +127,8 @@ def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT) -> Dat
 
 def term_spans(docs: DataFrame, rows: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """doc_id, _key and `_terms`, the spans of terms that reveal a value near them; value says what becomes of them."""
-    near = _neighbours(rows, reach)
+    # Read three times below; small beside the texts, so it is written once instead.
+    near = stored(_neighbours(rows, reach), "neighbours")
     strong = disclosures(docs, near, support).filter(F.col("share") >= generalise_at)
     becomes = F.when(F.col("share") >= remove_at, "").otherwise("<term>")
     hit = near.join(strong, ["entity", "term"])

@@ -34,8 +34,9 @@ def scatter(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
     total = docs.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_key(), F.monotonically_increasing_id()), F.lit(buckets)))
-    return stored(scattered, "scatter"), buckets
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_key(), F.monotonically_increasing_id()), F.lit(buckets))
+    # The row travels as one column, so that no column of it can clash with the working ones.
+    return stored(docs.select(bucket.alias("_bucket"), F.struct(*docs.columns).alias("_row")), "scatter"), buckets
 
 
 def bucket_starts(scattered: DataFrame, groups: int = 1024) -> DataFrame:
@@ -53,11 +54,11 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket
 
     Every row stays, repeated ones too; null texts and ids are rows like others; an empty table gives no rows.
     The order is a function of the seed and of the input's rows and partitions. Other columns are carried along;
-    those named shard or slot, or like the working columns (`_bucket`, `_key`, `_place`), are replaced.
+    those named shard or slot are replaced.
     """
-    docs = docs.drop("shard", "slot", "_key", "_place", "_start", "_total")
+    docs = docs.drop("shard", "slot")
     scattered, _ = scatter(docs, seed, bucket_bytes)
-    keyed = scattered.withColumn("_key", F.xxhash64(F.lit(seed + 1), "doc_id", text_key())).join(bucket_starts(scattered), "_bucket")
+    keyed = scattered.withColumn("_key", F.xxhash64(F.lit(seed + 1), "_row.doc_id", text_key("_row.text"))).join(bucket_starts(scattered), "_bucket")
     schema = T.StructType([*keyed.schema.fields, T.StructField("_place", T.LongType())])
 
     def permute(bucket: pa.Table) -> pa.Table:
@@ -73,7 +74,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket
     # In integers: the last shard whose first position is not behind the record's.
     shard = F.expr(f"int(({shards} * (_start + _place + 1) - 1) div _total)")
     slot = F.expr(f"_start + _place - (shard * _total) div {shards}")
-    return permuted.withColumn("shard", shard).withColumn("slot", slot).drop("_bucket", "_key", "_place", "_start", "_total")
+    return permuted.withColumn("shard", shard).withColumn("slot", slot).select("_row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -33,9 +33,9 @@ PIECE = 1 << 16
 GROUP_WINDOWS = 1 << 19
 
 
-def _cells(anchors: np.ndarray) -> np.ndarray:
+def _cells(anchors: np.ndarray, cells: int) -> np.ndarray:
     """Cell of each anchor in every row of the sketch, one row behind the other."""
-    return np.concatenate([(anchors >> np.uint64(32 * r)).astype(np.int64) % CELLS + r * CELLS for r in range(ROWS)])
+    return np.concatenate([(anchors >> np.uint64(32 * r)).astype(np.int64) % cells + r * cells for r in range(ROWS)])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -62,9 +62,9 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int, anchor: int) -> tu
     return rows[at], at - first[rows[at]], hashes, least
 
 
-def _partial(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _partial(batches: Iterator[pa.RecordBatch], size: int, anchor: int, width: int) -> Iterator[pa.RecordBatch]:
     """The sketch of a partition: for each touched piece its cells with counts up to two, compressed."""
-    sketch = np.zeros(ROWS * CELLS, np.uint8)
+    sketch = np.zeros(ROWS * width, np.uint8)
     for batch in batches:
         data, offsets, _ = utf8(batch.column("text"))
         for i, j in slices(offsets):
@@ -72,7 +72,7 @@ def _partial(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
             if len(rows):
                 # Runs of one anchor in a document count once; a second run of it only raises the estimate.
                 new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1])])
-                cells, n = np.unique(_cells(anchors[new]), return_counts=True)
+                cells, n = np.unique(_cells(anchors[new], width), return_counts=True)
                 sketch[cells] = np.minimum(2, sketch[cells] + np.minimum(n, 2))
     for p in np.flatnonzero(sketch.reshape(-1, PIECE).any(axis=1)).tolist():
         cells = np.flatnonzero(sketch[p * PIECE : (p + 1) * PIECE]).astype(np.uint16)
@@ -100,11 +100,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def repeated_cells(docs: DataFrame, size: int, anchor: int) -> np.ndarray:
-    """Bits of the merged sketch: whether a cell reached a count of two. ROWS * CELLS / 8 bytes on the driver."""
-    partial = docs.select("text").mapInArrow(lambda b: _partial(b, size, anchor), "piece int, n int, body binary")
+def repeated_cells(docs: DataFrame, size: int, anchor: int, cells: int) -> np.ndarray:
+    """Bits of the merged sketch: whether a cell reached a count of two. ROWS * cells / 8 bytes on the driver."""
+    partial = docs.select("text").mapInArrow(lambda b: _partial(b, size, anchor, cells), "piece int, n int, body binary")
     merged = partial.repartition("piece").sortWithinPartitions("piece").mapInArrow(_merge, "piece int, bits binary")
-    bits = np.zeros(ROWS * CELLS // 8, np.uint8)
+    bits = np.zeros(ROWS * cells // 8, np.uint8)
     for row in merged.toLocalIterator():
         bits[row["piece"] * (PIECE // 8) : (row["piece"] + 1) * (PIECE // 8)] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return bits
@@ -112,7 +112,7 @@ def repeated_cells(docs: DataFrame, size: int, anchor: int) -> np.ndarray:
 
 def _maybe(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether every row of the sketch says two or more."""
-    cells = _cells(anchors).reshape(ROWS, -1)
+    cells = _cells(anchors, len(bits) * 8 // ROWS).reshape(ROWS, -1)
     return np.logical_and.reduce([(bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 for c in cells]).astype(bool)
 
 
@@ -216,11 +216,11 @@ def _marked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield group(pa.Table.from_batches(held))
 
 
-def repeated_stretches(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
+def repeated_stretches(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cells: int = CELLS) -> DataFrame:
     """doc_id, text_key and `stretches`: sorted (first, past) word positions covered by windows that also start in a
     document with a smaller id. Only documents with such windows; those with a null id or text take no part."""
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", text_key().alias("text_key"))
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, size, anchor))
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, size, anchor, cells))
     open_ = docs.mapInArrow(lambda b: _candidates(b, bits.value, size, anchor), _OPEN)
     marked = open_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _marked(b, size), "doc_id long, text_key long, first long, past long")
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("first", "past"))).alias("stretches"))
@@ -244,7 +244,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*keep, "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cells: int = CELLS) -> DataFrame:
     """Every row's doc_id and text with n_words, n_removed and `kept`, the words left, joined by one space.
 
     The document with the smallest id keeps a passage. Texts that are null, empty or shorter than a window lose
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> D
     id and text have one result. Windows are judged on the input. Other columns are not looked at.
     """
     rows = docs.select("doc_id", "text", text_key().alias("text_key"))
-    joined = rows.join(repeated_stretches(docs, size, anchor), ["doc_id", "text_key"], "left").select("doc_id", "text", "stretches")
+    joined = rows.join(repeated_stretches(docs, size, anchor, cells), ["doc_id", "text_key"], "left").select("doc_id", "text", "stretches")
     return joined.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long, kept string")
 
 
