@@ -131,10 +131,10 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
         grad = _softmax(mean @ out + bias)
         grad[np.arange(len(rows_)), target[rows_]] -= 1
         back = grad @ out.T
-        out -= rate * mean.T @ grad
+        out = np.clip(out - rate * mean.T @ grad, -30, 30)
         bias -= rate * grad.mean(axis=0) * 0.1
         # A step on the mean moves every bucket in proportion to its share; scaled so that rare ones learn too.
-        np.add.at(emb, k, -rate * back[own] * np.minimum(s.dim * c, 1.0)[:, None])
+        np.add.at(emb, k, -rate * np.clip(back, -1, 1)[own] * np.minimum(s.dim * c, 1.0)[:, None])
     scores = emb @ out
     z = np.array([(scores[k] * (c / max(1.0, c.sum()))[:, None]).sum(axis=0) + bias for k, c in zip(keys, counts, strict=True)])
     held = np.flatnonzero(fold == 0) if (fold == 0).any() else np.arange(len(target))

@@ -23,7 +23,7 @@ BLOCK_ROWS = 64
 RESOLUTION = 1000
 #: Default weights go with this power of a source's number of rows.
 TEMPER = 0.5
-#: Rows numbered in one sorted stretch; a source has as many stretches as it needs.
+#: Rows numbered in one sorted stretch; sources have as many stretches as the largest needs.
 STRETCH = 4096
 
 _MISSING = "\u0000"
@@ -92,17 +92,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     order = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(_MISSING)).alias("_src"), order.alias("_order"), F.struct(*names).alias("_row"))
     sources = target_weights(rows, weights, temper, resolution)
-    sources = sources.withColumn("blocks", F.ceil(F.col("n") / block_rows)).withColumn("stretches", F.ceil(F.col("n") / STRETCH))
+    sources = sources.withColumn("blocks", F.ceil(F.col("n") / block_rows))
     pattern, numbered = patterns(sources)
-    # Rows are numbered inside stretches of a source, so that a large source is many tasks' work.
-    dealt = rows.join(sources.select("_src", "stretches"), "_src").withColumn("_part", F.pmod(F.xxhash64("_order"), F.col("stretches"))).drop("stretches")
-    counts = rows.select("_src", "_order").join(sources.select("_src", "stretches"), "_src").groupBy("_src", F.pmod(F.xxhash64("_order"), F.col("stretches")).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # Rows are numbered inside stretches of a source, so that a large source is many tasks' work. What is known of the
+    # source comes with the stretch: a join by source alone would bring all rows of a large one together.
+    largest = rows.groupBy("_src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    part = F.pmod(F.xxhash64("_order"), F.lit(-(-largest // STRETCH))).alias("_part")
+    dealt = rows.select("*", part)
+    counts = rows.select("_src", part).groupBy("_src", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
-    offsets = counts.select("_src", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    stretches = counts.select("_src", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(numbered, "_src")
     inside = F.row_number().over(Window.partitionBy("_src", "_part").orderBy("_order", "_row.doc_id"))
-    at = dealt.withColumn("_at", inside).join(offsets, ["_src", "_part"]).withColumn("_at", F.col("_before") + F.col("_at") - 1)
+    at = dealt.withColumn("_at", inside).join(stretches, ["_src", "_part"]).withColumn("_at", F.col("_before") + F.col("_at") - 1)
     at = at.withColumn("source_block", F.expr(f"_at div {block_rows}")).withColumn("mix_offset", F.expr(f"_at % {block_rows}"))
-    at = at.join(numbered, "_src").withColumn("_cycle", F.expr("source_block div w")).withColumn("j", F.expr("source_block % w"))
+    at = at.withColumn("_cycle", F.expr("source_block div w")).withColumn("j", F.expr("source_block % w"))
     at = at.withColumn("e", F.expr("array_max(filter(starts, x -> x <= _cycle))"))
     placed = at.join(pattern, ["e", "i", "j"]).withColumn("_base", F.expr("begin + (_cycle - e) * q"))
     return placed.select(
