@@ -9,7 +9,6 @@ from triagelake.checks.adapters import GivenCase, spark_text
 from triagelake.checks.oracle_case import CLAIMS, CONVERSATION_NOTES, FEEDS, FINDINGS, LINES, TOKENS
 from triagelake.functions import net, text, times
 from triagelake.functions.payload import decode_entities
-from triagelake.functions.settle import settle
 from triagelake.operators import (
     casebook, correlation, cross_platform, enrichment, entropy, filters, hierarchy, ioc, lateral, reporting, search, windows,
 )
@@ -32,10 +31,8 @@ def us(df: DataFrame, *names: str) -> DataFrame:
 
 
 def found(t) -> DataFrame:
-    """The findings of a few detections, computed once per query."""
-    if "_found" not in t._tables:
-        t._tables["_found"] = settle(union([DETECTIONS[n][0](t) for n in FINDINGS]))
-    return t._tables["_found"]
+    """The findings of a few detections."""
+    return union([DETECTIONS[n][0](t) for n in FINDINGS])
 
 
 def sql(t, statement: str) -> DataFrame:

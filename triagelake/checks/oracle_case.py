@@ -163,7 +163,7 @@ O["volume_layer"] = f"{cte('files', 'volumes')} SELECT f.host_id, f.fs_id, coale
 O["file_leaves"] = f"{cte('files')} SELECT host_id, {FP} || '#' || id AS node, name, size, is_deleted FROM a_files WHERE NOT is_directory"
 ENC = d.ORACLES["mass_encryption"]
 O["encryption_bursts"] = f"SELECT host_id, regexp_extract(title, '''\\.(.*)''$', 1) AS ext, CAST(regexp_extract(title, 'encryption: ([0-9]+) ', 1) AS BIGINT) AS n FROM ({ENC}) z"
-O["entropy_candidates"] = f"{cte('files')} SELECT host_id, ext, least(count(*), 8) AS n FROM (SELECT host_id, {EXT.format('name')} ext FROM a_files WHERE NOT is_directory AND NOT is_deleted AND size BETWEEN 512 AND 16777216 AND NOT ends_with(name, '-slack')) f WHERE (host_id, ext) IN (SELECT (host_id, regexp_extract(title, '''\\.(.*)''$', 1)) FROM ({ENC}) z) GROUP BY 1, 2"
+O["entropy_candidates"] = f"{cte('files')} SELECT host_id, ext, count(*) AS n FROM (SELECT host_id, {EXT.format('name')} ext FROM a_files WHERE NOT is_directory AND NOT is_deleted AND size >= 512 AND NOT ends_with(name, '-slack')) f WHERE (host_id, ext) IN (SELECT (host_id, regexp_extract(title, '''\\.(.*)''$', 1)) FROM ({ENC}) z) GROUP BY 1, 2"
 O["entropy_statistics"] = "SELECT source AS host_id, lang AS ext, count(*) AS sampled, count(*) FILTER ((n_chars % 80) / 10.0 >= 7.5) AS high, round(avg((n_chars % 80) / 10.0), 6) AS mean_entropy, CAST(max((n_chars % 80) / 10.0) AS DOUBLE) AS max_entropy FROM documents GROUP BY 1, 2"
 O["scan_candidates"] = f"{cte('files')} SELECT host_id, id, name, size FROM a_files WHERE NOT is_directory AND NOT is_deleted AND NOT ends_with(name, '-slack') AND size BETWEEN 1 AND 3000"
 O["fn_rot13"] = f"SELECT p_partkey, {d.ROT.format('p_name')} AS turned FROM part"

@@ -104,7 +104,7 @@ ORACLES |= {
  SELECT epoch_us(min(d)) AS start_us, epoch_us(max(d)) AS end_us, count(*) AS count FROM s GROUP BY k""",
     "timeline_longest_gaps": f"{SESS} SELECT host_id, epoch_us(p) AS start_us, epoch_us(date) AS end_us FROM s WHERE n = 1 AND p IS NOT NULL ORDER BY epoch_us(date) - epoch_us(p) DESC, p, host_id LIMIT 20",
     "timeline_table_total": f"{TL} SELECT count(*) AS total FROM tl",
-    "timeline_first_rows": f"{TL} SELECT epoch_us(date) AS date_us FROM tl ORDER BY date LIMIT 20000",
+    "timeline_first_rows": f"{TL} SELECT epoch_us(date) AS date_us FROM tl ORDER BY date",
     "timeline_unique_keys": f"{TL} SELECT count(DISTINCT (source, kind, epoch_us(date), coalesce(event_id, 0), path)) AS n FROM tl",
     "timeline_zoom": f"""{cte('events')}, e AS (SELECT host_id, epoch_us(min(written_at)) f, epoch_us(max(written_at)) l FROM a_events GROUP BY host_id)
  SELECT host_id, CAST(greatest(f, round(f + (l - f) / 2.0 - (l - f) / 2.0 * 0.5)) AS BIGINT) AS new_low_us, CAST(least(l, round(f + (l - f) / 2.0 + (l - f) / 2.0 * 0.5)) AS BIGINT) AS new_high_us FROM e""",

@@ -12,7 +12,7 @@ IPV4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 def is_ipv4(text: Column) -> Column:
     """Four dotted parts, each a number 0-255 (leading zeros accepted)."""
     return F.coalesce(text.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), F.lit(False)) & F.forall(
-        F.split(text, r"\."), lambda p: p.cast("long").between(0, 255)
+        F.split(text, r"\."), lambda p: F.coalesce(p.try_cast("long").between(0, 255), F.lit(False))
     )
 
 

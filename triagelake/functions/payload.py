@@ -14,7 +14,7 @@ _PIECES = r"(&(?:lt|gt|amp|quot|apos|#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8});|[^&]+|&
 def _decode_piece(piece: Column) -> Column:
     hexed = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]+);$", 1)
     dec = F.regexp_extract(piece, r"^&#([0-9]+);$", 1)
-    code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(dec != "", dec).cast("long")
+    code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(dec != "", dec).try_cast("long")
     ok = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(63)), 8, "0")), "UTF-32")
     out = F.when(ok, char).otherwise(piece)

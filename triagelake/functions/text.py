@@ -77,7 +77,7 @@ def human_bytes(n: Column) -> Column:
 
 
 def human_duration(seconds: Column) -> Column:
-    s = seconds.cast("long")
+    s = seconds.try_cast("long")
     h, m, r = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
     return (
         F.when(s < 60, F.format_string("%ds", s))
@@ -88,7 +88,7 @@ def human_duration(seconds: Column) -> Column:
 
 def mask_labels(mask: Column, table: Sequence[tuple[int, str]]) -> Column:
     """Names of the set bits, in table order."""
-    m = mask.cast("long")
+    m = mask.try_cast("long")
     named = [F.when(m.bitwiseAND(F.lit(bit).cast("long")) != 0, F.lit(name)) for bit, name in table]
     return F.array_compact(F.array(*named))
 

@@ -11,7 +11,7 @@ APPLE_OFFSET_S = 978_307_200
 
 
 def _micros(us: Column) -> Column:
-    return F.timestamp_micros(us.cast("long"))
+    return F.timestamp_micros(us.try_cast("long"))
 
 
 def from_filetime(ticks: Column) -> Column:
@@ -33,16 +33,16 @@ def from_unix_micros(us: Column) -> Column:
 
 
 def from_unix_seconds(s: Column) -> Column:
-    return F.when(s > 0, _micros(F.round(s.cast("double") * 1_000_000)))
+    return F.when(s > 0, _micros(F.round(s.try_cast("double") * 1_000_000)))
 
 
 def from_apple_seconds(s: Column) -> Column:
-    return F.when(s > 0, _micros(F.round((s.cast("double") + APPLE_OFFSET_S) * 1_000_000)))
+    return F.when(s > 0, _micros(F.round((s.try_cast("double") + APPLE_OFFSET_S) * 1_000_000)))
 
 
 def from_apple_mixed(v: Column) -> Column:
     """Seconds since 2001, or nanoseconds when the number is too large for seconds."""
-    seconds = F.when(v > 100_000_000_000, v.cast("double") / 1e9).otherwise(v.cast("double"))
+    seconds = F.when(v > 100_000_000_000, v.try_cast("double") / 1e9).otherwise(v.try_cast("double"))
     return from_apple_seconds(seconds)
 
 

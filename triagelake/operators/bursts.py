@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.ordered import carry_last, first_n, running_sum, sample_lists
-from triagelake.functions.settle import settle
+from triagelake.functions.ordered import first_n, running_sum, sample_lists
 
 
 def _bucketed(df: DataFrame, ts: str, window_s: float) -> DataFrame:
@@ -28,13 +27,14 @@ def first_count_burst(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence
     Adds `burst_pos` (1..k). Keys with no burst give no rows.
     """
     order = ["_us", *tie]
-    few = settle(first_n(_bucketed(df, ts, window_s), [*keys, "_bucket"], order, k).drop("_rank"))
+    few = first_n(_bucketed(df, ts, window_s), [*keys, "_bucket"], order, k).drop("_rank")
     w = Window.partitionBy(*keys).orderBy(*order)
     span = F.col("_us") - F.lag("_us", k - 1).over(w)
     ranked = few.withColumn("_span", span).withColumn("_seq", F.row_number().over(w))
     width = int(window_s * 1_000_000)
-    ends = ranked.filter(F.col("_span") <= width).groupBy(*keys).agg(F.min("_seq").alias("_end"))
-    out = ranked.join(ends, list(keys)).filter(F.col("_seq").between(F.col("_end") - (k - 1), F.col("_end")))
+    # The end is looked up in the same sorted rows, at most k for each bucket of a key.
+    end = F.min(F.when(F.col("_span") <= width, F.col("_seq"))).over(Window.partitionBy(*keys))
+    out = ranked.withColumn("_end", end).filter(F.col("_seq").between(F.col("_end") - (k - 1), F.col("_end")))
     return out.withColumn("burst_pos", F.col("_seq") - F.col("_end") + k).drop("_us", "_bucket", "_span", "_seq", "_end")
 
 
@@ -51,12 +51,12 @@ def first_distinct_burst(
     """
     width = int(window_s * 1_000_000)
     pos = F.struct("_us", *tie)
-    base = settle(_bucketed(df, ts, window_s).select(*keys, value, *tie, "_us", "_bucket"))
+    base = _bucketed(df, ts, window_s).select(*keys, value, *tie, "_us", "_bucket")
     per_value = (
         base.groupBy(*keys, "_bucket", value)
         .agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
     )
-    few = settle(first_n(per_value, [*keys, "_bucket"], ["_first"], k).drop("_rank"))
+    few = first_n(per_value, [*keys, "_bucket"], ["_first"], k).drop("_rank")
     # A candidate end is a value's first row in its bucket; the window behind it reaches
     # at most one bucket back, so each row is also offered to the next bucket.
     here = few.select(*keys, F.col("_bucket").alias("_b"), value, "_first", "_last", F.lit(0).alias("_back"))
@@ -102,22 +102,26 @@ def first_spread_burst(
     width = int(window_s * 1_000_000)
     shard = int(shard_s * 1_000_000)
     base = df.select(*keys, F.col(value).alias("_val"), F.unix_micros(ts).alias("_us"), *[F.col(t) for t in tie])
-    base = settle(base.withColumn("_shard", F.call_function("div", F.col("_us"), F.lit(shard))))
-    near = carry_last(base.filter(F.col("_val").isNotNull()), [*keys, "_val"], "_shard", ["_us", *tie], {"_prev": F.col("_us")}, inclusive=False)
+    base = base.withColumn("_bucket", F.call_function("div", F.col("_us"), F.lit(max(width, 1))))
+    # Only a row of the same value within the window matters, so at most one bucket back: the last row of each bucket
+    # is lent to the next one. Rows without a value are told apart by time, so that they don't meet in one task.
+    apart = F.when(F.col("_val").isNull(), F.col("_us"))
+    lent = base.filter(F.col("_val").isNotNull()).groupBy(*keys, "_val", (F.col("_bucket") + 1).alias("_bucket")).agg(F.max(F.struct("_us", *tie)).alias("_l"))
+    lent = lent.select(*keys, "_val", "_bucket", "_l.*", F.lit(False).alias("_own"))
+    inside = Window.partitionBy(*keys, "_val", "_bucket", apart).orderBy("_us", *tie)
+    rows = base.withColumn("_own", F.lit(True)).unionByName(lent).withColumn("_prev", F.when(F.col("_val").isNotNull(), F.lag("_us").over(inside))).filter("_own")
     known = F.coalesce(F.col("_us") - F.col("_prev") <= width, F.lit(False))
-    nulls = base.filter(F.col("_val").isNull()).withColumn("_prev", F.lit(None).cast("bigint"))
-    rows = settle(near.unionByName(nulls).select(*keys, "_us", *tie, "_prev", known.alias("_known"), F.col("_val").isNotNull().cast("int").alias("_is")))
+    is_value = F.col("_val").isNotNull().cast("int")
 
-    def step(at: Column, kind: int, n_rows: Column, n_values: Column, keep: Column | None = None) -> DataFrame:
-        part = rows if keep is None else rows.filter(keep)
-        return part.select(*keys, at.alias("_us"), F.lit(kind).alias("_kind"), *tie, n_rows.alias("_rows"), n_values.alias("_vals"))
+    def step(at: Column, kind: int, n_rows: Column, n_values: Column) -> Column:
+        return F.struct(at.alias("_us"), F.lit(kind).alias("_kind"), n_rows.cast("int").alias("_rows"), n_values.cast("int").alias("_vals"))
 
-    new = F.col("_is") * (~F.col("_known")).cast("int")
-    enter = step(F.col("_us"), 0, F.lit(1), new)
-    leave = step(F.col("_us") + width, 1, F.lit(-1), -F.col("_is"))
+    enter = step(F.col("_us"), 0, F.lit(1), is_value * (~known).cast("int"))
+    leave = step(F.col("_us") + width, 1, F.lit(-1), -is_value)
     # A value seen again within the window does not expire with its earlier row.
-    renew = step(F.col("_prev") + width, 1, F.lit(0), F.lit(1), F.col("_known"))
-    sweep = enter.unionByName(leave).unionByName(renew).withColumn("_shard", F.call_function("div", F.col("_us"), F.lit(shard)))
+    renew = F.when(known, step(F.col("_prev") + width, 1, F.lit(0), F.lit(1)))
+    steps = rows.select(*keys, *tie, F.explode(F.array(enter, leave, renew)).alias("_s")).filter("_s IS NOT NULL")
+    sweep = steps.select(*keys, *tie, "_s.*").withColumn("_shard", F.call_function("div", F.col("_us"), F.lit(shard)))
     summed = running_sum(
         sweep, keys, "_shard", ["_us", "_kind", *tie], {"n_rows": F.col("_rows"), "n_values": F.col("_vals")}
     )
@@ -125,7 +129,7 @@ def first_spread_burst(
         (F.col("_kind") == 0) & (F.col("n_values") >= k) & (F.col("n_rows") <= F.col("n_values") * max_per_value)
     )
     best = passing.groupBy(*keys).agg(F.min(F.struct("_us", *tie, "n_values", "n_rows")).alias("_hit"))
-    hit = settle(best.select(*keys, F.col("_hit._us").alias("last_us"), F.col("_hit.n_values"), F.col("_hit.n_rows")))
+    hit = best.select(*keys, F.col("_hit._us").alias("last_us"), F.col("_hit.n_values"), F.col("_hit.n_rows"))
     starts = base.join(hit, list(keys)).filter(F.col("_us").between(F.col("last_us") - width, F.col("last_us")))
     found = starts.groupBy(*keys).agg(
         F.min("_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("n_values").alias("n_values"), F.max("n_rows").alias("n_rows"),

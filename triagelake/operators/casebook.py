@@ -122,7 +122,7 @@ def windows_profile(t) -> DataFrame:
     ticks = F.regexp_replace(raw, "[^0-9a-fA-F]", "")
     swapped = F.array_join(F.reverse(F.regexp_extract_all(F.substring(ticks, 1, 16), F.lit("(..)"), 1)), "")
     us = F.conv(swapped, 16, 10).cast("decimal(20,0)") / 10 - times.FILETIME_OFFSET_US
-    shutdown = F.when((F.length(ticks) >= 16) & us.between(946_684_800_000_001, 7_258_118_399_999_999), F.timestamp_micros(us.cast("bigint")))
+    shutdown = F.when((F.length(ticks) >= 16) & us.between(946_684_800_000_001, 7_258_118_399_999_999), F.timestamp_micros(us.try_cast("bigint")))
     installed = F.timestamp_seconds(_clean(raw).try_cast("bigint"))
     iface = system & path.contains("services\\tcpip\\parameters\\interfaces\\") & name.isin("ipaddress", "dhcpipaddress")
     ip = F.filter(F.split(raw, "[ ,\\n\\t]+"), lambda p: (p != "") & (p != "0.0.0.0"))

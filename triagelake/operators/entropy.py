@@ -14,8 +14,7 @@ from triagelake.operators.cross_platform import encryption_bursts, extension_nam
 
 # Fixed values.
 WINDOW = 64 * 1024
-MIN_BYTES, MAX_BYTES = 512, 16 * 1024 * 1024
-SAMPLES = 8
+MIN_BYTES = 512
 HIGH = 7.5
 
 
@@ -50,14 +49,15 @@ def max_entropy(contents: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.select(*keys, shannon("block").alias("h")).groupBy(*keys).agg(F.max("h").alias("h"))
 
 
-def candidates(t, threshold: int = 25, per_extension: int = SAMPLES) -> DataFrame:
-    """The first live files of each burst extension that are worth reading."""
+def candidates(t, threshold: int = 25, per_extension: int | None = None) -> DataFrame:
+    """The live files of each burst extension that are worth reading; the first few of each if a number is given."""
     names = extension_names(t)
     bursts = encryption_bursts(t, threshold, names).select("host_id", "ext")
     wanted = names.join(bursts, ["host_id", "ext"], "left_semi").select("host_id", "ext", F.col("name").alias("low"))
-    live = t["files"].filter(~F.col("is_directory") & ~F.col("is_deleted") & F.col("size").between(MIN_BYTES, MAX_BYTES))
+    live = t["files"].filter(~F.col("is_directory") & ~F.col("is_deleted") & (F.col("size") >= MIN_BYTES))
     live = live.withColumn("ext", extension(F.col("name"))).withColumn("low", F.lower("name")).join(wanted, ["host_id", "ext", "low"], "left_semi")
-    return first_n(live, ["host_id", "ext"], ["id"], per_extension).select("host_id", "ext", "id", "name", "parent_path", "size")
+    some = live if per_extension is None else first_n(live, ["host_id", "ext"], ["id"], per_extension)
+    return some.select("host_id", "ext", "id", "name", "parent_path", "size")
 
 
 def statistics(measured: DataFrame) -> DataFrame:
@@ -67,17 +67,19 @@ def statistics(measured: DataFrame) -> DataFrame:
     ).filter("sampled > 0")
 
 
-def sample_bursts(t, contents: DataFrame, threshold: int = 25) -> DataFrame:
+def sample_bursts(t, contents: DataFrame, threshold: int = 25, per_extension: int | None = None) -> DataFrame:
     """Entropy table for the mass-encryption verdict; contents has (host_id, id, content)."""
-    picked = candidates(t, threshold)
+    picked = candidates(t, threshold, per_extension)
     read = picked.join(contents, ["host_id", "id"])
     measured = max_entropy(read, ["host_id", "ext", "id"])
     return statistics(measured)
 
 
-def scan_candidates(t, max_bytes: int, limit: int | None = None) -> DataFrame:
-    """Live, real files for a rule scan, optionally the first n per host."""
+def scan_candidates(t, max_bytes: int | None = None, limit: int | None = None) -> DataFrame:
+    """Live, real files for a rule scan, optionally up to a size and the first n per host."""
     live = t["files"].filter(
-        ~F.col("is_directory") & ~F.col("is_deleted") & ~F.col("name").endswith("-slack") & (F.col("size") > 0) & (F.col("size") <= max_bytes)
+        ~F.col("is_directory") & ~F.col("is_deleted") & ~F.col("name").endswith("-slack") & (F.col("size") > 0)
     )
+    if max_bytes is not None:
+        live = live.filter(F.col("size") <= max_bytes)
     return live if limit is None else first_n(live, ["host_id"], ["id"], limit).drop("_rank")

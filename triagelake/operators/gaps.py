@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.ordered import carry_last, running_sum
-from triagelake.functions.settle import settle
 
 _SHARD_BUCKETS = 4096
 
@@ -25,7 +24,7 @@ def _steps(timeline: DataFrame, keys: list[str], threshold_s: float) -> tuple[Da
     buckets = base.groupBy(*ks, F.call_function("div", us, F.lit(cutoff)).alias("bucket")).agg(
         F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    buckets = settle(buckets).withColumn("_shard", F.floor(F.col("bucket") / _SHARD_BUCKETS))
+    buckets = buckets.withColumn("_shard", F.floor(F.col("bucket") / _SHARD_BUCKETS))
     steps = carry_last(buckets, ks, "_shard", ["bucket"], {"prev": F.col("hi")}, inclusive=False)
     fresh = F.col("prev").isNull() | (F.col("lo") - F.col("prev") > cutoff)
     return steps.withColumn("fresh", fresh), ks
@@ -58,5 +57,6 @@ def gaps(timeline: DataFrame, threshold_s: float = 3600, keys: list[str] | None
     )
 
 
-def longest(spans: DataFrame, n: int = 20) -> DataFrame:
+def longest(spans: DataFrame, n: int) -> DataFrame:
+    """The n longest of the given sessions or gaps."""
     return spans.orderBy(F.col("duration_s").desc(), "start").limit(n)

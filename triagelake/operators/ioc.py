@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from triagelake.functions.once import computed
 from triagelake.functions.payload import decode_entities, with_fields
-from triagelake.functions.sizing import broadcast_if_small
 from triagelake.functions.substring import substring_pairs
 from triagelake.operators.cross_platform import full_path
 from triagelake.operators.findings import text, union
@@ -76,7 +75,7 @@ def match(t, iocs: DataFrame | None = None, span: int = 80) -> DataFrame:
     logon = ev.filter("event_id IN (4624, 4625)")
     logon = with_fields(logon, _ip="IpAddress").withColumn("ip", F.lower("_ip")).filter("ip IS NOT NULL")
     addresses = needles.filter("ioc_kind = 'ip'").select(F.col("needle").alias("ip")).distinct()
-    structured = logon.join(broadcast_if_small(addresses), "ip").select(
+    structured = logon.join(addresses, "ip").select(
         "host_id",
         F.col("ip").alias("ioc_value"),
         F.lit("ip").alias("ioc_kind"),

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.functions.settle import settle
 from triagelake.functions.substring import substring_pairs
 from triagelake.functions.text import code_label
 from triagelake.operators.findings import PHASES, SEVERITY_LABELS, with_finding_id
 from triagelake.operators.macos import lookup
 
-DIGEST_CAP, DIGEST_CAP_MAX = 60, 600
 # Weight of a severity in the weighted recall.
 WEIGHTS = {4: 5, 3: 4, 2: 3, 1: 2, 0: 1}
 
@@ -47,17 +45,20 @@ def digest_groups(findings: DataFrame) -> DataFrame:
     )
 
 
-def digest(findings: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
-    """The worst and largest groups, numbered F01, F02, … (at most 600)."""
-    top = digest_groups(findings).orderBy(F.col("max_severity").desc(), F.col("n").desc(), "key").limit(min(cap, DIGEST_CAP_MAX))
-    # The window runs over the capped groups only.
+def digest(findings: DataFrame, cap: int | None = None) -> DataFrame:
+    """The groups, worst and largest first, numbered F01, F02, …; only the first `cap` if that is given."""
+    top = digest_groups(findings)
+    if cap is not None:
+        top = top.orderBy(F.col("max_severity").desc(), F.col("n").desc(), "key").limit(cap)
+    # The window runs over groups, a row per technique or title.
     rank = F.row_number().over(Window.orderBy(F.col("max_severity").desc(), F.col("n").desc(), "key"))
     return top.select(F.format_string("F%02d", rank).alias("id"), "key", "n", "max_severity", "rep")
 
 
-def digest_omitted(findings: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
+def digest_omitted(findings: DataFrame, cap: int) -> DataFrame:
+    """How many groups there are, and how many of them a digest of `cap` leaves out."""
     groups = digest_groups(findings).agg(F.count(F.lit(1)).alias("groups"))
-    return groups.select("groups", F.greatest(F.col("groups") - min(cap, DIGEST_CAP_MAX), F.lit(0)).alias("omitted"))
+    return groups.select("groups", F.greatest(F.col("groups") - cap, F.lit(0)).alias("omitted"))
 
 
 def clean_ref(ref: Column) -> Column:
@@ -123,12 +124,11 @@ def claim_report(validated: DataFrame, flagged: DataFrame | None = None) -> Data
     return counts.crossJoin(n)  # one row each
 
 
-def claim_metrics(validated: DataFrame, findings: DataFrame, unsupported_pairs: DataFrame | None = None, cap: int = DIGEST_CAP) -> DataFrame:
+def claim_metrics(validated: DataFrame, findings: DataFrame, unsupported_pairs: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Recall, precision, severity-weighted recall, confabulation, drop rate and digest ceiling.
 
     unsupported_pairs: (a, b) technique keys that must not be linked in one claim, a < b.
     """
-    findings, validated = settle(findings), settle(validated)
     groups = digest_groups(findings).select("key", F.col("max_severity").alias("s"))
     shown = digest(findings, cap).select("key").withColumn("shown", F.lit(True))
     asserted = validated.filter("kept").select(F.explode("technique_keys").alias("key")).distinct().withColumn("asserted", F.lit(True))

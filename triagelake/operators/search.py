@@ -45,8 +45,8 @@ def _hits(df: DataFrame, kind: str, title: Column, subtitle: Column, snippet: Co
     )
 
 
-def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame | None = None, limit: int | None = 500) -> DataFrame:
-    """The best hits of a query; limit=None gives all of them, unordered. Each table is filtered
+def search(t, query: str, timeline: DataFrame | None = None, findings: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """All hits of a query, unordered, or the best `limit` of them. Each table is filtered
     and scored where it is read, and the top rows are taken per task before they are merged."""
     needle = query.strip().lower()
     empty = len(needle) < MIN_QUERY or (limit is not None and limit <= 0)

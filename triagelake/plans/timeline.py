@@ -429,7 +429,7 @@ def histogram(timeline: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return joined.groupBy(*keys, "unit", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
 
 
-def table_view(timeline: DataFrame, cap: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """The first rows in time order for display, and the total they are taken from."""
-    first = timeline.orderBy("date", "host_id", "source", "kind", "path", "event_id").limit(cap)
-    return first, timeline.agg(F.count(F.lit(1)).alias("total"))
+def table_view(timeline: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows in time order (the first `cap` if that is given) and the total they are taken from."""
+    rows = timeline.orderBy("date", "host_id", "source", "kind", "path", "event_id")
+    return rows if cap is None else rows.limit(cap), timeline.agg(F.count(F.lit(1)).alias("total"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import times
 from triagelake.functions.ordered import carry_last
-from triagelake.functions.sizing import broadcast_if_small
 from triagelake.functions.text import contains_any, first_match, has_bit
 from triagelake.operators.findings import union
 from triagelake.sources.lines import FILE
@@ -33,12 +32,10 @@ def blank(c: str | Column) -> Column:
 
 
 # ---- File systems -----------------------------------------------------------------------------
-def file_listing(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Listed files without the dot entries. Ordered by folder and name only when a page is asked for."""
+def file_listing(rows: DataFrame) -> DataFrame:
+    """Listed files without the dot entries."""
     deleted = has_bit(F.coalesce("meta_flags", F.lit(0)), UNALLOCATED) | has_bit(F.coalesce("dir_flags", F.lit(0)), UNALLOCATED)
     kept = rows.filter(~F.col("name").isin(".", ".."))
-    if limit is not None:
-        kept = kept.orderBy("parent_path", "name").offset(offset).limit(limit)
     out = kept.select(
         "host_id", F.col("obj_id").alias("id"), "meta_addr", F.col("fs_obj_id").alias("fs_id"), F.coalesce("name", F.lit("")).alias("name"),
         F.coalesce("parent_path", F.lit("/")).alias("parent_path"), F.coalesce("size", F.lit(0)).alias("size"),
@@ -65,7 +62,7 @@ def volumes(rows: DataFrame) -> DataFrame:
 def extract_info(files: DataFrame, file_systems: DataFrame) -> DataFrame:
     """Start sector and record number a file's bytes are read from."""
     fs = file_systems.select("host_id", F.col("obj_id").alias("fs_obj_id"), F.coalesce("img_offset", F.lit(0)).alias("img_offset"))
-    joined = files.join(broadcast_if_small(fs), ["host_id", "fs_obj_id"])
+    joined = files.join(fs, ["host_id", "fs_obj_id"])
     return joined.select("host_id", F.col("obj_id").alias("id"), F.call_function("div", F.col("img_offset"), F.lit(512)).alias("offset_sectors"), F.coalesce("meta_addr", F.lit(0)).alias("meta_addr"))
 
 
@@ -103,7 +100,7 @@ def bodyfile(lines: DataFrame) -> DataFrame:
         *FILE, F.get("p", F.lit(0)).alias("md5"),
         F.when(link, F.regexp_extract("named", r"(?s)^(.*?) -> ", 1)).otherwise(F.col("named")).alias("path"),
         F.when(link, F.regexp_extract("named", r"(?s)^.*? -> (.*)$", 1)).alias("symlink_target"),
-        F.col("inode").cast("bigint").alias("inode"), mode.alias("mode"),
+        F.col("inode").try_cast("bigint").alias("inode"), mode.alias("mode"),
         *[F.coalesce(tail(i).try_cast("bigint"), F.lit(0)).alias(n) for i, n in ((2, "uid"), (3, "gid"), (4, "size"))],
         *[_body_time(tail(i)).alias(n) for i, n in ((5, "accessed"), (6, "modified"), (7, "changed"), (8, "created"))],
         mode.startswith("d").alias("is_directory"),
@@ -270,7 +267,7 @@ def correct_clock(rows: DataFrame, offsets: DataFrame, column: str = "raw", out:
     earliest = marks.groupBy("host_id").agg(F.min_by("_off", "_at").alias("_first"))
     joined = carried.join(earliest, "host_id", "left")
     fixed = F.col("_at") + F.coalesce("_seen", "_first", F.lit(0.0))
-    return joined.select(*cols, F.when(F.col("_at") > 1_000_000_000, F.timestamp_micros(F.round(fixed * 1_000_000).cast("bigint"))).alias(out))
+    return joined.select(*cols, F.when(F.col("_at") > 1_000_000_000, F.timestamp_micros(F.round(fixed * 1_000_000).try_cast("bigint"))).alias(out))
 
 
 def powerlog(process: DataFrame, lifecycle: DataFrame, frontmost: DataFrame, network: DataFrame, offsets: DataFrame, apps: DataFrame, scope: str = "") -> DataFrame:
@@ -283,10 +280,10 @@ def powerlog(process: DataFrame, lifecycle: DataFrame, frontmost: DataFrame, net
     zero = F.lit(0)
     total = lambda *names: sum((F.coalesce(F.col(n), zero) for n in names), F.lit(0)).cast("bigint")
     rows = union([
-        part(process, "process", "BundleID", process_name=blank("ProcessName"), pid=F.col("PID").cast("bigint")),
-        part(lifecycle, "appLifecycle", "BundleID", pid=F.col("PID").cast("bigint"), event=blank("EVENT")),
+        part(process, "process", "BundleID", process_name=blank("ProcessName"), pid=F.col("PID").try_cast("bigint")),
+        part(lifecycle, "appLifecycle", "BundleID", pid=F.col("PID").try_cast("bigint"), event=blank("EVENT")),
         part(frontmost, "frontmost", "BundleID"),
-        part(network, "network", "BundleName", process_name=blank("ProcessName"), raw_end=F.col("timestampEnd").cast("double"), bytes_in=total("WiFiIn", "CellIn"), bytes_out=total("WiFiOut", "CellOut")),
+        part(network, "network", "BundleName", process_name=blank("ProcessName"), raw_end=F.col("timestampEnd").try_cast("double"), bytes_in=total("WiFiIn", "CellIn"), bytes_out=total("WiFiOut", "CellOut")),
     ])
     rows = correct_clock(rows, offsets, "raw", "date")
     rows = correct_clock(rows, offsets, "raw_end", "end_date").filter("date IS NOT NULL")
@@ -344,7 +341,7 @@ def sid_text(raw: Column) -> Column:
     """S-revision-authority-sub… of a binary SID, null when it is too short."""
     h = F.hex(raw)
     num = lambda s: F.conv(s, 16, 10)
-    count = num(F.substring(h, 3, 2)).cast("int")
+    count = num(F.substring(h, 3, 2)).try_cast("int")
 
     def sub(i: Column) -> Column:
         at = i * 8 + 17
@@ -378,13 +375,13 @@ def srum_time(text: Column) -> Column:
     days = t.try_cast("double")
     return F.coalesce(
         F.try_to_timestamp(plain, F.lit("MMM d, yyyy HH:mm:ss")), F.try_to_timestamp(plain, F.lit("MMM d, yyyy")),
-        F.timestamp_micros(F.round((days * 86_400 + OLE_EPOCH_S) * 1_000_000).cast("bigint")),
+        F.timestamp_micros(F.round((days * 86_400 + OLE_EPOCH_S) * 1_000_000).try_cast("bigint")),
     )
 
 
 def srum(id_map: DataFrame, network: DataFrame | None = None, apps: DataFrame | None = None, connectivity: DataFrame | None = None) -> DataFrame:
     """The three usage tables with their ids resolved; an unknown id stays null."""
-    ids = broadcast_if_small(srum_ids(id_map))
+    ids = srum_ids(id_map)
     num = lambda c: F.trim(c).try_cast("bigint")
 
     def part(df: DataFrame, kind: str, **cols: Column) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.ordered import first_n
 from triagelake.functions.text import any_of, basename, contains_any, extension
 from triagelake.operators.cross_platform import full_path
 from triagelake.sources.lines import FILE, ORDER, extract, strip
@@ -136,16 +135,15 @@ def autostart(lines: DataFrame) -> DataFrame:
     return conform(out, "linux_persistence")
 
 
-def script(lines: DataFrame, kind: str, user: Column | None = None, suspicious_only: bool = False, limit: int = 100) -> DataFrame:
-    """Command lines of a start script: scaffolding and plain assignments left out, the first
-    hundred kept, as specified; optionally only those that look like execution."""
+def script(lines: DataFrame, kind: str, user: Column | None = None, suspicious_only: bool = False) -> DataFrame:
+    """Command lines of a start script without scaffolding and plain assignments; optionally only those that look
+    like execution."""
     t, low = F.col("t"), F.lower("t")
     scaffold = any_of(low.startswith(k) for k in SCAFFOLDING)
     plain = t.rlike(r"^[\p{L}\p{N}_]+=")
     df = _content(lines).filter((t != "exit 0") & ~scaffold & ~plain)
     if suspicious_only:
         df = df.filter(contains_any(low, SCRIPT_TELLS))
-    df = first_n(df, FILE, ORDER, limit)
     who = user if user is not None else F.lit(None).cast("string")
     return conform(df.select(*FILE, F.lit(kind).alias("kind"), who.alias("user"), t.alias("command")), "linux_persistence")
 
@@ -261,7 +259,7 @@ def normal_ipv4(token: Column) -> Column:
 
 def is_host_ipv4(ip: Column) -> Column:
     o = F.split(ip, r"\.")
-    a, b = o[0].cast("int"), o[1].cast("int")
+    a, b = o[0].try_cast("int"), o[1].try_cast("int")
     return F.coalesce(~(a.isin(0, 127) | ((a == 169) & (b == 254)) | (a >= 224)), F.lit(False))
 
 

@@ -55,7 +55,7 @@ def yearless(month: Column, day: Column, clock: list[Column], anchor: Column) ->
     year = F.coalesce(F.year(anchor), F.lit(2001))
 
     def at(y: Column) -> Column:
-        return F.try_make_timestamp(y, num, day.cast("int"), clock[0].cast("int"), clock[1].cast("int"), clock[2].cast("decimal(16,6)"))
+        return F.try_make_timestamp(y, num, day.try_cast("int"), clock[0].try_cast("int"), clock[1].try_cast("int"), clock[2].try_cast("decimal(16,6)"))
 
     stamp = at(year)
     late = stamp > anchor + F.expr("INTERVAL 2 DAYS")
@@ -68,7 +68,7 @@ def split_stamp(df: DataFrame) -> DataFrame:
     head, iso_rest = F.regexp_extract(line, r"^([^ ]*) (.*)$", 1), F.regexp_extract(line, r"^([^ ]*) (.*)$", 2)
     iso = zoned_instant(head)
     part = [F.regexp_extract(line, _CLASSIC, i) for i in range(1, 7)]
-    classic = part[0].isin(MONTHS) & part[1].cast("int").between(1, 31)
+    classic = part[0].isin(MONTHS) & part[1].try_cast("int").between(1, 31)
     stamp = yearless(part[0], part[1], part[2:5], F.col("anchor"))
     when = F.when(iso.isNotNull(), iso).when(classic, stamp)
     return computed(df, timestamp=when, rest=F.when(iso.isNotNull(), iso_rest).when(classic, part[5])).filter("rest IS NOT NULL")
@@ -291,7 +291,7 @@ def shell_history(lines: DataFrame, shell: Column | None = None) -> DataFrame:
     when = F.when(header, F.col("own")).when(F.col("before") >= 0, F.col("before"))
     out = df.withColumn("command", command).filter("stamp IS NULL AND command <> ''").select(
         *FILE, history_user(F.col("source_file")).alias("user"), "shell", "command",
-        F.timestamp_micros(F.round(when * 1_000_000).cast("bigint")).alias("timestamp"), F.col("n").alias("line_number"),
+        F.timestamp_micros(F.round(when * 1_000_000).try_cast("bigint")).alias("timestamp"), F.col("n").alias("line_number"),
     )
     return conform(out, "shell_history")
 
@@ -334,15 +334,14 @@ def audit_records(lines: DataFrame) -> DataFrame:
 def _argv(fields: Column) -> Column:
     """argv rebuilt from a0, a1, … and the pieces a0[0], a0[1], … of long arguments."""
     names = F.map_keys(fields)
-    argc = F.greatest(F.least(F.coalesce(F.element_at(fields, "argc").try_cast("int"), F.lit(64)), F.lit(4096)), F.lit(0))
     numbered_args = F.filter(names, lambda k: k.rlike(r"^a[0-9]+(?:_len|\[[0-9]+\])?$"))
-    index = F.array_sort(F.array_distinct(F.transform(numbered_args, lambda k: F.regexp_extract(k, "^a([0-9]+)", 1).cast("int"))))
-    index = F.filter(index, lambda i: i < argc + 8)
+    index = F.array_sort(F.array_distinct(F.transform(numbered_args, lambda k: F.regexp_extract(k, "^a([0-9]+)", 1).try_cast("int"))))
+    index = F.filter(index, lambda i: i.isNotNull())
 
     def one(i: Column) -> Column:
         base = F.concat(F.lit("a"), i.cast("string"))
         parts = F.filter(names, lambda k: k.startswith(F.concat(base, F.lit("["))))
-        ordered = F.array_sort(F.transform(parts, lambda k: F.struct(F.regexp_extract(k, r"\[([0-9]+)\]", 1).cast("int").alias("n"), k.alias("k"))))
+        ordered = F.array_sort(F.transform(parts, lambda k: F.struct(F.regexp_extract(k, r"\[([0-9]+)\]", 1).try_cast("int").alias("n"), k.alias("k"))))
         joined = F.array_join(F.transform(ordered, lambda s: F.coalesce(_audit_value(F.element_at(fields, s["k"])), F.lit(""))), "")
         whole = F.element_at(fields, base)
         return F.when(whole.isNotNull(), F.coalesce(_audit_value(whole), F.lit(""))).otherwise(joined)
@@ -396,7 +395,7 @@ def audit_log(lines: DataFrame, by_serial: bool = False) -> DataFrame:
     key = _audit_value(f("sc", "key"))
     command = F.coalesce(F.when(F.col("ex").isNotNull(), _argv(F.col("ex"))), _audit_value(f("pt", "proctitle")))
     out = ev.select(
-        *FILE, F.timestamp_micros(F.round(F.col("epoch") * 1_000_000).cast("bigint")).alias("timestamp"), "serial",
+        *FILE, F.timestamp_micros(F.round(F.col("epoch") * 1_000_000).try_cast("bigint")).alias("timestamp"), "serial",
         F.when(F.col("ex").isNotNull(), "EXECVE").when(F.col("sc").isNotNull(), "SYSCALL").otherwise(F.col("first_type")).alias("record_type"),
         syscall.alias("syscall"), F.when(f("sc", "success").isNotNull(), f("sc", "success") == "yes").alias("success"),
         f("sc", "exit").try_cast("bigint").alias("exit"), F.coalesce(_audit_value(f("sc", "exe")), _audit_value(f("avc", "exe"))).alias("exe"),

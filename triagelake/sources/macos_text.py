@@ -61,7 +61,7 @@ def security_log(lines: DataFrame, scope: str, year: int) -> DataFrame:
     short = r"^([A-Z][a-z]{2}) +([0-9]{1,2}) ([0-9]{2}):([0-9]{2}):([0-9]{2})$"
     cut = F.substring(t, 1, 15)
     month = F.element_at(F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))]), F.regexp_extract(cut, short, 1))
-    part = lambda i: F.regexp_extract(cut, short, i).cast("int")
+    part = lambda i: F.regexp_extract(cut, short, i).try_cast("int")
     bsd = F.when(cut.rlike(short), F.try_make_timestamp(F.lit(year), month, part(2), part(3), part(4), part(5)))
     used = F.when(iso.isNotNull(), 20).when(plain.isNotNull(), 19).when(bsd.isNotNull(), 15).otherwise(0)
     body = F.regexp_replace(F.substring(t, used + 1, F.length(t)), r"^\s+|\s+$", "")
@@ -107,10 +107,8 @@ def periodic_scripts(files: DataFrame) -> DataFrame:
 
 
 def rc_scripts(lines: DataFrame) -> DataFrame:
-    """One row per rc script with its first three commands."""
+    """One row per command of an rc script."""
     df = lines.withColumn("t", strip(F.col("line")))
-    live = (F.col("t") != "") & ~F.col("t").startswith("#")
-    packed = F.array_sort(F.collect_list(F.when(live, F.struct(*ORDER, "t"))))
-    agg = df.groupBy(*FILE).agg(F.array_join(F.transform(F.slice(packed, 1, 3), lambda s: s["t"]), " ; ").alias("command"))
-    out = agg.select(*FILE, F.lit("rcScript").alias("kind"), "command", F.regexp_extract("source_file", r"([^/]+)/*$", 1).alias("name"))
+    live = df.filter((F.col("t") != "") & ~F.col("t").startswith("#"))
+    out = live.select(*FILE, F.lit("rcScript").alias("kind"), F.col("t").alias("command"), F.regexp_extract("source_file", r"([^/]+)/*$", 1).alias("name"))
     return conform(out, "mac_persistence")
