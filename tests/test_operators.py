@@ -95,14 +95,20 @@ def test_indicator_boundaries(spark):
     assert sorted(r["location"]["path"] for r in ioc.match(t).collect()) == sorted("/p/" + g for g in good)
 
 
-def test_large_needle_list_takes_the_shuffled_path(spark):
+def test_substring_pairs(spark):
+    from triagelake.functions import substring
     from triagelake.functions.substring import substring_pairs
 
     rows = spark.createDataFrame([(i, f"abc needle{i}x end") for i in range(50)], "i long, t string")
     needles = spark.createDataFrame([(f"needle{i}x",) for i in range(0, 60, 2)], "needle string")
-    small = {(r["i"], r["needle"]) for r in substring_pairs(rows, "t", needles).collect()}
-    large = {(r["i"], r["needle"]) for r in substring_pairs(rows, "t", needles, max_seeds=3).collect()}
-    assert small == large == {(i, f"needle{i}x") for i in range(0, 50, 2)}
+    want = {(i, f"needle{i}x") for i in range(0, 50, 2)}
+    assert {(r["i"], r["needle"]) for r in substring_pairs(rows, "t", needles).collect()} == want
+    # A table in which every bit is set only lets more pieces through.
+    picked, wanted = substring.prepare(needles)
+    assert {(r["i"], r["needle"]) for r in substring_pairs(rows, "t", needles, (picked, wanted | True)).collect()} == want
+    odd = spark.createDataFrame([(1, "é"), (2, ""), (3, None), (4, "xé汉字y")], "i long, t string")
+    short = spark.createDataFrame([("é",), ("汉字",), ("",), ("y",)], "needle string")
+    assert {(r["i"], r["needle"]) for r in substring_pairs(odd, "t", short).collect()} == {(1, "é"), (4, "é"), (4, "汉字"), (4, "y")}
 
 
 def test_classify_and_text_helpers(spark):
@@ -173,3 +179,30 @@ def test_table_round_trip_replaces_only_its_hosts(spark, tmp_path):
     write_table(spark.createDataFrame([("a", "u", "x", 1), ("b", "u", "y", 2)], ddl), root, "shell_history")
     write_table(spark.createDataFrame([("b", "u", "z", 3)], ddl), root, "shell_history")
     assert sorted((r["host_id"], r["command"]) for r in read_table(spark, root, "shell_history").collect()) == [("a", "x"), ("b", "z")]
+
+
+def test_hostile_numbers_do_not_stop_a_job(spark):
+    from triagelake.functions import net
+    from triagelake.sources.linux_logs import audit_log
+
+    rows = [("99999999999999999999.1.1.1", False), ("1.2.3.4", True), ("", False), ("1.2.3.", False)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select(net.is_ipv4(F.col("t")).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+    assert one(spark, decode_entities, "&#99999999999999999999;&#xFFFFFFFFFFFFFFFFFFFFFF;%&amp;") is not None
+    line = 'type=EXECVE msg=audit(1700000000.123:7): argc=3 a0="ls" a99999999999="x" a1="-l" a7[99999999999]="y"'
+    frame = spark.createDataFrame([("h", "f", 0, 1, line)], "host_id string, source_file string, block long, line_no long, line string").withColumn("anchor", F.current_timestamp())
+    assert audit_log(frame).count() == 1
+
+
+def test_nothing_is_cut_off(spark):
+    from triagelake.sources import linux_config, macos_text
+    from triagelake.sources.linux_logs import audit_log
+
+    lines = [("h", "/etc/rc.local", 0, i, f"/bin/cmd{i} --go") for i in range(250)]
+    frame = spark.createDataFrame(lines, "host_id string, source_file string, block long, line_no long, line string").withColumn("anchor", F.current_timestamp())
+    assert linux_config.script(frame, "rcLocal").count() == 250
+    assert macos_text.rc_scripts(frame).count() == 250
+    args = " ".join(f'a{i}="x{i}"' for i in range(5000))
+    line = f"type=EXECVE msg=audit(1700000000.123:7): argc=5000 {args}"
+    frame = spark.createDataFrame([("h", "f", 0, 1, line)], "host_id string, source_file string, block long, line_no long, line string").withColumn("anchor", F.current_timestamp())
+    assert "x4999" in str(audit_log(frame).first())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions.once import computed
 from triagelake.functions.payload import decode_entities, with_fields
-from triagelake.functions.substring import substring_pairs
+from triagelake.functions.substring import prepare, substring_pairs
 from triagelake.operators.cross_platform import full_path
 from triagelake.operators.findings import text, union
 from triagelake.operators.windows import full_key
@@ -48,9 +48,9 @@ def standalone_pattern(needle: Column) -> Column:
     return F.when(needle.contains(":"), v6).otherwise(v4)
 
 
-def _matched(rows: DataFrame, needles: DataFrame) -> DataFrame:
+def _matched(rows: DataFrame, needles: DataFrame, prepared: tuple) -> DataFrame:
     """Rows joined to the needles in their `hay`, with the 1-based position of the match."""
-    pairs = substring_pairs(rows, "hay", needles)
+    pairs = substring_pairs(rows, "hay", needles, prepared)
     at = F.when(F.col("ioc_kind") == "ip", F.regexp_instr(F.col("hay"), standalone_pattern(F.col("needle")))).otherwise(F.position(F.col("needle"), F.col("hay")))
     return pairs.withColumn("at", at).filter(F.col("at") > 0)
 
@@ -69,6 +69,7 @@ def match(t, iocs: DataFrame | None = None, span: int = 80) -> DataFrame:
     """
     iocs = (iocs if iocs is not None else t["iocs"]).filter("value <> ''")
     needles = iocs.groupBy(F.lower("value").alias("needle"), "kind").agg(F.min("value").alias("ioc_value")).withColumnRenamed("kind", "ioc_kind")
+    prepared = prepare(needles)
     keep = ["host_id", "ioc_value", "ioc_kind", "location", "context", "timestamp"]
 
     ev = t["events"]
@@ -85,7 +86,7 @@ def match(t, iocs: DataFrame | None = None, span: int = 80) -> DataFrame:
     )
     keep_ev = ["host_id", "event_id", "record_number", "channel", "source_file", "written_at"]
     payload = computed(ev.select(*keep_ev, "payload_xml"), hay=F.lower(decode_entities(F.col("payload_xml")))).drop("payload_xml").filter("hay <> ''")
-    hit = _matched(payload, needles)
+    hit = _matched(payload, needles, prepared)
     start = F.greatest(F.lit(1), F.col("at") - span)
     stop = F.col("at") + F.length("needle") + span
     in_events = hit.select(
@@ -96,14 +97,14 @@ def match(t, iocs: DataFrame | None = None, span: int = 80) -> DataFrame:
     )
     reg = t["registry"]
     reg = reg.select("host_id", "hive", "path", "name", "data", "last_written", F.lower(F.concat_ws(" ", "data", full_key(reg))).alias("hay"))
-    in_registry = _matched(reg, needles).select(
+    in_registry = _matched(reg, needles, prepared).select(
         "host_id", "ioc_value", "ioc_kind",
         _location("registry", hive=F.col("hive"), path=F.col("path"), name=F.col("name")).alias("location"),
-        F.substring("data", 1, 160).alias("context"),
+        F.col("data").alias("context"),
         F.col("last_written").alias("timestamp"),
     )
     files = t["files"].select("host_id", full_path().alias("p"), F.coalesce("modified", "created").alias("timestamp"), F.lower(full_path()).alias("hay"))
-    in_files = _matched(files, needles).select(
+    in_files = _matched(files, needles, prepared).select(
         "host_id", "ioc_value", "ioc_kind", _location("file", path=F.col("p")).alias("location"), F.col("p").alias("context"), "timestamp"
     )
     return union([d.select(keep) for d in (structured, in_events, in_registry, in_files)])
