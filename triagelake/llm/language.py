@@ -111,8 +111,10 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
     langs = sorted(set(sample["lang"].to_pylist()))
     target = np.array([langs.index(x) for x in sample["lang"].to_pylist()])
     fold = np.asarray(sample["fold"])
-    keys = [np.asarray(x.values, np.int64) if x.values is not None else np.zeros(0, np.int64) for x in sample["keys"]]
-    counts = [np.asarray(x.values, np.float32) for x in sample["counts"]]
+    # Views of the Arrow buffers, not copies.
+    lists = sample.select(["keys", "counts"]).combine_chunks()
+    ends = np.append(0, np.cumsum(np.asarray(lists["keys"].combine_chunks().value_lengths())))
+    keys, counts = (np.split(np.asarray(lists[c].combine_chunks().flatten()), ends[1:-1]) for c in ("keys", "counts"))
     rng = np.random.default_rng(s.seed)
     emb = rng.normal(0, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out, bias = np.zeros((s.dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)

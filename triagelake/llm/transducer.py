@@ -58,15 +58,16 @@ def character_classes(tokenizer) -> bytes:
     Each code point is put after a letter, a digit and a sign; where the splitter does not cut, it is of that class.
     """
     # Planes 4 to 13 and 15 to 16 hold no assigned characters but private ones, which are of no class.
-    points = [p for p in (*range(0x40000), *range(0xE0000, 0xF0000)) if not 0xD800 <= p < 0xE000]
+    points = np.r_[0:0xD800, 0xE000:0x40000, 0xE0000:0xF0000]
     classes = np.full(0x110000, OTHER, np.uint8)
     classes[points] = WHITE
-    for mark, kind in (("!", OTHER), ("1", NUMBER), ("a", LETTER)):
-        text = "".join(mark + chr(p) for p in points)
-        cut = np.zeros(len(text) + 1, bool)
-        cut[[at[0] for _, at in tokenizer.pre_tokenizer.pre_tokenize_str(text)]] = True
-        joined = np.array(points)[~cut[1:-1:2]]
-        classes[joined] = kind
+    for i in range(0, len(points), 4096):  # in blocks, so that the library's lists of pieces stay small
+        block = points[i : i + 4096]
+        for mark, kind in (("!", OTHER), ("1", NUMBER), ("a", LETTER)):
+            text = "".join(mark + chr(p) for p in block.tolist())
+            cut = np.zeros(len(text) + 1, bool)
+            cut[[at[0] for _, at in tokenizer.pre_tokenizer.pre_tokenize_str(text)]] = True
+            classes[block[~cut[1:-1:2]]] = kind
     classes[0x20] = BLANK
     return zlib.compress(classes.tobytes())
 
