@@ -7,7 +7,7 @@ from triagelake.checks import registry
 from triagelake.checks.adapters import GIVEN
 
 DATA = "/root/testdata/sf0.001"
-NO_SQL = {"search_top", "entropy_of_documents", "fn_entities"}
+NO_SQL = {"search_top"}
 
 
 def test_every_query_has_sql():
@@ -15,7 +15,7 @@ def test_every_query_has_sql():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", ["lateral_nodes", "detect_web_attacks", "timeline_prefetch", "scan_sudo_log", "detect_powerlog_tools"])
+@pytest.mark.parametrize("name", ["lateral_nodes", "detect_web_attacks", "timeline_prefetch", "scan_sudo_log", "detect_powerlog_tools", "entropy_of_documents", "fn_entities"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in GIVEN:

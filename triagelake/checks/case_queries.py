@@ -131,7 +131,7 @@ QUERIES = {
     "file_leaves": _case(hierarchy.leaves),
     "encryption_bursts": _case(lambda t: cross_platform.encryption_bursts(t).select("host_id", "ext", "n")),
     "entropy_candidates": _case(lambda t: entropy.candidates(t).groupBy("host_id", "ext").agg(F.count(F.lit(1)).alias("n"))),
-    "entropy_of_documents": _case(lambda t: entropy.max_entropy(t.given("documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), ["doc_id"])),
+    "entropy_of_documents": _case(lambda t: entropy.max_entropy(t.given("documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), ["doc_id"]).select("doc_id", F.round("h", 6).alias("h"))),
     "entropy_statistics": _case(lambda t: entropy.statistics(t.given("documents").select(F.col("source").alias("host_id"), F.col("lang").alias("ext"), (F.col("n_chars") % 80 / 10).alias("h"))).select("host_id", "ext", "sampled", "high", F.round("mean_entropy", 6).alias("mean_entropy"), "max_entropy")),
     "scan_candidates": _case(lambda t: entropy.scan_candidates(t, 3000).select("host_id", "id", "name", "size")),
     # functions
@@ -142,7 +142,7 @@ QUERIES = {
     "fn_extension": _case(lambda t: t["files"].select("id", text.extension(F.col("name")).alias("ext"), text.basename(F.col("parent_path")).alias("base"))),
     "fn_url_host": _case(lambda t: t.given("pages").select("page_id", F.lower(net.url_host(F.col("url"))).alias("host"))),
     "fn_payload_field": _case(lambda t: windows.with_fields(t["events"], command="CommandLine").select("record_number", "command")),
-    "fn_entities": _case(lambda t: t.given("pages").select("page_id", F.length(decode_entities(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("n"))),
+    "fn_entities": _case(lambda t: t.given("pages").select("page_id", F.length(decode_entities(F.col("html"))).alias("n"))),
     "fn_csv_record": _case(_csv_lines),
     "event_filter": _case(lambda t: filters.event_filter(t["events"], "info", "40").select("record_number")),
     "quick_filter_web": _case(lambda t: filters.web_filter(t["web_access"], "SQLMAP", errors=True).select("host_id", "client_ip", "path", "status")),

@@ -217,3 +217,12 @@ O["scan_amcache"] = rf"""{cte('registry')} SELECT host_id, coalesce(regexp_extra
 O["scan_powerlog_clock"] = f"""WITH r AS (SELECT {H} h, event_id, CAST(epoch_us(ts) // 1000000 + event_id % 2 AS DOUBLE) raw FROM events), o AS (SELECT {H} h, CAST(epoch_us(ts) // 1000000 AS DOUBLE) t, CAST(max(event_id) % 100 AS DOUBLE) s FROM events WHERE event_type = 'error' GROUP BY 1, 2), f AS (SELECT h, arg_min(s, t) s0 FROM o GROUP BY h)
  SELECT r.h AS host_id, r.event_id, r.raw, CAST((r.raw + coalesce(o.s, f.s0, 0)) * 1000000 AS BIGINT) AS date_us FROM r ASOF LEFT JOIN o ON r.h = o.h AND r.raw >= o.t LEFT JOIN f ON f.h = r.h"""
 O["scan_safari_history"] = "SELECT url, 't' || max(event_id) AS title, 'Safari' AS user_profile, (978307200 + max(event_id) * 10) * 1000000 AS timestamp_us FROM pages JOIN events ON event_id % 300 = page_id WHERE event_id > 0 GROUP BY page_id, url"
+# Windows of 64 KiB: the head, and of contents over 128 KiB the middle and the tail; two hex digits a byte.
+O["entropy_of_documents"] = """WITH d AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents),
+w AS (SELECT doc_id, k, CASE k WHEN 0 THEN substr(x, 1, 131072) WHEN 1 THEN substr(x, 2 * (n // 2 - 32768) + 1, 131072) ELSE substr(x, 2 * (n - 65536) + 1, 131072) END AS b
+  FROM d, unnest([0, 1, 2]) AS t(k) WHERE k = 0 OR n > 131072),
+c AS (SELECT doc_id, k, substr(b, 2 * i + 1, 2) AS v, count(*) AS c FROM w, unnest(range(length(b) // 2)) AS u(i) WHERE length(b) >= 1024 GROUP BY ALL),
+p AS (SELECT doc_id, k, c / sum(c) OVER (PARTITION BY doc_id, k) AS p FROM c)
+SELECT doc_id, round(max(h), 6) AS h FROM (SELECT doc_id, k, -sum(p * log2(p)) + 0.0 AS h FROM p GROUP BY doc_id, k) GROUP BY doc_id"""
+# Every entity becomes one character; the ampersand comes last, so that no text is decoded twice.
+O["fn_entities"] = """SELECT page_id, length(replace(regexp_replace(html, '&(lt|gt|quot|apos|#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8});', 'x', 'g'), '&amp;', '&')) AS n FROM pages"""

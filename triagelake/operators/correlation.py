@@ -107,7 +107,7 @@ def source_pivots(t, ips: DataFrame | None = None) -> DataFrame:
         agg,
         "source_pivots",
         title=text("Source ", F.col("ip"), " authenticated to ", F.col("n"), " hosts (lateral pivot)"),
-        detail=text("The remote-logon source `", F.col("ip"), "` authenticated to ", F.col("n"), " hosts: ", F.array_join("hosts", ", "), "."),
+        detail=text(F.col("ip"), " logged on to ", F.col("n"), " hosts: ", F.array_join("hosts", ", "), "."),
         severity=severity_for(F.col("n")),
         phase=EXPLOIT,
         attack="T1021",

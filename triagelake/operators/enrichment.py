@@ -41,7 +41,7 @@ def enrich(indicators: DataFrame, feeds: DataFrame, cache: DataFrame | None = No
         seen = cache.select("key", F.struct("verdict", "source", "tier", "detail").alias("c"))
         best = best.join(seen, "key", "full").select("key", F.coalesce("c", "v").alias("v"))
     out = wanted.join(best, "key", "left")
-    none = F.lit("No configured source had a verdict.")
+    none = F.lit("No source knows it.")
     return out.select(
         "key", "kind", "indicator",
         F.coalesce("v.verdict", F.lit("unknown")).alias("verdict"),
