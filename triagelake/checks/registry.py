@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.checks import case_queries, oracle_case, oracle_detections, oracle_timeline, timeline_queries
+from triagelake.checks import case_queries, oracle_case, oracle_detections, oracle_timeline, table_queries, timeline_queries
 from triagelake.checks.adapters import GivenCase
 from triagelake.plans.detections import DETECTIONS
 
@@ -36,8 +36,8 @@ def _detection(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{f"detect_{n}": _detection(n) for n in DETECTIONS}, **timeline_queries.QUERIES, **case_queries.QUERIES}
+    return {**{f"detect_{n}": _detection(n) for n in DETECTIONS}, **timeline_queries.QUERIES, **case_queries.QUERIES, **table_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{f"detect_{n}": s for n, s in oracle_detections.ORACLES.items()}, **oracle_timeline.ORACLES, **oracle_case.ORACLES}
+    return {**{f"detect_{n}": s for n, s in oracle_detections.ORACLES.items()}, **oracle_timeline.ORACLES, **oracle_case.ORACLES, **table_queries.ORACLES}
