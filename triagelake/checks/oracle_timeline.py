@@ -84,7 +84,7 @@ def branch(table: str) -> str:
 
 
 FLAT_ROW = "host_id, epoch_us(date) AS date_us, kind, source, path, size, is_deleted, event_id"
-MIXED = ["files", "events", "web_access", "syslog", "prefetch", "usn"]
+MIXED = list(ROWS)
 TL = f"{cte(*MIXED)}, tl AS ({' UNION ALL '.join(branch(n) for n in MIXED)})"
 GAP_S = 3600
 SESS = f"""{TL}, f AS (SELECT host_id, date, lag(date) OVER (PARTITION BY host_id ORDER BY date) p FROM tl), g AS (SELECT *, CASE WHEN p IS NULL OR epoch_us(date) - epoch_us(p) > {GAP_S * 1000000} THEN 1 ELSE 0 END n FROM f),
@@ -93,6 +93,7 @@ SESS = f"""{TL}, f AS (SELECT host_id, date, lag(date) OVER (PARTITION BY host_i
 ORACLES = {f"timeline_{n}": f"{cte(n)} SELECT {FLAT_ROW} FROM ({branch(n)}) z" for n in ROWS}
 ORACLES |= {
     "timeline_filtered": f"{TL} SELECT {FLAT_ROW} FROM tl WHERE kind IN ('C', 'M') AND source IN ('FS', 'EVTX', 'WEB') AND NOT ends_with(path, '-slack') AND (contains(lower(path), '46') OR contains(CAST(event_id AS VARCHAR), '46')) AND date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2024-01-20'",
+    "timeline_all": f"{TL} SELECT {FLAT_ROW} FROM tl WHERE date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
     "timeline_pivot": f"{TL} SELECT {FLAT_ROW} FROM tl WHERE date BETWEEN TIMESTAMP '2024-01-10 11:30:00' AND TIMESTAMP '2024-01-10 12:30:00'",
     "timeline_extent": f"{TL} SELECT host_id, epoch_us(min(date)) AS first_us, epoch_us(max(date)) AS last_us FROM tl GROUP BY host_id",
     "timeline_default_sources": f"{TL} SELECT DISTINCT host_id, source FROM tl WHERE source IN ({', '.join(q(s) for s in tl.BOUNDED_SOURCES)})",
