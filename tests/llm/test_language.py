@@ -17,7 +17,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark, odd, empty):
-    model = language.train(odd.withColumn("lang", F.coalesce("lang", F.lit("en"))))
+    model = language.train(odd.withColumn("lang", F.coalesce("lang", F.lit("en"))), language.Settings(steps=60))
     got = language.identify(odd, model).collect()
     assert len(got) == odd.count()
     und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
@@ -30,6 +30,6 @@ def test_odd_rows(spark, odd, empty):
 
 
 def test_rejection_needs_confidence(spark, odd):
-    model = language.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    model = language.train(spark.read.parquet(f"{DATA}/documents.parquet"), language.Settings(sample_rows=300, steps=60))
     rows = language.identify(spark.createDataFrame([(1, "zq"), (2, "the thing and of the with that is")], "doc_id long, text string"), model).collect()
     assert all(r["accepted"] == (r["score"] >= model.settings.reject_below) for r in rows)
