@@ -14,7 +14,7 @@ HEADLINE = [
     "detect_suspicious_powershell", "detect_usn_renamed_to_exec", "detect_mass_encryption", "detect_ssh_brute_force",
     "detect_web_attacks", "detect_anti_forensics", "detect_security_blocks", "detect_recycle_bin_burst", "timeline_files",
     "timeline_filtered", "timeline_histogram_months", "timeline_sessions", "enrichment", "search_top",
-    "file_tree", "kill_chain_groups", "scan_auth_log", "scan_audit_log", "scan_powerlog_clock",
+    "ioc_matches", "timeline_all", "file_tree", "kill_chain_groups", "scan_auth_log", "scan_audit_log", "scan_powerlog_clock",
 ]
 
 

@@ -146,6 +146,7 @@ QUERIES = {
     "fn_csv_record": _case(_csv_lines),
     "event_filter": _case(lambda t: filters.event_filter(t["events"], "info", "40").select("record_number")),
     "quick_filter_web": _case(lambda t: filters.web_filter(t["web_access"], "SQLMAP", errors=True).select("host_id", "client_ip", "path", "status")),
+    "quick_filter_tables": _case(lambda t: union([filters.table_filter(t, n, "A1").groupBy("host_id").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in filters.TEXT_COLUMNS])),
     "quick_filter_usn": _case(lambda t: filters.usn_filter(t["usn"], "rename", key_changes=True).select("usn")),
     "quick_filter_mft": _case(lambda t: filters.mft_filter(t["mft"], "drop", anomalies=True).select("record_number")),
     "quick_filter_journal": _case(lambda t: filters.journal_filter(t["journald"], "ssh", errors=True).select("host_id", "message")),

@@ -7,6 +7,7 @@ from triagelake.checks import oracle_timeline as tlo
 from triagelake.checks.adapters import cte, q
 from triagelake.checks.oracle_detections import BASE, EXT, any_, case_, fld, in_
 from triagelake.operators import correlation, cross_platform
+from triagelake.operators.filters import TEXT_COLUMNS
 from triagelake.operators.findings import PHASES
 from triagelake.operators.ioc import KIND_LABELS
 from triagelake.operators.windows import USN_REASONS
@@ -251,3 +252,7 @@ O["scan_ld_preload"] = f"SELECT {H} AS host_id, '/lib/x' || event_id || '.so' AS
 O["scan_systemd_service"] = f"SELECT {H} AS host_id, 'u' || event_id AS \"user\", '/opt/run ' || event_id AS command, 'u' || event_id || '.service' AS unit_name, 'unit ' || event_id AS detail FROM events"
 O["scan_systemd_timer"] = f"SELECT {H} AS host_id, 'daily, ' || event_id AS schedule, 'u' || event_id || '.service' AS command, 'u' || event_id || '.timer' AS unit_name, 'timer ' || event_id AS detail FROM events"
 O["scan_autostart"] = f"SELECT {H} AS host_id, '/usr/bin/app ' || event_id AS command, 'u' || event_id || '.desktop' AS unit_name, 'app ' || event_id AS detail FROM events"
+NOT_GIVEN = {("ssh_keys", "host"), ("recent_items", "scope"), ("kexts", "team_id"), ("network", "detail")}  # null in the adapters
+O["quick_filter_tables"] = cte(*TEXT_COLUMNS) + " UNION ALL ".join(
+    f" SELECT host_id, '{n}' AS name, count(*) AS n FROM a_{n} WHERE " + " OR ".join(f"contains(lower(coalesce({c if c != 'user' else chr(34) + c + chr(34)}, '')), 'a1')" for c in columns if (n, c) not in NOT_GIVEN) + " GROUP BY host_id" for n, columns in TEXT_COLUMNS.items()
+)

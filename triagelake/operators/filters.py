@@ -14,6 +14,41 @@ from triagelake.operators.windows import USN_CREATE, USN_DELETE, USN_NEW_NAME, U
 
 # Level numbers per choice; level 0 counts as information.
 LEVELS = {"all": None, "critical": [1], "error": [2], "warning": [3], "info": [4, 0]}
+# Columns that the filter of a table looks at; tables with conditions of their own have a function below.
+TEXT_COLUMNS = {
+    "shimcache": ["path"],
+    "wmi": ["filter_name", "consumer_name", "command", "query", "script_text"],
+    "prefetch": ["executable_name", "executable_path"],
+    "amcache": ["name", "full_path", "sha1"],
+    "srum": ["application", "user_sid"],
+    "jumplist": ["target_path", "application", "app_id"],
+    "recycle_bin": ["original_path", "sid"],
+    "lnk": ["source_file", "local_path", "network_path", "arguments"],
+    "packages": ["package", "version"],
+    "linux_persistence": ["command", "unit_name", "user"],
+    "auth_log": ["message", "user", "source_ip", "process"],
+    "logins": ["user", "host", "line"],
+    "lastlog": ["user", "host"],
+    "shell_history": ["command", "user"],
+    "syslog": ["message", "user", "process", "unit"],
+    "ssh_keys": ["user", "host", "algorithm", "comment"],
+    "mac_persistence": ["name", "command", "kind", "source_file"],
+    "installs": ["display_name", "process_name"],
+    "kexts": ["bundle_id", "name", "team_id", "path"],
+    "knowledge": ["value", "stream"],
+    "quarantine": ["agent_name", "data_url", "origin_url"],
+    "mail": ["subject", "sender", "recipients", "mailbox"],
+    "messages": ["text", "handle", "chat_name"],
+    "notifications": ["app_id", "title", "body"],
+    "network": ["name", "identifier", "detail"],
+    "powerlog": ["process_name", "bundle_id"],
+    "recent_items": ["title", "value", "source_file", "scope"],
+    "security_events": ["message", "process", "path"],
+    "tcc": ["service", "client"],
+    "browser_history": ["url", "title"],
+    "doc_versions": ["file_path"],
+    "user_activity": ["path"],
+}
 
 
 def quick_filter(df: DataFrame, query: str = "", columns: Sequence[str | Column] = (), flag: Column | None = None) -> DataFrame:
@@ -25,6 +60,11 @@ def quick_filter(df: DataFrame, query: str = "", columns: Sequence[str | Column]
     return out.filter(any_of(F.coalesce(F.lower(c.cast("string")).contains(query.lower()), F.lit(False)) for c in cols))
 
 
+def table_filter(t, name: str, query: str = "") -> DataFrame:
+    """The rows of a table that hold the query in one of its text columns."""
+    return quick_filter(t[name], query, TEXT_COLUMNS[name])
+
+
 def event_filter(events: DataFrame, level: str = "all", query: str = "") -> DataFrame:
     wanted = LEVELS[level]
     flag = None if wanted is None else F.col("level").isin(wanted)
