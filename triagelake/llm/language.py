@@ -126,7 +126,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
         rows_ = order[step * s.batch : (step + 1) * s.batch]
         rate = s.rate * (1 - step / s.steps)
         k = np.concatenate([keys[r] for r in rows_]).astype(np.intp)  # the type that add.at is fast for
-        c = np.concatenate([counts[r] / max(1.0, counts[r].sum()) for r in rows_])
+        c = np.concatenate([counts[r] / max(1.0, counts[r].sum()) for r in rows_]).astype(np.float32)
         own = np.repeat(np.arange(len(rows_)), [len(keys[r]) for r in rows_])
         mean = np.zeros((len(rows_), s.dim), np.float32)
         np.add.at(mean, own, emb[k] * c[:, None])
