@@ -252,3 +252,15 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM e WHERE list_inner_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / a.n / b.n >= 0.98),
+r AS (SELECT DISTINCT x AS v, x AS m FROM l UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.v),
+c AS (SELECT v, min(m) AS m FROM r GROUP BY v), k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.v = vec_id LEFT JOIN k ON k.x = vec_id
+"""

@@ -10,6 +10,7 @@ from triagelake.llm.jaccard import ORACLE as JACCARD_SQL
 from triagelake.llm.jaccard import op1_jaccard
 from triagelake.llm.language import op9_language
 from triagelake.llm.mixing import op2_mixing
+from triagelake.llm.neardup import ORACLE as NEARDUP_SQL
 from triagelake.llm.neardup import op10_neardup
 from triagelake.llm.packing import op8_packing
 from triagelake.llm.privacy import op3_privacy
@@ -36,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op1_jaccard": JACCARD_SQL,
     "op5_substrings": SUBSTRINGS_SQL,
     "op7_topk": TOPK_SQL,
+    "op10_neardup": NEARDUP_SQL,
 }
