@@ -332,7 +332,7 @@ def audit_records(lines: DataFrame) -> DataFrame:
 
 
 def _argv(fields: Column) -> Column:
-    """argv rebuilt from a0, a1, … and the pieces a0[0], a0[1], … of long arguments."""
+    """argv rebuilt from the decoded values a0, a1, … and the pieces a0[0], a0[1], … of long arguments."""
     names = F.map_keys(fields)
     numbered_args = F.filter(names, lambda k: k.rlike(r"^a[0-9]+(?:_len|\[[0-9]+\])?$"))
     index = F.array_sort(F.array_distinct(F.transform(numbered_args, lambda k: F.regexp_extract(k, "^a([0-9]+)", 1).try_cast("int"))))
@@ -342,9 +342,8 @@ def _argv(fields: Column) -> Column:
         base = F.concat(F.lit("a"), i.cast("string"))
         parts = F.filter(names, lambda k: k.startswith(F.concat(base, F.lit("["))))
         ordered = F.array_sort(F.transform(parts, lambda k: F.struct(F.regexp_extract(k, r"\[([0-9]+)\]", 1).try_cast("int").alias("n"), k.alias("k"))))
-        joined = F.array_join(F.transform(ordered, lambda s: F.coalesce(_audit_value(F.element_at(fields, s["k"])), F.lit(""))), "")
-        whole = F.element_at(fields, base)
-        return F.when(whole.isNotNull(), F.coalesce(_audit_value(whole), F.lit(""))).otherwise(joined)
+        joined = F.array_join(F.transform(ordered, lambda s: F.coalesce(F.element_at(fields, s["k"]), F.lit(""))), "")
+        return F.when(F.map_contains_key(fields, base), F.coalesce(F.element_at(fields, base), F.lit(""))).otherwise(joined)
 
     text = F.trim(F.array_join(F.transform(index, one), " "))
     return F.when(text != "", text)
@@ -386,23 +385,27 @@ def audit_log(lines: DataFrame, by_serial: bool = False) -> DataFrame:
         v = F.coalesce(f("sc", k), f("us", k)).try_cast("bigint")
         return F.when(v != UNSET_ID, v)
 
-    name, cwd = _audit_value(f("pth", "name")), _audit_value(f("cwd", "cwd"))
+    # All values that need it are decoded once, by one expression for the single ones and one for the arguments.
+    wanted = [("pth", "name"), ("cwd", "cwd"), ("sc", "key"), ("pt", "proctitle"), ("sc", "exe"), ("avc", "exe"), ("sc", "comm"), ("sc", "tty"), ("us", "acct"), ("us", "id")]
+    ev = computed(ev, _values=F.transform(F.array(*[f(m, k) for m, k in wanted]), _audit_value), _args=F.transform_values("ex", lambda k, v: _audit_value(v)))
+    value = lambda m, k: F.col("_values")[wanted.index((m, k))]
+    name, cwd = value("pth", "name"), value("cwd", "cwd")
     path = F.when(name.isNull(), cwd).when(name.startswith("/") | cwd.isNull(), name).otherwise(F.concat(cwd, F.lit("/"), name))
     nested = F.coalesce(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(f("us", "msg"), "^'", ""), "'$", ""), '^"', ""), '"$', ""), F.lit(""))
     outcome = F.coalesce(f("us", "res"), _sub_field(nested, "res"))
     result = F.when(F.lower(outcome).isin("1", "success"), "success").when(F.lower(outcome).isin("0", "failed"), "failed").otherwise(outcome)
     addr = F.coalesce(f("us", "addr"), _sub_field(nested, "addr"))
-    key = _audit_value(f("sc", "key"))
-    command = F.coalesce(F.when(F.col("ex").isNotNull(), _argv(F.col("ex"))), _audit_value(f("pt", "proctitle")))
+    key = value("sc", "key")
+    command = F.coalesce(F.when(F.col("ex").isNotNull(), _argv(F.col("_args"))), value("pt", "proctitle"))
     out = ev.select(
         *FILE, F.timestamp_micros(F.round(F.col("epoch") * 1_000_000).try_cast("bigint")).alias("timestamp"), "serial",
         F.when(F.col("ex").isNotNull(), "EXECVE").when(F.col("sc").isNotNull(), "SYSCALL").otherwise(F.col("first_type")).alias("record_type"),
         syscall.alias("syscall"), F.when(f("sc", "success").isNotNull(), f("sc", "success") == "yes").alias("success"),
-        f("sc", "exit").try_cast("bigint").alias("exit"), F.coalesce(_audit_value(f("sc", "exe")), _audit_value(f("avc", "exe"))).alias("exe"),
-        _audit_value(f("sc", "comm")).alias("comm"), command.alias("command_line"), path.alias("path"),
-        ident("auid").alias("auid"), ident("uid").alias("uid"), ident("ses").alias("ses"), _audit_value(f("sc", "tty")).alias("tty"),
+        f("sc", "exit").try_cast("bigint").alias("exit"), F.coalesce(value("sc", "exe"), value("avc", "exe")).alias("exe"),
+        value("sc", "comm").alias("comm"), command.alias("command_line"), path.alias("path"),
+        ident("auid").alias("auid"), ident("uid").alias("uid"), ident("ses").alias("ses"), value("sc", "tty").alias("tty"),
         F.when(key != "(null)", key).alias("key"),
-        F.coalesce(_audit_value(f("us", "acct")), _sub_field(nested, "acct"), _audit_value(f("us", "id"))).alias("account"),
+        F.coalesce(value("us", "acct"), _sub_field(nested, "acct"), value("us", "id")).alias("account"),
         result.alias("result"), F.when(~addr.isin("?", ""), addr).alias("source_ip"),
     )
     return conform(out, "audit")
