@@ -312,9 +312,12 @@ def _sub_field(blob: Column, key: str) -> Column:
     return F.when(blob.rlike(rf'^.*?{key}="'), quoted).otherwise(word)
 
 
+AUDIT_HEAD = r"^(?:node=[^ ]* )?type=([^ ]*) msg=audit\(([^:)]*):([^:)]*)\):? ?(.*)$"
+
+
 def audit_records(lines: DataFrame) -> DataFrame:
     """Type, epoch, serial and the raw fields of each audit line."""
-    head = r"^(?:node=[^ ]* )?type=([^ ]*) msg=audit\(([^:)]*):([^:)]*)\):? ?(.*)$"
+    head = AUDIT_HEAD
     line = F.col("line")
     body = F.regexp_extract(line, head, 4)
     pattern = r"""([^ =]+)=("[^"]*(?:"|$)|'[^']*(?:'|$)|[^ ]*)"""
@@ -359,9 +362,12 @@ def audit_log(lines: DataFrame, by_serial: bool = False) -> DataFrame:
     if by_serial:
         rec = rec.withColumn("island", F.col("serial"))
     else:
-        rec = carry_last(rec, FILE, "block", ORDER, {"_prev": F.col("serial")}, inclusive=False)
-        fresh = F.col("_prev").isNull() | (F.col("_prev") != F.col("serial"))
-        rec = running_sum(rec, FILE, "block", ORDER, {"island": fresh.cast("int")})
+        # The groups are found on the serials alone, so that the fields of a line are parsed and moved once.
+        bare = lines.filter(F.col("line").rlike(AUDIT_HEAD)).select(*FILE, *ORDER, F.regexp_extract("line", AUDIT_HEAD, 3).try_cast("bigint").alias("_serial")).filter("_serial IS NOT NULL")
+        bare = carry_last(bare, FILE, "block", ORDER, {"_prev": F.col("_serial")}, inclusive=False)
+        fresh = F.col("_prev").isNull() | (F.col("_prev") != F.col("_serial"))
+        bare = running_sum(bare, FILE, "block", ORDER, {"island": fresh.cast("int")}).select(*FILE, *ORDER, "island")
+        rec = rec.join(bare, [*FILE, *ORDER])
     kind = F.col("type")
     at = F.struct("block", "line_no")
     is_user = kind.rlike("^(?:USER_|CRED_|ADD_|DEL_)") | kind.isin("GRP_MGMT", "LOGIN", "ANOM_ABEND")
