@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm import jaccard, language, mixing, packing, privacy
-from triagelake.llm.shared import stored, table
+from triagelake.llm.shared import in_written_order, stored, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into training sequences; a row per piece."""
-    return packing.pack(docs)
+    """Packs the documents into training sequences in the order of the mix; a row per piece.
+
+    The mix is the order in which its table was written, so docs must be read from files.
+    """
+    return packing.pack(in_written_order(docs, "doc_id", "text"))
 
 
 STAGES = [

@@ -30,6 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns of a table read from files, in the order in which the rows were written: by range over
+    partitions and sorted inside each.
+
+    A plain read deals out files and splits by size, not by place. The writer numbers its files by partition; a task
+    that wrote several numbers those behind the same partition number.
+    """
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+    placed = docs.select(*columns, F.struct(number.alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place"))
+    return placed.repartitionByRange("_place").sortWithinPartitions("_place").select(*columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
