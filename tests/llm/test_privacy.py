@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -81,3 +82,26 @@ def test_odd_rows(spark, odd, empty):
 def test_overlapping_spans(spark):
     rows = spark.createDataFrame([(1, "x +1.2.3.4 567 8901 y")], "doc_id long, text string")
     assert privacy.sanitise(rows).first()["text"] == "x <phone> y"
+
+
+def test_far_and_rare_terms_go(spark):
+    filler = "plain common words stand here " * 40
+    rows = [(i, f"plain common words stand here note {i}") for i in range(300)]
+    rows += [(1000, f"Quillon opened it. {filler} write to one@corp.example today, said quillon"), (1001, f"call +1 (555) 010-9999 {filler} for Zebulon"), (1002, f"{filler} Zebulon has +1 555 0109999")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in privacy.sanitise(docs).collect()}
+    # Further off than any window, and with values that stand in one and in two documents.
+    assert "quillon" not in out[1000].lower() and all("Zebulon" not in out[i] for i in (1001, 1002))
+    assert all(out[i].count("plain common words stand here") == 40 for i in (1000, 1001, 1002))
+    assert all(out[i] == t for i, t in rows[:300])
+    found = {r["doc_id"]: r["terms"] for r in privacy.find_personal_data(docs).collect()}
+    assert [rows[300][1][s["start"] : s["end"]] for s in found[1000] if s["value"] == "<term>"].count("Quillon") == 1
+
+
+def test_shares_follow_the_counts(spark):
+    rows = [(1, "alpha beta me@corp.example"), (2, "alpha beta gamma me@corp.example"), (3, "gamma delta"), *[(i, "delta") for i in range(4, 21)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = privacy._holding(privacy.with_base(docs))
+    got = {r["term"]: r["share"] for r in privacy.disclosures(docs, held, prior=1.0).collect()}
+    want = {t: 1 - math.log2((n_ct + 0.1) / (n_t + 1)) / math.log2(0.1) for t, n_ct, n_t in (("alpha", 2, 2), ("beta", 2, 2), ("gamma", 1, 2), ("corp", 2, 2), ("example", 2, 2))}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)

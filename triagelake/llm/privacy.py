@@ -1,10 +1,14 @@
 """Operator 3. Personal data, and terms that give it away. Built-in functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers found by pattern in whole texts.
-On top of them comes information-theoretic sanitisation: each base value is a protected entity c, and a term t in its
-neighbourhood reveals it as strongly as their co-occurrence in the corpus says, PMI(c; t) = log2(N n(c,t) / n(c) n(t)),
-measured against what there is to reveal, IC(c) = log2(N / n(c)). Where the ratio reaches a threshold, the term is
-generalised to its kind, above a higher one it is removed. n counts documents of the whole corpus.
+On top of them comes information-theoretic sanitisation: each base value is a protected entity c, and a term t of a
+document that holds it reveals it as strongly as their co-occurrence in the corpus says, PMI(c; t) = log2(p(c|t) / p(c)),
+measured against what there is to reveal, IC(c) = log2(1 / p(c)). Where the ratio reaches a threshold, every occurrence
+of the term in the documents with c is generalised to its kind, above a higher one it is removed. All counts n are of
+whole documents of the whole corpus.
+
+With p(c) = n(c) / N, p(c|t) is (n(c,t) + PRIOR p(c)) / (n(t) + PRIOR): PRIOR documents' worth of independence are added
+to what was seen, so few documents say less than many of the same ratio, and a value seen only once is judged too.
 """
 
 from __future__ import annotations
@@ -24,10 +28,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 
-#: Code points on each side of a value in which a term counts as its neighbour.
-REACH = 60
-#: Different neighbourhoods of a value in which a term must stand before it is judged.
-SUPPORT = 3
+#: Documents with a term that are assumed besides those seen, in which the value stands as often as anywhere.
+PRIOR = 1.0
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -90,52 +92,63 @@ def with_base(docs: DataFrame) -> DataFrame:
     return computed(docs, _key=text_key(), _base=base_spans(F.col("text")))
 
 
-def _neighbours(rows: DataFrame, reach: int) -> DataFrame:
-    """Terms near each base span: doc_id, _key, entity, context, term, start, end. A term inside a base span is none."""
-    one = rows.filter(F.size("_base") > 0).select("doc_id", "_key", "text", "_base", F.explode("_base").alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
-    # A word that the edge of the neighbourhood cuts is left out.
-    left = F.when(F.col("s.start") > reach, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    right = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach + 1)), r"\p{L}+$", "")
-    right = F.when(F.col("s.end") + reach >= F.char_length("text"), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach))).otherwise(right)
-    entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.lower(F.regexp_replace("s.value", r"[\x20()-]", "")))
-    one = computed(one, entity=entity, left=left, right=right)
+def _terms_of(text: Column) -> Column:
+    """The distinct terms of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def placed(side: str, offset: Column) -> Column:
-        return F.transform(located(F.col(side), TERM, 4), lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + offset).alias("start"), (t["end"] + offset).alias("end")))
 
-    terms = F.concat(placed("left", F.col("s.start") - F.char_length("left")), placed("right", F.col("s.end")))
-    free = F.filter(terms, lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    context = F.xxhash64("left", "right")
-    return one.select("doc_id", "_key", "entity", context.alias("context"), F.explode(free).alias("t")).select("doc_id", "_key", "entity", "context", "t.*")
+def _holding(rows: DataFrame) -> DataFrame:
+    """The rows that hold base values: doc_id, _key, text, _base, their distinct entities and terms. Each row once."""
+    entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(F.regexp_replace(s["value"], r"[\x20()-]", "")))
+    some = rows.filter((F.size("_base") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "_key", "text", "_base").dropDuplicates(["doc_id", "_key"])
+    return computed(some, entities=F.array_distinct(F.transform("_base", entity)), terms=_terms_of(F.col("text")))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """entity, term and the share of the entity's information that the term reveals, for terms with enough support."""
-    row = F.struct("doc_id", "_key")
-    pair = near.groupBy("entity", "term").agg(F.count_distinct(row).alias("n_ct"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
-    held = near.groupBy("entity").agg(F.count_distinct(row).alias("n_c"))
+def _pairs(held: DataFrame) -> DataFrame:
+    return held.select("doc_id", "_key", "terms", F.explode("entities").alias("entity")).select("doc_id", "_key", "entity", F.explode("terms").alias("term"))
+
+
+def disclosures(docs: DataFrame, held: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """entity, term and the share of the entity's information that the term reveals, for all that stand in one document."""
     # Each document counts a term once; counts are summed in every task before they are exchanged.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pair = _pairs(held).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
+    known = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    seen = docs.select(F.explode(_terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    pmi = F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.col("n") / F.col("n_c"))
-    known = pair.join(held, "entity").join(seen, "term").join(F.broadcast(total))  # one row
-    return known.filter(ic > 0).select("entity", "term", (pmi / ic).alias("share"))
-
-
-def term_spans(docs: DataFrame, rows: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """doc_id, _key and `_terms`, the spans of terms that reveal a value near them; value says what becomes of them."""
-    # Read three times below; small beside the texts, so it is written once instead.
-    near = stored(_neighbours(rows, reach), "neighbours")
-    strong = disclosures(docs, near, support).filter(F.col("share") >= generalise_at)
-    becomes = F.when(F.col("share") >= remove_at, "").otherwise("<term>")
-    hit = near.join(strong, ["entity", "term"])
-    # The strongest disclosure of one place decides.
-    worst = hit.groupBy("doc_id", "_key", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct(F.col("start").alias("start"), F.lit(4).alias("kind"), F.col("end").alias("end"), becomes.alias("value"))
-    return worst.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_list(span)).alias("_terms"))
+    base = F.col("n_c") / F.col("n")
+    given = (F.col("n_ct") + prior * base) / (F.col("n_t") + prior)
+    counted = pair.join(known, "entity").join(seen, "term").join(F.broadcast(total))  # one row
+    return counted.filter(F.col("n_c") < F.col("n")).select("entity", "term", (1 - F.log2(given) / F.log2(base)).alias("share"))
+
+
+def _strong_spans(text: Column, base: Column, shares: Column, remove_at: float) -> Column:
+    """Spans of the terms in the map `shares`, by start; a term that meets a base span has none."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    steps = F.zip_with(hits, gaps, lambda h, g: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("size"), shares[F.lower(h)].alias("share")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        becomes = F.when(x["share"] >= remove_at, "").otherwise("<term>")
+        span = F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"), becomes.alias("value"))
+        out = F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
+        return F.when(x["size"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+
+def term_spans(docs: DataFrame, rows: DataFrame, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """doc_id, _key and `_terms`, the spans of terms that reveal a value of their document; value says what becomes of
+    them. The strongest disclosure of a term in a document decides."""
+    # Read four times below, so it is written once instead.
+    held = stored(_holding(rows), "holding")
+    strong = disclosures(docs, held, prior).filter(F.col("share") >= generalise_at)
+    worst = _pairs(held).join(strong, ["entity", "term"]).groupBy("doc_id", "_key", "term").agg(F.max("share").alias("share"))
+    by_row = worst.groupBy("doc_id", "_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    found = held.select("doc_id", "_key", "text", "_base").join(by_row, ["doc_id", "_key"])
+    return computed(found, _terms=_strong_spans(F.col("text"), F.col("_base"), F.col("shares"), remove_at)).select("doc_id", "_key", "_terms")
 
 
 def find_personal_data(docs: DataFrame, **settings) -> DataFrame:
