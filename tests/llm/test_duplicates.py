@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake.llm import graph, jaccard, neardup, registry, substrings, topk
+from triagelake.llm.shared import text_key
 
 DATA = "/root/testdata/sf0.001"
 
@@ -115,6 +116,18 @@ def test_removal_equals_brute_force(spark, cells):
     assert {d: v for d, v in got.items() if d != 202} == {d: v for d, v in want.items() if d != 202} and got[202][0] == 60
 
 
+def test_windows_of_a_hot_anchor_are_dealt_out(spark):
+    shared = " ".join(f"s{i}" for i in range(15))
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(12)), shared, *(f"b{i // 2}x{k}" for k in range(12))]) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    keyed = df.select("*", text_key().alias("text_key"))
+    counts = lambda hot: [r["n"] for r in substrings.candidates(keyed, 20, 9, 1 << 16, hot).groupBy("anchor").agg(F.sum(F.size("hashes")).alias("n")).collect()]
+    assert max(counts(1 << 16)) > 100 and max(counts(40)) <= 40
+    got = [{r["doc_id"]: (r["n_removed"], r["kept"]) for r in substrings.remove_repeats(df, size=20, anchor=9, cells=1 << 16, hot_windows=hot).collect()} for hot in (1 << 16, 40, 1)]
+    assert got[0] == got[1] == got[2]
+    assert {i: n for i, (n, _) in got[0].items()} == {i: 27 * (i % 2) for i in range(200)}
+
+
 def test_substrings_odd_rows(spark, odd, empty):
     got = collections.defaultdict(list)
     for r in substrings.remove_repeats(odd.union(odd)).collect():

@@ -8,7 +8,9 @@ are merged cell by cell, and a bit per cell says whether a count of two was reac
 Pass two scans the documents again and lets through only windows whose anchor may stand in two documents; those are
 grouped exactly by anchor and window hash (128 bits together), and windows that also start in a document with a
 smaller id are marked. A window that does repeat has a repeated anchor, so none is lost; a sketch too small for the
-corpus only lets more through. The sketch has a fixed bound of memory, the only data that is sent to every task.
+corpus only lets more through. Only equal windows need to meet: where an anchor has more windows than a bound, as round
+a passage that many documents share, its windows are dealt out one by one, by anchor and hash. The sketch has a fixed bound of memory; it and the list of those anchors, at most one for each HOT_WINDOWS windows, are all that is
+sent to every task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ CELLS, ROWS = 1 << 26, 2
 PIECE = 1 << 16
 #: Rows that a grouping task works on at once; the rows of one anchor stay together.
 GROUP_WINDOWS = 1 << 19
+#: Windows of one anchor that may meet in one task; those of an anchor with more are dealt out by their hashes.
+HOT_WINDOWS = 1 << 16
 
 
 def _cells(anchors: np.ndarray, cells: int) -> np.ndarray:
@@ -126,6 +130,7 @@ def _stretches(rows: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     return rows[first], at[first], at[last] + size
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _OPEN = "anchor long, doc_id long, text_key long, at array<int>, hashes array<long>"
 
 
@@ -134,12 +139,13 @@ def _batch(anchor, doc, key, at, hashes, ends) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "text_key", "at", "hashes"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], bits: np.ndarray, hot: np.ndarray, size: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """Windows to group, one row for each run of an anchor in a document.
 
     A window that has stood in a smaller document of the same slice is known to repeat and needs no grouping: it
     comes out with the hashes left empty and `at` a pair of first and past-the-end word. Only the first of equal
-    windows in a slice is grouped, so a passage that a third of all documents share sends a few rows per slice.
+    windows in a slice is grouped, so a passage that a third of all documents share sends a few rows per slice. A
+    window of a hot anchor is a row of its own, under a key of anchor and hash.
     """
     for batch in batches:
         data, offsets, _ = utf8(batch.column("text"))
@@ -165,11 +171,13 @@ def _candidates(batches: Iterator[pa.RecordBatch], bits: np.ndarray, size: int,
                 ends = np.arange(0, 2 * len(r) + 1, 2)
                 pairs = list_of(np.column_stack([first, past]).ravel(), ends, pa.int32())
                 none = list_of(np.zeros(0, np.int64), np.zeros(len(r) + 1), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[r]), pa.array(ids[r]), pa.array(keys[r]), pairs, none], ["anchor", "doc_id", "text_key", "at", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ids[r]), pa.array(keys[r]), pairs, none], ["anchor", "doc_id", "text_key", "at", "hashes"])
             # Of equal windows in one document the others are marked with the first, so it stands for the document.
             open_ = ~known
             rows, at, hashes, anchors = rows[open_], at[open_], hashes[open_], anchors[open_]
             if len(rows):
+                # Keys and hashes still tell anchors and hashes apart, since a hash turns each anchor into another key.
+                anchors = np.where(np.isin(anchors, hot), anchors ^ (hashes * _ODD), anchors)
                 new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1])])
                 ends = np.append(np.flatnonzero(new), len(rows))
                 yield _batch(anchors[new].view(np.int64), ids[rows[new]], keys[rows[new]], at, hashes.view(np.int64), ends)
@@ -203,7 +211,7 @@ def _marked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     n = 0
     for batch in batches:
         held.append(batch)
-        n += len(batch.column("hashes").flatten())
+        n += len(batch) + len(batch.column("hashes").flatten())
         if n >= GROUP_WINDOWS:
             t = pa.Table.from_batches(held)
             a = np.asarray(t["anchor"])
@@ -211,17 +219,29 @@ def _marked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             if whole:
                 yield group(t.slice(0, whole))
                 held = t.slice(whole).combine_chunks().to_batches()
-                n = sum(len(b.column("hashes").flatten()) for b in held)
+                n = sum(len(b) + len(b.column("hashes").flatten()) for b in held)
     if held:
         yield group(pa.Table.from_batches(held))
 
 
-def repeated_stretches(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cells: int = CELLS) -> DataFrame:
+def candidates(docs: DataFrame, size: int, anchor: int, cells: int, hot_windows: int) -> DataFrame:
+    """The windows to group, by the key under which equal ones meet; docs have doc_id, text and text_key."""
+    sc = docs.sparkSession.sparkContext
+    bits = sc.broadcast(repeated_cells(docs, size, anchor, cells))
+
+    def rows(hot) -> DataFrame:
+        return docs.mapInArrow(lambda b: _candidates(b, bits.value, hot.value, size, anchor), _OPEN)
+
+    counted = rows(sc.broadcast(np.zeros(0, np.uint64))).select("anchor", F.size("hashes").alias("n")).filter("n > 0").groupBy("anchor").agg(F.sum("n").alias("n"))
+    hot = counted.filter(F.col("n") > hot_windows).select("anchor").toArrow()
+    return rows(sc.broadcast(np.sort(np.asarray(hot["anchor"]).astype(np.int64).view(np.uint64))))
+
+
+def repeated_stretches(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cells: int = CELLS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """doc_id, text_key and `stretches`: sorted (first, past) word positions covered by windows that also start in a
     document with a smaller id. Only documents with such windows; those with a null id or text take no part."""
     docs = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", text_key().alias("text_key"))
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, size, anchor, cells))
-    open_ = docs.mapInArrow(lambda b: _candidates(b, bits.value, size, anchor), _OPEN)
+    open_ = candidates(docs, size, anchor, cells, hot_windows)
     marked = open_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _marked(b, size), "doc_id long, text_key long, first long, past long")
     return marked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("first", "past"))).alias("stretches"))
 
@@ -244,7 +264,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*keep, "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cells: int = CELLS) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cells: int = CELLS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """Every row's doc_id and text with n_words, n_removed and `kept`, the words left, joined by one space.
 
     The document with the smallest id keeps a passage. Texts that are null, empty or shorter than a window lose
@@ -252,7 +272,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, cell
     id and text have one result. Windows are judged on the input. Other columns are not looked at.
     """
     rows = docs.select("doc_id", "text", text_key().alias("text_key"))
-    joined = rows.join(repeated_stretches(docs, size, anchor, cells), ["doc_id", "text_key"], "left").select("doc_id", "text", "stretches")
+    joined = rows.join(repeated_stretches(docs, size, anchor, cells, hot_windows), ["doc_id", "text_key"], "left").select("doc_id", "text", "stretches")
     return joined.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long, kept string")
 
 
