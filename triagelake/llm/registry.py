@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triagelake.llm.clusters import ORACLE as CLUSTERS_SQL
+from triagelake.llm.clusters import op13_clusters
+from triagelake.llm.codes import ORACLE as CODES_SQL
+from triagelake.llm.codes import op12_codes
 from triagelake.llm.jaccard import ORACLE as JACCARD_SQL
 from triagelake.llm.jaccard import op1_jaccard
 from triagelake.llm.language import op9_language
+from triagelake.llm.lines import ORACLE as LINES_SQL
+from triagelake.llm.lines import op11_lines
 from triagelake.llm.mixing import op2_mixing
 from triagelake.llm.neardup import ORACLE as NEARDUP_SQL
 from triagelake.llm.neardup import op10_neardup
@@ -32,10 +38,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_neardup": op10_neardup,
+    "op11_lines": op11_lines,
+    "op12_codes": op12_codes,
+    "op13_clusters": op13_clusters,
 }
 ORACLES: dict[str, str] = {
     "op1_jaccard": JACCARD_SQL,
     "op5_substrings": SUBSTRINGS_SQL,
     "op7_topk": TOPK_SQL,
     "op10_neardup": NEARDUP_SQL,
+    "op11_lines": LINES_SQL,
+    "op12_codes": CODES_SQL,
+    "op13_clusters": CLUSTERS_SQL,
 }

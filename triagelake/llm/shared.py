@@ -20,13 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads it back.
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes the rows as a table in the shared folder, in folders by the columns `by`, and reads it back.
 
     Cuts the lineage and fixes what depends on row order; the files outlive a lost executor.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,3 +49,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(text: str | Column = "text") -> Column:
     """64 bits of a text (null counts as empty); with doc_id it names a row, so repeated rows share their result."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def quoted(df: DataFrame, *without: str) -> list[Column]:
+    """All columns of df but the named ones, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
+#: A key is hot if it holds more than one row in so many; there can't be more hot keys than that.
+HOT_SHARE = 1024
+
+
+def join_hot_apart(big: DataFrame, small: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of `big` with `small`, which is unique by `on`; nulls are keys like others.
+
+    Rows of the keys in `hot`, whose number the caller has bounded, are joined by broadcast and never meet in one task;
+    no key among the others holds more than the share of rows that made the caller call a key hot.
+    """
+    both = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on]
+    values = [F.col(f"s.{c}") for c in small.columns if c not in on]
+    keys = F.broadcast(hot.select(*on))
+    few = F.broadcast(small.alias("s").join(keys.alias("h"), both("s", "h"), "left_semi"))
+    apart = big.alias("b").join(few.alias("s"), both("b", "s")).select("b.*", *values)
+    rest = big.alias("b").join(keys.alias("h"), both("b", "h"), "left_anti")
+    return apart.unionAll(rest.alias("b").join(small.alias("s"), both("b", "s")).select("b.*", *values))
+
+
+def with_sum(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The rows with the sum of `value` over all rows of an equal `key` (nulls together), null if it leaves 64 bits."""
+    sums = rows.groupBy(key).agg(F.try_sum(value).alias(name), F.count(F.lit(1)).alias("_n"))
+    hot = sums.filter(F.col("_n") * HOT_SHARE > rows.count())
+    return join_hot_apart(rows, sums.drop("_n"), hot, [key])
