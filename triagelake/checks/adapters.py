@@ -176,7 +176,7 @@ FROM events""".replace("{{}}", ""))
 adapter("usn", f"""
 SELECT {H}, event_id * 64 AS usn, {NULL_TS} AS timestamp,
  {pick('event_id * 4 + user_id', ['payload{d}.exe', 'notes{d}.txt', 'tool{m}.ps1', 'data{e}.locked', 'image{d}.png', 'x{e}.qqz'])} AS file_name, event_id % 17 = 0 AS is_directory,
- event_id % 400 AS mft_entry, 1 AS mft_sequence, 5 AS parent_mft_entry,
+ event_id % 101 AS mft_entry, 1 AS mft_sequence, 5 AS parent_mft_entry,
  CAST({pick('event_id * 7 + user_id', ['256', '512', '4096', '8192', '2147484160', '258', '1', '768'])} AS BIGINT) AS reason_raw, 32 AS file_attributes, {SRC('$J')}
 FROM events""")
 adapter("mft", f"""
@@ -334,7 +334,7 @@ SELECT {H}, {pick('event_id * 3 + user_id', ['/app/inFocus', '/app/usage', '/dis
 adapter("recent_items", f"""
 SELECT {H}, {pick('event_id', ['servers', 'documents', 'hosts', 'applications'])} AS kind, 'item' || CAST(event_id % 50 AS STRING) AS title, {pick('event_id * 3 + user_id', ['smb://srv{m}/share', 'vnc://198.51.100.{h}', '/private/tmp/a{m}', 'file:///Users/x/run%20{m}.sh', 'srv{m}.corp', 'https://ok', '~/doc.txt', '/Users/a/b.command'])} AS value, {NULL_TS} AS timestamp, {SRC('x.sfl2')} FROM events""")
 adapter("security_events", f"""
-SELECT {H}, {pick('event_id * 3 + user_id', ['gatekeeper', 'xprotect', 'mrt', 'syspolicyd'])} AS kind, {pick('event_id * 2 + user_id', ['blocked', 'allowed', 'detected', 'warning', 'remediated', 'info'])} AS severity, {NULL_TS} AS timestamp, {pick('event_id', ['spctl', None])} AS process,
+SELECT {H}, {pick('event_id * 3 + user_id', ['gatekeeper', 'xprotect', 'mrt', 'syspolicyd'])} AS kind, {pick('event_id * 2 + user_id', ['blocked', 'warning', 'allowed', 'info', 'detected', 'remediated'])} AS severity, {NULL_TS} AS timestamp, {pick('event_id', ['spctl', None])} AS process,
  {pick('event_id * 7 + user_id', ['spctl --master-disable', 'scan ok {d}', 'assessment'])} AS message, {pick('event_id * 11 + user_id', ['/Apps/A{b}.app', None, '/tmp/B{m}', ''])} AS path, {pick('event_id * 13', ['OSX.Bad{m}', None, ''])} AS signature, 's' AS scope, {SRC('XProtect.log')} FROM events""")
 adapter("kexts", f"SELECT {H}, {pick('event_id', ['kext', 'systemExtension'])} AS kind, {pick('event_id * 3 + user_id', ['com.apple.k', 'org.v{d}'])} AS bundle_id, {pick('event_id', ['Kx{m}', 'Kx{m}'])} AS name, {pick('event_id * 5', ['/L/a{m}.kext', None])} AS path, 's' AS scope, '/db' AS source_file FROM events")
 adapter("background_items", f"SELECT {H}, {pick('event_id * 3', ['Item{d}', '', 'Up{m}'])} AS name, {pick('event_id * 5 + user_id', ['/Users/Shared/x', '/Applications/a', None])} AS executable, {pick('event_id * 7 + user_id', ['com.apple.a', 'org.b{m}', None])} AS bundle_id, {pick('event_id * 11', ['Apple', 'Dev', None])} AS developer_name, 's' AS scope, '/btm' AS source_file FROM events")

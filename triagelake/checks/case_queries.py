@@ -79,6 +79,14 @@ def _csv_lines(t) -> DataFrame:
     return rows.select("p_partkey", out.csv_record(rows.drop("p_partkey")).alias("line"))
 
 
+def contents(t) -> DataFrame:
+    """File contents out of the documents: texts, and for odd ids bytes that look encrypted."""
+    docs = t.given("documents").select("doc_id", "text")
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sha2(F.concat("text", i.cast("string")), 256)), ""))
+    rows = t["files"].select("host_id", "id").join(docs, F.expr("id div 8 = doc_id"))
+    return rows.select("host_id", "id", F.when(F.col("id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(noise).alias("content"))
+
+
 QUERIES = {
     # graph and correlation
     "lateral_edges": _case(lambda t: us(lateral.edges(t["events"]), "first_seen", "last_seen").withColumn("logon_types", F.array_join(F.col("logon_types").cast("array<string>"), ","))),
@@ -133,6 +141,8 @@ QUERIES = {
     "entropy_candidates": _case(lambda t: entropy.candidates(t).groupBy("host_id", "ext").agg(F.count(F.lit(1)).alias("n"))),
     "entropy_of_documents": _case(lambda t: entropy.max_entropy(t.given("documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), ["doc_id"]).select("doc_id", F.round("h", 6).alias("h"))),
     "entropy_statistics": _case(lambda t: entropy.statistics(t.given("documents").select(F.col("source").alias("host_id"), F.col("lang").alias("ext"), (F.col("n_chars") % 80 / 10).alias("h"))).select("host_id", "ext", "sampled", "high", F.round("mean_entropy", 6).alias("mean_entropy"), "max_entropy")),
+    "entropy_of_bursts": _case(lambda t: entropy.sample_bursts(t, contents(t)).select("host_id", "ext", "sampled", "high", F.round("mean_entropy", 6).alias("mean_entropy"), F.round("max_entropy", 6).alias("max_entropy"))),
+    "mass_encryption_verdict": _case(lambda t: cross_platform.mass_encryption(t, entropy=entropy.sample_bursts(t, contents(t))).select("host_id", "title", "detail")),
     "scan_candidates": _case(lambda t: entropy.scan_candidates(t, 3000).select("host_id", "id", "name", "size")),
     # functions
     "fn_rot13": _case(lambda t: t.given("part").select("p_partkey", text.rot13(F.col("p_name")).alias("turned"))),

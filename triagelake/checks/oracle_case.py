@@ -181,6 +181,19 @@ ENC = d.ORACLES["mass_encryption"]
 O["encryption_bursts"] = f"SELECT host_id, regexp_extract(title, '''\\.(.*)''$', 1) AS ext, CAST(regexp_extract(title, 'encryption: ([0-9]+) ', 1) AS BIGINT) AS n FROM ({ENC}) z"
 O["entropy_candidates"] = f"{cte('files')} SELECT host_id, ext, count(*) AS n FROM (SELECT host_id, {EXT.format('name')} ext FROM a_files WHERE NOT is_directory AND NOT is_deleted AND size >= 512 AND NOT ends_with(name, '-slack')) f WHERE (host_id, ext) IN (SELECT (host_id, regexp_extract(title, '''\\.(.*)''$', 1)) FROM ({ENC}) z) GROUP BY 1, 2"
 O["entropy_statistics"] = "SELECT source AS host_id, lang AS ext, count(*) AS sampled, count(*) FILTER ((n_chars % 80) / 10.0 >= 7.5) AS high, round(avg((n_chars % 80) / 10.0), 6) AS mean_entropy, CAST(max((n_chars % 80) / 10.0) AS DOUBLE) AS max_entropy FROM documents GROUP BY 1, 2"
+BURST_EXT = r"regexp_extract(title, '''\.(.*)''$', 1)"
+LIVE = f"SELECT host_id, id, {EXT.format('name')} ext FROM a_files WHERE NOT is_directory AND NOT is_deleted AND size >= 512 AND NOT ends_with(name, '-slack')"
+BURST_STATS = f"""files_read AS (SELECT f.host_id, f.ext, f.id, CASE WHEN f.id % 2 = 0 THEN hex(encode(text)) ELSE array_to_string(list_transform(range(64), lambda i: sha256(text || i)), '') END AS x FROM ({LIVE}) f JOIN documents ON doc_id = f.id // 8
+  WHERE (f.host_id, f.ext) IN (SELECT (host_id, {BURST_EXT}) FROM ({ENC}) z)),
+ windows_read AS (SELECT host_id, ext, id, k, CASE k WHEN 0 THEN substr(x, 1, 131072) WHEN 1 THEN substr(x, 2 * (length(x) // 4 - 32768) + 1, 131072) ELSE substr(x, length(x) - 131072 + 1, 131072) END AS b FROM files_read, unnest([0, 1, 2]) AS t(k) WHERE k = 0 OR length(x) > 262144),
+ bytes_read AS (SELECT host_id, ext, id, k, substr(b, 2 * i + 1, 2) AS v, count(*) AS c FROM windows_read, unnest(range(length(b) // 2)) AS u(i) WHERE length(b) >= 1024 GROUP BY ALL),
+ shares AS (SELECT host_id, ext, id, k, c / sum(c) OVER (PARTITION BY host_id, ext, id, k) AS p FROM bytes_read),
+ measured AS (SELECT host_id, ext, id, max(h) AS h FROM (SELECT host_id, ext, id, k, -sum(p * log2(p)) + 0.0 AS h FROM shares GROUP BY ALL) GROUP BY ALL),
+ stats AS (SELECT host_id, ext, count(*) AS sampled, count(*) FILTER (h >= 7.5) AS high, avg(h) AS mean_entropy, max(h) AS max_entropy FROM measured GROUP BY 1, 2)"""
+O["entropy_of_bursts"] = f"{cte('files')}, {BURST_STATS} SELECT host_id, ext, sampled, high, round(mean_entropy, 6) AS mean_entropy, round(max_entropy, 6) AS max_entropy FROM stats"
+O["mass_encryption_verdict"] = f"""{cte('files')}, {BURST_STATS}, bursts AS (SELECT *, {BURST_EXT} AS ext FROM ({ENC}) z)
+ SELECT host_id, title, CASE WHEN sampled IS NULL THEN detail ELSE replace(detail, 'The contents were not at hand, so nothing is said about encryption.', CASE WHEN high > 0 THEN high || ' of ' || sampled || ' files read look encrypted, the densest with ' || printf('%.2f', max_entropy) || ' bits a byte.'
+  ELSE 'None of ' || sampled || ' files read looks encrypted; ' || printf('%.2f', mean_entropy) || ' bits a byte on average.' END) END AS detail FROM bursts LEFT JOIN stats USING (host_id, ext)"""
 O["scan_candidates"] = f"{cte('files')} SELECT host_id, id, name, size FROM a_files WHERE NOT is_directory AND NOT is_deleted AND NOT ends_with(name, '-slack') AND size BETWEEN 1 AND 3000"
 O["fn_rot13"] = f"SELECT p_partkey, {d.ROT.format('p_name')} AS turned FROM part"
 O["fn_mask_labels"] = f"{cte('usn')} SELECT usn, {tlo.masks('reason_raw', USN_REASONS)} AS labels FROM a_usn"

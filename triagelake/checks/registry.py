@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from triagelake.checks import case_queries, oracle_case, oracle_detections, oracle_timeline, table_queries, timeline_queries
 from triagelake.checks.adapters import GivenCase
-from triagelake.plans.detections import DETECTIONS
+from triagelake.plans.detections import DETECTIONS, run_all
 
 SIX_HOURS = 6 * 3600.0
 # Windows and thresholds that suit the rate of the given events.
@@ -25,7 +25,10 @@ PARAMS = {
 
 def flat(df: DataFrame) -> DataFrame:
     """Findings as plain columns."""
-    return df.select("host_id", "title", "severity", "phase", F.col("technique.attack_id").alias("attack_id"), F.unix_micros("timestamp").alias("ts_us"))
+    return df.select(
+        "host_id", "title", "severity", "phase", F.col("technique.attack_id").alias("attack_id"), F.unix_micros("timestamp").alias("ts_us"),
+        "detail", F.array_join("evidence", "|").alias("evidence"),
+    )
 
 
 def _detection(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,9 +38,14 @@ def _detection(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def run_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detection in one plan."""
+    return flat(run_all(GivenCase(spark, sf_dir), params=PARAMS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{f"detect_{n}": _detection(n) for n in DETECTIONS}, **timeline_queries.QUERIES, **case_queries.QUERIES, **table_queries.QUERIES}
+    return {**{f"detect_{n}": _detection(n) for n in DETECTIONS}, "run_all_findings": run_all_findings, **timeline_queries.QUERIES, **case_queries.QUERIES, **table_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{f"detect_{n}": s for n, s in oracle_detections.ORACLES.items()}, **oracle_timeline.ORACLES, **oracle_case.ORACLES, **table_queries.ORACLES}
+    return {**{f"detect_{n}": s for n, s in oracle_detections.ORACLES.items()}, "run_all_findings": oracle_detections.run_all(), **oracle_timeline.ORACLES, **oracle_case.ORACLES, **table_queries.ORACLES}

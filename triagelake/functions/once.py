@@ -14,4 +14,13 @@ def computed(df: DataFrame, **cols: Column) -> DataFrame:
     tokens that is one evaluation per token. A generator's output is not pushed through,
     and it stays inside the same code-generated stage.
     """
+    if not isinstance(df, DataFrame):
+        return df.computed(cols)  # the stand-in for a table in a shared scan
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def exploded(df: DataFrame, name: str, values: Column) -> DataFrame:
+    """A row for each element of an array column expression, as `name`."""
+    if not isinstance(df, DataFrame):
+        return df.exploded(name, values)
+    return df.withColumn(name, F.explode(values))

@@ -19,9 +19,19 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def sql_text(text: str) -> str:
+    """A text as a literal in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(texts: Iterable[str]) -> Column:
+    """An array of fixed texts, handed over as one expression: a call for each text would cost more than the query."""
+    return F.expr("array(" + ", ".join(sql_text(t) for t in texts) + ")")
+
+
 def contains_any(text: Column, tokens: Iterable[str]) -> Column:
     """True when the text holds at least one token as a plain substring."""
-    return any_of(text.contains(t) for t in tokens)
+    return F.exists(literals(tokens), lambda t: F.contains(text, t))
 
 
 def contains_all(text: Column, tokens: Iterable[str]) -> Column:
@@ -34,12 +44,12 @@ def icontains(text: Column, token: str) -> Column:
 
 def hits(text: Column, tokens: Sequence[str]) -> Column:
     """The tokens found in the text, in list order."""
-    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(text, t))
+    return F.filter(literals(tokens), lambda t: F.contains(text, t))
 
 
 def first_hit(text: Column, tokens: Sequence[str]) -> Column:
     """The first token of the list found in the text, or null."""
-    return F.coalesce(*[F.when(text.contains(t), F.lit(t)) for t in tokens])
+    return F.get(hits(text, tokens), F.lit(0))
 
 
 def first_match(cases: Sequence[tuple[Column, object]]) -> Column:
@@ -99,10 +109,15 @@ def has_bit(mask: Column, bit: int) -> Column:
 
 def code_label(code: Column, table: dict, default: Column | None = None) -> Column:
     """Label of a code from a small fixed table."""
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
-    label = F.element_at(F.create_map(*pairs), code)
+    label = lookup(code, table)
     return label if default is None else F.coalesce(label, default)
 
 
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def lookup(key: Column, table: dict) -> Column:
+    """What a small fixed table of texts or whole numbers has for a key, null where it has nothing."""
+    items = [sql_text(x) if isinstance(x, str) else str(x) for pair in table.items() for x in pair]
+    return F.element_at(F.expr("map(" + ", ".join(items) + ")"), key)

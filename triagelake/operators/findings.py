@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.text import lookup
+from triagelake.operators.shared_scan import NotARowRule, RowFinding, RowTable, named, union_all
+
 INFO, LOW, MEDIUM, HIGH, CRITICAL = range(5)
 
 # Severity names by number, kill-chain phases in order with display names.
@@ -86,8 +88,7 @@ def technique(attack: str | Column | None, name: str | Column | None = None) ->
         label = F.lit(name or TECHNIQUES[attack]) if not isinstance(name, Column) else name
         return F.struct(F.lit(attack).alias("attack_id"), label.alias("name")).cast(kind)
     if name is None:
-        table = F.create_map(*[F.lit(x) for pair in TECHNIQUES.items() for x in pair])
-        name = F.element_at(table, attack)
+        name = lookup(attack, TECHNIQUES)
     elif isinstance(name, str):
         name = F.lit(name)
     return F.when(attack.isNotNull(), F.struct(attack.alias("attack_id"), name.alias("name"))).cast(kind)
@@ -123,7 +124,7 @@ def findings(
     """Projects rows to finding rows; rows with a null severity are not findings."""
     paths = evidence if isinstance(evidence, Column) else F.array(*evidence) if len(evidence) else F.array().cast("array<string>")
     paths = F.filter(paths, lambda p: p.isNotNull() & (p != ""))
-    out = rows.select(
+    fields = [
         F.col("host_id"),
         F.lit(rule).alias("rule"),
         _col(title).alias("title"),
@@ -133,12 +134,16 @@ def findings(
         technique(attack, attack_name).alias("technique"),
         (when if when is not None else F.lit(None)).cast("timestamp").alias("timestamp"),
         paths.alias("evidence"),
-    )
-    return out.filter(F.col("severity").isNotNull())
+    ]
+    if isinstance(rows, RowTable):
+        return named(rows.finding(fields))
+    return rows.select(*fields).filter(F.col("severity").isNotNull())
 
 
 def union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    if any(isinstance(p, RowTable) for p in parts):
+        raise NotARowRule("union")
+    return parts[0] if isinstance(parts[0], RowFinding) else union_all(parts)
 
 
 def with_finding_id(df: DataFrame) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.substring import substring_pairs
-from triagelake.functions.text import code_label
+from triagelake.functions.text import code_label, lookup
 from triagelake.operators.findings import PHASES, SEVERITY_LABELS, with_finding_id
-from triagelake.operators.macos import lookup
 
 # Weight of a severity in the weighted recall.
 WEIGHTS = {4: 5, 3: 4, 2: 3, 1: 2, 0: 1}

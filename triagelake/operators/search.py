@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.functions.text import lookup
 from triagelake.functions.once import computed
 from triagelake.functions.payload import decode_entities
 from triagelake.operators.cross_platform import full_path
 from triagelake.operators.findings import PHASES, text, union
-from triagelake.operators.macos import lookup
 from triagelake.operators.windows import full_key
 
 # Scores of a match, and what a kind of row adds.

@@ -12,7 +12,8 @@ from triagelake.operators import cross_platform as x
 from triagelake.operators import linux as l
 from triagelake.operators import macos as m
 from triagelake.operators import windows as w
-from triagelake.operators.findings import union, with_finding_id
+from triagelake.operators.findings import with_finding_id
+from triagelake.operators.shared_scan import row_findings, union_all
 
 # name -> (function, tables it reads)
 DETECTIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
@@ -113,19 +114,21 @@ DETECTIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
 }
 
 
-def run_all(t, names: Iterable[str] | None = None) -> DataFrame:
+def run_all(t, names: Iterable[str] | None = None, params: dict[str, dict] | None = None) -> DataFrame:
     """The findings of all detections that have a supplied table, as one plan.
 
-    Payload fields are parsed once for all event detections. Sort the result by severity
-    where it is shown; the union itself is not ordered.
+    Rules that look at one row at a time share one scan of their table; the others are plans of their own. Payload
+    fields are parsed once for all event detections. `params` are keyword arguments by detection. Sort the result by
+    severity where it is shown; the union itself is not ordered.
     """
     chosen = list(names) if names is not None else [n for n, (_, needs) in DETECTIONS.items() if any(t.supplied(x) for x in needs)]
     if t.supplied("events") and "payload" not in t["events"].columns:
         t = t.with_tables(events=with_payload(t["events"]))
-    parts = [DETECTIONS[n][0](t) for n in chosen]
+    parts, others = row_findings(t, {n: DETECTIONS[n][0] for n in chosen}, params)
+    parts += [DETECTIONS[n][0](t, **(params or {}).get(n, {})) for n in others]
     if not parts:
         parts = [w.log_cleared(t)]
-    return with_finding_id(union(parts))
+    return with_finding_id(union_all(parts))
 
 
 def worst_first(findings: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     # Lets a hot join key be split even when that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans here hold tens of thousands of column calls; noting each one's place in the source triples their cost.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import code_label
+from triagelake.functions.text import code_label, lookup
 from triagelake.operators.findings import PHASES, SEVERITY_LABELS, text
 from triagelake.operators.ioc import KIND_LABELS
-from triagelake.operators.macos import lookup
 
 # Labels of custody actions and tags.
 ACTION_LABELS = {
