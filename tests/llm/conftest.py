@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Columns whose names meet those the operators work with or return.
-CLASHING = ["shard", "slot", "w", "n", "e", "i", "j", "q", "size", "text_key", "_key", "_base", "_row", "uid", "label", "score", "kept", "group"]
+CLASHING = ["shard", "slot", "w", "n", "e", "i", "j", "q", "size", "text_key", "_key", "_base", "_row", "uid", "label", "score", "kept", "group", "a.b", "back`tick"]
 WORDS = [f"w{i}" for i in range(400)]
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm.graph import Forest, components
-from triagelake.llm.shared import stored, table, text_key
+from triagelake.llm.shared import quoted, stored, table, text_key
 from triagelake.llm.textcore import byte_hash, list_of, mix, ngrams, slices, span_hash, utf8, words
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -210,12 +210,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The rows without near duplicates: of each component the document with the smallest id stays, with all columns,
     and of rows that repeat an id and text one. Rows without words or without an id stay."""
-    names = docs.columns
     linked = stored(jaccard_join(docs, **settings).select("doc_id", "text_key", "kept"), "kept")
     keys = linked.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept"))
     again = stored(keys.filter("n > 1 and kept").select("doc_id", "text_key"), "repeated")
     go = keys.filter("n > 1 or not kept").select("doc_id", "text_key")
-    rows = docs.select("doc_id", text_key().alias("text_key"), F.struct(*names).alias("_row"))
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.struct(*quoted(docs)).alias("_row"))
     left = rows.join(go, ["doc_id", "text_key"], "left_anti").select("_row.*")
     if again.isEmpty():
         return left

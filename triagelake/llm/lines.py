@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.shared import HOT_SHARE, join_hot_apart, quoted, shared_folder, stored, table, text_key
+from triagelake.llm.shared import HOT_SHARE, join_hot_apart, packed, shared_folder, stored, table, text_key, unpacked
 from triagelake.llm.textcore import slices, utf8
 
 #: Shorter keys (in code points) always stay.
@@ -176,13 +176,12 @@ def drop_repeated_lines(docs: DataFrame, least_points: int = LEAST_POINTS, least
     """
     docs = docs.drop("n_lines", "n_dropped")
     drops = repeated_lines(docs, least_points, least_documents, batches)
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text", F.struct(F.lit(0).alias("_"), *quoted(docs, "doc_id", "text")).alias("_row"))
+    rows = packed(docs, "doc_id", "text").withColumn("text_key", text_key())
     both = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_key") == F.col("g.text_key"))
     marked = rows.alias("d").join(drops.alias("g"), both, "left").select("d.doc_id", "d._row", "d.text", "g.drops")
     schema = marked.drop("text", "drops").schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     cut = marked.mapInArrow(cut_lines, schema)
-    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return cut.select(*[own.get(c, F.col("_row")[c].alias(c)) for c in docs.columns], "n_lines", "n_dropped")
+    return cut.select(*unpacked(cut, docs.columns, "doc_id", "text"), "n_lines", "n_dropped")
 
 
 def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

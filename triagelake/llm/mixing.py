@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.shared import table
+from triagelake.llm.shared import quoted, table
 
 BLOCK_ROWS = 64
 #: About the sum of the whole-number weights; each source has at least 1.
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     names above are replaced.
     """
     added = ["mix_block", "mix_offset", "source_block", "released", "due"]
-    names = [c for c in docs.columns if c.lower() not in added]
+    names = quoted(docs, *[c for c in docs.columns if c.lower() in added])
     # The row travels as one column, so that no column of it can clash with the working ones.
     order = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(_MISSING)).alias("_src"), order.alias("_order"), F.struct(*names).alias("_row"))
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
 def in_mix_order(docs: DataFrame, **settings) -> DataFrame:
     """All rows and columns, ordered as the mix: by range over partitions and sorted inside each."""
     mixed = mix(docs, **settings)
-    return mixed.repartitionByRange("mix_block").sortWithinPartitions("mix_block", "mix_offset").select(*docs.columns)
+    return mixed.repartitionByRange("mix_block").sortWithinPartitions("mix_block", "mix_offset").select(*quoted(docs))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

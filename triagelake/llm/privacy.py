@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions.once import computed
-from triagelake.llm.shared import stored, table, text_key
+from triagelake.llm.shared import quoted, stored, table, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The contract's patterns. Possessive repeats and the look-behind change no match: they keep long runs of word
@@ -186,7 +186,7 @@ def redacted(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """All rows and columns with personal data and revealing terms taken out of `text`; n_chars follows if present."""
     names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text")]
+    rest = quoted(docs, "doc_id", "text")
     # The other columns travel as one, so that none of them can clash with the working ones.
     rows = with_base(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_row")))
     terms = term_spans(docs.select("doc_id", "text"), with_base(docs.select("doc_id", "text")), **settings)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagelake.llm.shared import stored, table, text_key
+from triagelake.llm.shared import quoted, stored, table, text_key
 
 SHARDS = 16
 #: Mean bytes of text in a bucket. A bucket is permuted in one task's memory.
@@ -36,7 +36,7 @@ def scatter(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -
     buckets = max(1, math.ceil(total / bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_key(), F.monotonically_increasing_id()), F.lit(buckets))
     # The row travels as one column, so that no column of it can clash with the working ones.
-    return stored(docs.select(bucket.alias("_bucket"), F.struct(*docs.columns).alias("_row")), "scatter"), buckets
+    return stored(docs.select(bucket.alias("_bucket"), F.struct(*quoted(docs)).alias("_row")), "scatter"), buckets
 
 
 def bucket_starts(scattered: DataFrame, groups: int = 1024) -> DataFrame:

@@ -56,6 +56,17 @@ def quoted(df: DataFrame, *without: str) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns, and all others as one, `_row`, so that none of them can clash with the working ones, and a
+    name may hold any characters: functions over Arrow batches resolve the names of their input's columns."""
+    return docs.select(*own, F.struct(F.lit(0).alias("_"), *quoted(docs, *own)).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *own: str) -> list[Column]:
+    """The columns of a packed table again, in the given order."""
+    return [F.col(c) if c in own else F.col("_row")[c].alias(c) for c in columns]
+
+
 #: A key is hot if it holds more than one row in so many; there can't be more hot keys than that.
 HOT_SHARE = 1024
 
