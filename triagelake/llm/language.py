@@ -4,6 +4,9 @@ A text is the mean of the embeddings of its hashed byte n-grams; the classifier
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. Because everything after the
 embedding is linear, the trained model folds into one table of a score per n-gram bucket and language, so scoring
 a corpus is a look-up and a mean over every n-gram of the whole text.
+
+The sample is drawn for each language on its own, so that a rare one is not missed, and a task trains on it; only the
+folded table reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.shared import table
+from triagelake.llm.shared import packed, table, unpacked
 from triagelake.llm.textcore import list_of, slices, utf8
 
 UNKNOWN = "und"
@@ -27,7 +30,8 @@ class Settings:
     buckets: int = 1 << 15
     dim: int = 16
     orders: tuple[int, ...] = (2, 3, 4)
-    #: Labelled rows that training uses; a text costs the driver 8 bytes for each of its distinct buckets.
+    #: Labelled rows that training uses, in equal parts for each language that has them (at most so many languages, the
+    #: most frequent). The training task holds 8 bytes for each distinct bucket of each of these texts.
     sample_rows: int = 2000
     steps: int = 600
     batch: int = 16
@@ -87,7 +91,7 @@ def features(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
             ends.append(ends[-1] + len(k))
         ends = np.array(ends)
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("fold"), list_of(cat(keys), ends, pa.int32()), list_of(cat(counts), ends, pa.int32())], ["lang", "fold", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("pick"), list_of(cat(keys), ends, pa.int32()), list_of(cat(counts), ends, pa.int32())], ["lang", "pick", "keys", "counts"])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -95,22 +99,49 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def sample(docs: DataFrame, s: Settings) -> DataFrame | None:
+    """lang, pick (a seeded hash of the id) and text of the labelled rows to train on; None without labels."""
+    labelled = docs.filter(may_learn() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(s.sample_rows).collect()
+    if not counts:
+        return None
+    quota = -(-s.sample_rows // len(counts))
+    limits = [(r["lang"], int(min(1.0, quota / r["count"]) * (1 << 32))) for r in counts]
+    # A row per language of the sample, so of bounded size.
+    shares = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long"))
+    pick = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 32))
+    return labelled.select("lang", pick.alias("pick"), "text").join(shares, "lang").filter("pick < _limit").drop("_limit")
+
+
 def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
-    """A model from about `sample_rows` labelled rows, chosen by a seeded hash of the id; None without labels.
+    """A model from about `sample_rows` labelled rows; None without labels. A single task does the training.
 
     A quarter of the sample only calibrates: the temperature that minimises its log loss makes the confidence an
     estimate of the probability of being right, by which predictions are rejected.
     """
-    labelled = docs.filter(may_learn() & F.col("lang").isNotNull())
-    share = min(1.0, s.sample_rows / max(1, labelled.count()))
-    pick = F.pmod(F.xxhash64(F.lit(s.seed), "doc_id"), F.lit(1 << 32))
-    rows = labelled.filter(F.col("text").isNotNull() & (pick < int(share * (1 << 32))))
-    sample = rows.select("lang", (pick % 4).alias("fold"), "text").mapInArrow(lambda b: features(b, s), "lang string, fold long, keys array<int>, counts array<int>").toArrow()
-    if not sample.num_rows:
+    rows = sample(docs, s)
+    if rows is None:
         return None
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            m = fit(pa.Table.from_batches(parts).sort_by("pick"), s)
+            yield pa.RecordBatch.from_arrays([pa.array([list(m.langs)]), pa.array([m.scores.tobytes()]), pa.array([m.bias.tolist()]), pa.array([m.temperature])], ["langs", "scores", "bias", "temperature"])
+
+    features_ = rows.mapInArrow(lambda b: features(b, s), "lang string, pick long, keys array<int>, counts array<int>")
+    got = features_.repartition(1).mapInArrow(fit_all, "langs array<string>, scores binary, bias array<double>, temperature double").first()
+    if got is None:
+        return None
+    scores = np.frombuffer(bytes(got["scores"]), np.float32).reshape(s.buckets, -1)
+    return Model(tuple(got["langs"]), scores, np.array(got["bias"]), got["temperature"], s)
+
+
+def fit(sample: pa.Table, s: Settings) -> Model:
+    """Stochastic gradient descent over the rows of lang, pick, keys and counts."""
     langs = sorted(set(sample["lang"].to_pylist()))
     target = np.array([langs.index(x) for x in sample["lang"].to_pylist()])
-    fold = np.asarray(sample["fold"])
+    fold = np.asarray(sample["pick"]) % 4
     # Views of the Arrow buffers, not copies.
     lists = sample.select(["keys", "counts"]).combine_chunks()
     ends = np.append(0, np.cumsum(np.asarray(lists["keys"].combine_chunks().value_lengths())))
@@ -198,15 +229,15 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows whose language is accepted, with all their columns."""
     if model is None:
         return docs.limit(0)
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for out in score_batches(iter([batch.select(["text"])]), model):
                 yield batch.filter(pa.array(np.asarray(out.column("_score")) >= model.settings.reject_below))
 
-    return docs.filter(F.col("text").rlike(r"\p{L}")).mapInArrow(run, fields).select(*names)
+    rows = packed(docs.filter(F.col("text").rlike(r"\p{L}")), "text")
+    kept = rows.mapInArrow(run, rows.schema)
+    return kept.select(*unpacked(kept, docs.columns, "text"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
