@@ -195,6 +195,18 @@ class Packer:
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
+def classes_of(spark: SparkSession, path: str) -> bytes:
+    """The tokenizer's character classes, found by a task, so that the driver never loads the library."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([character_classes(Tokenizer.from_file(path))])], ["classes"])
+
+    return bytes(spark.range(0, 1, 1, 1).mapInArrow(run, "classes binary").first()["classes"])
+
+
 def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents in windows of at most `width` tokens; each token lies in exactly one piece.
 
@@ -203,10 +215,9 @@ def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None, end_id: i
     follow the input's partitions. Other columns are not looked at.
     """
     import public_tokenizers
-    from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    classes = character_classes(Tokenizer.from_file(path))
+    classes = classes_of(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(width, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32)
