@@ -209,3 +209,24 @@ def test_kept_words_digest(spark):
     row = substrings.op5_substrings(spark, DATA).filter("n_removed = 0").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").filter(F.col("doc_id") == row["doc_id"]).first()["text"]
     assert hashlib.sha256(b" ".join(text.encode().split())).hexdigest() == row["kept_sha256"]
+
+
+def test_a_failed_audit_links_by_brute_force(monkeypatch):
+    """A graph that finds nothing fails its audit even where no sampled look-up has a link, and the links are complete."""
+    draw = np.random.default_rng(8)
+    a, b = draw.normal(size=(700, 16)), draw.normal(size=(600, 16))
+    b[599] = a[699] + 1e-3  # one link, outside the sample of most draws
+    unit = (b / np.linalg.norm(b, axis=1, keepdims=True)).astype(np.float32)
+    built = neardup.Graph.build(unit)
+    monkeypatch.setattr(neardup.Graph, "within", lambda self, q, least, beam, me=None: [])
+    links, recall = neardup.link_shards(a, b, built, False)
+    assert links.tolist() == [[699, 599]] and recall == 1.0
+    same, _ = neardup.link_shards(np.concatenate([b, b[:2]]), np.concatenate([b, b[:2]]), built, True)
+    assert same.tolist() == [[0, 600], [1, 601]]
+
+
+def test_labels_of_any_type(spark):
+    x = [0.5, 0.25, 1.0]
+    rows = [(1, x, "a"), (2, x, "a"), (3, x, "b"), (4, x, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}

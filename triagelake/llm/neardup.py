@@ -25,6 +25,8 @@ SHARD = 16384
 NEIGHBOURS, BUILD_BEAM, BEAM = 12, 48, 32
 #: Look-ups compared with brute force for each pair of shards, and the recall they must reach.
 AUDIT, RECALL = 512, 0.97
+#: Look-ups of each audit whose answer is known to exist.
+PROBES = 128
 
 
 class Graph:
@@ -166,6 +168,8 @@ def _true_links(q: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
 def link_shards(a: np.ndarray, b: np.ndarray, graph: Graph, same: bool, least: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, float]:
     """Verified links (i in a, j in b; once each, i < j in one shard), and the audited recall of the look-ups."""
     unit = (a / np.linalg.norm(a, axis=1, keepdims=True)).astype(np.float32)
+    probes = _probes(b, least)
+    known = {(int(i), int(j)) for i, j in _true_links(probes, b, least)}
     sample = np.sort(np.random.default_rng(1).permutation(len(a))[:AUDIT])
     truth = {(int(sample[i]), int(j)) for i, j in _true_links(a[sample], b, least) if not (same and sample[i] == j)}
     norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
@@ -183,12 +187,38 @@ def link_shards(a: np.ndarray, b: np.ndarray, graph: Graph, same: bool, least: f
         pairs = np.unique(i * len(b) + j)
         i, j = pairs // len(b), pairs % len(b)
         hit = set(zip(i.tolist(), j.tolist(), strict=True))
-        recall = sum((p in hit) or (same and p[::-1] in hit) for p in truth) / len(truth) if truth else 1.0
-        if recall >= RECALL or beam >= len(b):
+        seen = {(p, int(q)) for p, f in enumerate(_lookups(graph, probes.astype(np.float32), least - 1e-4, beam, False)) for q in f}
+        hits = sum((p in hit) or (same and p[::-1] in hit) for p in truth) + len(known & seen)
+        recall = hits / (len(truth) + len(known)) if truth or known else 1.0
+        if recall >= RECALL:
             return np.column_stack([i, j]), recall
+        if beam >= len(b):
+            return _all_links(a, b, same, least), 1.0
         beam *= 2
 
 
+def _probes(b: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors close enough to some of b to be linked with them: look-ups whose answer is known to exist, however
+    few true links a pair of shards has."""
+    draw = np.random.default_rng(2)
+    near = b[np.sort(draw.permutation(len(b))[:PROBES])]
+    near = near / np.linalg.norm(near, axis=1, keepdims=True)
+    aside = draw.normal(size=near.shape)
+    aside -= (aside * near).sum(axis=1, keepdims=True) * near
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    cos = (1 + least) / 2
+    return cos * near + np.sqrt(1 - cos * cos) * aside
+
+
+def _all_links(a: np.ndarray, b: np.ndarray, same: bool, least: float) -> np.ndarray:
+    """The links of two shards by comparing all their vectors in blocks, where the graph can't find enough of them."""
+    parts = []
+    for at in range(0, len(a), 1024):
+        found = _true_links(a[at : at + 1024], b, least) + [at, 0]
+        parts.append(found[found[:, 0] < found[:, 1]] if same else found)
+    return np.concatenate(parts)
+
+
 def _build(t: pa.Table) -> pa.Table:
     t = t.combine_chunks()
     x = np.asarray(t["embedding"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
@@ -222,13 +252,18 @@ def link_vectors(vectors: DataFrame, shard: int = SHARD) -> tuple[DataFrame, Dat
     kept = stored(vectors.select("vec_id", "embedding", "label").withColumn("uid", F.monotonically_increasing_id()), "embeddings")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = kept.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull())
-    valid = valid.filter(~bad & F.exists("embedding", lambda x: x != 0)).withColumn("label", F.col("label").cast("long")).withColumn("dim", F.size("embedding"))
+    valid = valid.filter(~bad & F.exists("embedding", lambda x: x != 0)).withColumn("dim", F.size("embedding"))
     parts = valid.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("parts"))
     dealt = valid.join(parts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    fields = "label long, dim int, shard int, uid binary, vec_id binary, x binary, graph binary"
+    fields = f"label {vectors.schema['label'].dataType.simpleString()}, dim int, shard int, uid binary, vec_id binary, x binary, graph binary"
     shards = stored(dealt.select("label", "dim", "shard", "uid", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).groupBy("label", "dim", "shard").applyInArrow(_build, fields), "graphs")
     other = shards.select("label", "dim", *[F.col(c).alias(f"{c}_b") for c in ("shard", "uid", "vec_id", "x", "graph")])
-    pairs = shards.drop("graph").join(other, ["label", "dim"]).filter("shard <= shard_b")
+    # Pairs of shards are listed by number first; the shards follow to where their pair was dealt, so that the pairs of
+    # one label are many tasks' work.
+    numbers = shards.select("label", "dim", "shard")
+    pairs = numbers.join(numbers.withColumnRenamed("shard", "shard_b"), ["label", "dim"]).filter("shard <= shard_b")
+    pairs = pairs.join(shards.drop("graph"), ["label", "dim", "shard"]).join(other, ["label", "dim", "shard_b"])
+    pairs = pairs.repartition("label", "dim", "shard", "shard_b")
     found = pairs.groupBy("label", "dim", "shard", "shard_b").applyInArrow(_pair, "uid long, n long, a long, b long, recall double")
     return kept, stored(found, "links")
 
