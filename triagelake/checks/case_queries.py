@@ -171,6 +171,7 @@ QUERIES = {
     "scan_app_server_log": _case(lambda t: us(linux_logs.app_server_log(lines(t, "rails")).select("host_id", "timestamp", "client_ip", "method", "path", "query", "status"), "timestamp")),
     "scan_shell_history": _case(lambda t: us(linux_logs.shell_history(lines(t, "bash")).select("host_id", "user", "shell", "command", "timestamp", "line_number"), "timestamp")),
     "scan_audit_log": _case(lambda t: us(linux_logs.audit_log(lines(t, "audit")).select("host_id", "serial", "timestamp", "record_type", "syscall", "success", "exe", "command_line", "path", "auid", "uid", "key"), "timestamp")),
+    "scan_audit_by_serial": _case(lambda t: us(linux_logs.audit_log(lines(t, "audit"), by_serial=True).select("host_id", "serial", "timestamp", "record_type", "syscall", "success", "exe", "command_line", "path", "auid", "uid", "key"), "timestamp")),
     "scan_dpkg_log": _case(lambda t: us(linux_logs.dpkg_log(lines(t, "dpkg")).select("host_id", "timestamp", "action", "package", "version", "manager"), "timestamp")),
     "scan_apt_history": _case(lambda t: us(linux_logs.apt_history(lines(t, "apt")).select("host_id", "timestamp", "action", "package", "version"), "timestamp")),
     "scan_yum_log": _case(lambda t: us(linux_logs.yum_log(lines(t, "yum")).select("host_id", "timestamp", "action", "package", "version"), "timestamp")),

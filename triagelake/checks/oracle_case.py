@@ -224,6 +224,7 @@ O["scan_app_server_log"] = f"""WITH l AS (SELECT *, {H} hid, CASE WHEN event_id
 O["scan_shell_history"] = f"""WITH l AS (SELECT *, {H} hid, CASE WHEN event_id % 3 = 0 THEN 's' WHEN event_id % 7 = 5 THEN 'b' ELSE 'c' END t, row_number() OVER (PARTITION BY {H} ORDER BY event_id) n FROM events), k AS (SELECT *, lag(t) OVER (PARTITION BY hid ORDER BY event_id) p, lag(event_id) OVER (PARTITION BY hid ORDER BY event_id) pe FROM l WHERE t <> 'b')
  SELECT hid AS host_id, 'user' || (user_id % 6) AS "user", 'bash' AS shell, 'cmd ' || event_id AS command, n AS line_number, CASE WHEN p = 's' THEN (1700000000 + pe) * 1000000 END AS timestamp_us FROM k WHERE t = 'c'"""
 O["scan_audit_log"] = f"SELECT {H} AS host_id, event_id AS serial, CASE WHEN event_id % 2 = 0 THEN 'EXECVE' ELSE 'SYSCALL' END AS record_type, CASE WHEN event_id % 2 = 0 THEN 'execve' ELSE 'openat' END AS syscall, true AS success, '/usr/bin/x' || (event_id % 9) AS exe, CASE WHEN event_id % 2 = 0 THEN 'ls -la f' || event_id END AS command_line, '/root/n' || (event_id % 5) AS path, CASE WHEN event_id % 3 > 0 THEN CAST(1000 AS BIGINT) END AS auid, CAST(0 AS BIGINT) AS uid, CAST(NULL AS VARCHAR) AS key, (1700000000 + event_id) * 1000000 + 500000 AS timestamp_us FROM events"
+O["scan_audit_by_serial"] = O["scan_audit_log"]
 O["scan_dpkg_log"] = f"SELECT {H} AS host_id, {arms(4, [q('install'), 'NULL', q('remove'), q('upgrade')])} AS action, {arms(4, [q('nmap'), 'NULL', q('curl'), q('bash')])} AS package, {arms(4, [q('7.9'), 'NULL', 'NULL', q('5.1')])} AS version, 'dpkg' AS manager, {TUS} AS timestamp_us FROM events WHERE event_id % 4 <> 1"
 O["scan_apt_history"] = f"""WITH l AS (SELECT *, {H} hid, last_value(CASE WHEN event_id % 4 IN (0, 3) THEN event_id END IGNORE NULLS) OVER (PARTITION BY {H} ORDER BY event_id ROWS UNBOUNDED PRECEDING) m FROM events), j AS (SELECT l.*, CASE WHEN l.m % 4 = 0 THEN epoch_us({STAMP.replace('event_id', 's.event_id').replace('user_id', 's.user_id')}) END us FROM l LEFT JOIN events s ON s.event_id = l.m)
  SELECT hid AS host_id, 'install' AS action, 'nmap' AS package, '7.' || event_id AS version, us AS timestamp_us FROM j WHERE event_id % 4 = 1 UNION ALL SELECT hid, 'install', 'vim', '8.1', us FROM j WHERE event_id % 4 = 1 UNION ALL SELECT hid, 'remove', 'gcc', '9.3', us FROM j WHERE event_id % 4 = 2"""

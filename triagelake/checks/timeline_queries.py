@@ -34,7 +34,7 @@ mixed = lambda t: tl.build(t, MIXED)
 
 QUERIES = {f"timeline_{n}": _branch(n) for n in ROWS}
 QUERIES |= {
-    "timeline_filtered": _case(lambda t: flat(tl.filter_rows(mixed(t), kinds=["C", "M"], sources=["FS", "EVTX", "WEB"], hide_slack=True, query="46", start="1996-01-01", end="2024-01-20"))),
+    "timeline_filtered": _case(lambda t: flat(tl.filtered(t, MIXED, kinds=["C", "M"], sources=["FS", "EVTX", "WEB"], hide_slack=True, query="46", start="1996-01-01", end="2024-01-20"))),
     "timeline_all": _case(lambda t: flat(tl.build(t, MIXED, start="2024-01-05", end="2024-01-20"))),
     "timeline_pivot": _case(lambda t: flat(tl.pivot(mixed(t), "2024-01-10 12:00:00"))),
     "timeline_extent": _case(lambda t: _us(tl.extent(mixed(t), ["host_id"]), "first", "last")),

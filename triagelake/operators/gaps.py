@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.ordered import carry_last, running_sum
+from triagelake.functions.ordered import scan
 
 _SHARD_BUCKETS = 4096
 
 
+def _shard() -> Column:
+    return F.floor(F.col("bucket") / _SHARD_BUCKETS)
+
+
 def _steps(timeline: DataFrame, keys: list[str], threshold_s: float) -> tuple[DataFrame, list[str]]:
     """One row per (key, bucket as wide as the threshold) with the previous bucket's last time.
 
@@ -24,8 +28,7 @@ def _steps(timeline: DataFrame, keys: list[str], threshold_s: float) -> tuple[Da
     buckets = base.groupBy(*ks, F.call_function("div", us, F.lit(cutoff)).alias("bucket")).agg(
         F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")
     )
-    buckets = buckets.withColumn("_shard", F.floor(F.col("bucket") / _SHARD_BUCKETS))
-    steps = carry_last(buckets, ks, "_shard", ["bucket"], {"prev": F.col("hi")}, inclusive=False)
+    steps = scan(buckets, ks, _shard(), ["bucket"], before={"prev": F.col("hi")})
     fresh = F.col("prev").isNull() | (F.col("lo") - F.col("prev") > cutoff)
     return steps.withColumn("fresh", fresh), ks
 
@@ -34,7 +37,7 @@ def sessions(timeline: DataFrame, threshold_s: float = 3600, keys: list[str] | N
     """Runs of rows no further apart than the threshold: start, end, count, duration."""
     keys = ["host_id"] if keys is None else keys
     steps, ks = _steps(timeline, keys, threshold_s)
-    numbered = running_sum(steps, ks, "_shard", ["bucket"], {"session": F.col("fresh").cast("int")})
+    numbered = scan(steps, ks, _shard(), ["bucket"], sums={"session": F.col("fresh").cast("int")})
     out = numbered.groupBy(*ks, "session").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("count"))
     return out.select(
         *keys,

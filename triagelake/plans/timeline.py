@@ -323,14 +323,22 @@ BRANCHES: dict[str, tuple[str, Callable]] = {
 }
 
 
-def build(t, tables: Iterable[str] | None = None, *, exclude_slack: bool = False, include_born: bool = True, start=None, end=None) -> DataFrame:
-    """The timeline of all supplied tables (or the named ones), optionally within a closed range."""
+def build(t, tables: Iterable[str] | None = None, *, sources: Iterable[str] | None = None, exclude_slack: bool = False, include_born: bool = True, start=None, end=None) -> DataFrame:
+    """The timeline of all supplied tables (or the named ones, or those behind some sources), optionally within a closed
+    range. Branches that are not asked for are not built."""
     names = list(tables) if tables is not None else [n for n in BRANCHES if t.supplied(n)]
+    if sources is not None:
+        sources = set(sources)
+        names = [n for n in names if BRANCHES[n][0] in sources]
+    none = not names
+    names = names or ["files"]
     parts = [
         files(t, exclude_slack, include_born) if n == "files" else BRANCHES[n][1](t)
         for n in names
     ]
-    out = union(parts) if parts else files(t)
+    out = union(parts)
+    if none:
+        out = out.limit(0)
     if start is not None:
         out = out.filter(F.col("date") >= F.lit(start))
     if end is not None:
@@ -345,6 +353,11 @@ def stable_key() -> Column:
     return F.sha2(parts, 256)
 
 
+def filtered(t, tables: Iterable[str] | None = None, *, sources: Iterable[str] | None = None, **filters) -> DataFrame:
+    """The filtered timeline, built from the tables that can hold rows of the wanted sources."""
+    return filter_rows(build(t, tables, sources=sources), sources=sources, **filters)
+
+
 def filter_rows(
     timeline: DataFrame, *, kinds=None, sources=None, hide_slack: bool = False, bookmarks: DataFrame | None = None,
     query: str = "", start=None, end=None,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions import times
-from triagelake.functions.ordered import carry_last
+from triagelake.functions.ordered import scan
 from triagelake.functions.text import contains_any, first_match, has_bit
 from triagelake.operators.findings import union
 from triagelake.sources.lines import FILE
@@ -252,22 +252,25 @@ def notifications(record: DataFrame, app: DataFrame, scope: str = "") -> DataFra
 
 
 # ---- Powerlog ---------------------------------------------------------------------------------
-def correct_clock(rows: DataFrame, offsets: DataFrame, column: str = "raw", out: str = "date", shard_s: float = 86_400) -> DataFrame:
+def correct_clock(rows: DataFrame, offsets: DataFrame, column: str = "raw", out: str = "date", shard_s: float = 600) -> DataFrame:
     """As-of join: each raw time plus the latest offset at or before it; before the first
     offset the earliest one; no offset for the host, none. Times up to 1e9 are dropped to null.
 
-    Offsets and rows are ordered together (offsets first on ties) in day-wide shards, so a
-    host with most of the rows is still spread over many tasks.
+    Offsets and rows are ordered together (offsets first on ties) in shards of ten minutes, so a
+    host with most of the rows is still spread over many tasks. Rows without a time are not ordered at all.
     """
     cols = rows.columns
+    undated = rows.filter(F.col(column).isNull()).select(*cols, F.lit(None).cast("timestamp").alias(out))
+    rows = rows.filter(F.col(column).isNotNull())
     marked = rows.withColumn("_ord", F.lit(1)).withColumn("_off", F.lit(None).cast("double")).withColumn("_at", F.col(column).cast("double"))
     marks = offsets.filter("timestamp IS NOT NULL").select("host_id", F.lit(0).alias("_ord"), F.coalesce(F.col("system").cast("double"), F.lit(0.0)).alias("_off"), F.col("timestamp").cast("double").alias("_at"))
-    both = marked.unionByName(marks, allowMissingColumns=True).withColumn("_shard", F.floor(F.coalesce("_at", F.lit(0.0)) / shard_s))
-    carried = carry_last(both, ["host_id"], "_shard", ["_at", "_ord"], {"_seen": F.col("_off")}).filter("_ord = 1")
+    both = marked.unionByName(marks, allowMissingColumns=True)
+    carried = scan(both, ["host_id"], F.floor(F.col("_at") / shard_s), ["_at", "_ord"], last={"_seen": F.col("_off")}).filter("_ord = 1")
     earliest = marks.groupBy("host_id").agg(F.min_by("_off", "_at").alias("_first"))
     joined = carried.join(earliest, "host_id", "left")
     fixed = F.col("_at") + F.coalesce("_seen", "_first", F.lit(0.0))
-    return joined.select(*cols, F.when(F.col("_at") > 1_000_000_000, F.timestamp_micros(F.round(fixed * 1_000_000).try_cast("bigint"))).alias(out))
+    dated = joined.select(*cols, F.when(F.col("_at") > 1_000_000_000, F.timestamp_micros(F.round(fixed * 1_000_000).try_cast("bigint"))).alias(out))
+    return dated.unionAll(undated)
 
 
 def powerlog(process: DataFrame, lifecycle: DataFrame, frontmost: DataFrame, network: DataFrame, offsets: DataFrame, apps: DataFrame, scope: str = "") -> DataFrame:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.functions.ordered import running_sum
+from triagelake.functions.ordered import scan
 
 FILE = ["host_id", "source_file"]
 ORDER = ["block", "line_no"]
 COLUMNS = ["host_id", "source_file", "block", "line_no", "line", "anchor"]
+#: Lines of a shard in ordered computations.
+SHARD_LINES = 1 << 14
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], host_id: str | Column) -> DataFrame:
@@ -45,7 +47,12 @@ def text_lines(texts: DataFrame) -> DataFrame:
 
 def numbered(lines: DataFrame) -> DataFrame:
     """Adds `n`, the 1-based number of the line in its file."""
-    return running_sum(lines, FILE, "block", ORDER, {"n": F.lit(1)})
+    return scan(lines, FILE, line_shard(), ORDER, sums={"n": F.lit(1)})
+
+
+def line_shard() -> Column:
+    """The stretch of a file that a line stands in, in file order."""
+    return F.struct("block", F.expr(f"line_no div {SHARD_LINES}").alias("stretch"))
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:

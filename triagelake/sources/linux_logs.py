@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.once import computed
-from triagelake.functions.ordered import carry_last, carry_next, running_sum
+from triagelake.functions.ordered import runs, scan
 from triagelake.functions.text import contains_any
 from triagelake.operators.linux import word_after
-from triagelake.sources.lines import FILE, ORDER, extract, numbered, strip
+from triagelake.sources.lines import FILE, ORDER, extract, line_shard, strip
 from triagelake.tables import conform
 
 # ---- Fixed values -----------------------------------------------------------------------------
@@ -261,7 +261,7 @@ def app_server_log(lines: DataFrame) -> DataFrame:
     ).filter("req IS NOT NULL OR code IS NOT NULL")
     # The next mark decides: a code completes the request, another request leaves it open.
     mark = F.when(F.col("req").isNotNull(), F.lit(-1)).otherwise(F.col("code"))
-    paired = carry_next(marks, FILE, "block", ORDER, {"then": mark}).filter("req IS NOT NULL")
+    paired = scan(marks, FILE, line_shard(), ORDER, following={"then": mark}).filter("req IS NOT NULL")
     pairs = paired.select(*FILE, "req.*", F.when(F.col("then") >= 0, F.col("then")).otherwise(0).alias("status"), F.lit(0).alias("bytes"))
     out = combined.unionByName(pairs, allowMissingColumns=True).withColumn("server", F.lit("unknown"))
     return conform(out, "web_access")
@@ -277,7 +277,7 @@ def history_user(path: Column) -> Column:
 def shell_history(lines: DataFrame, shell: Column | None = None) -> DataFrame:
     """bash (with '#epoch' stamp lines) and zsh (': epoch:n;command') histories."""
     shell = shell if shell is not None else F.when(F.col("source_file").contains(".zsh_history"), "zsh").otherwise("bash")
-    df = numbered(lines).withColumn("shell", shell).filter("line <> ''")
+    df = lines.withColumn("shell", shell)
     line = F.col("line")
     low, high = EPOCH_RANGE
     header = (F.col("shell") == "zsh") & line.startswith(": ") & line.contains(";")
@@ -285,8 +285,8 @@ def shell_history(lines: DataFrame, shell: Column | None = None) -> DataFrame:
     epoch = F.when((F.col("shell") == "bash") & line.startswith("#"), F.regexp_extract(line, r"^#([0-9.]+)$", 1).try_cast("double"))
     df = df.withColumn("stamp", F.when(epoch.between(low, high), epoch)).withColumn("own", F.when(header & zsh_epoch.between(low, high), zsh_epoch))
     # Only the directly preceding kept line can stamp a command; a command ends the stamp.
-    mark = F.coalesce("stamp", F.lit(-1.0))
-    df = carry_last(df, FILE, "block", ORDER, {"before": mark}, inclusive=False)
+    mark = F.when(line != "", F.coalesce("stamp", F.lit(-1.0)))
+    df = scan(df, FILE, line_shard(), ORDER, sums={"n": F.lit(1)}, before={"before": mark}).filter("line <> ''")
     command = F.when(header, F.regexp_extract(line, r"(?s)^[^;]*;(.*)$", 1)).otherwise(line)
     when = F.when(header, F.col("own")).when(F.col("before") >= 0, F.col("before"))
     out = df.withColumn("command", command).filter("stamp IS NULL AND command <> ''").select(
@@ -313,25 +313,24 @@ def _sub_field(blob: Column, key: str) -> Column:
 
 
 AUDIT_HEAD = r"^(?:node=[^ ]* )?type=([^ ]*) msg=audit\(([^:)]*):([^:)]*)\):? ?(.*)$"
+AUDIT_FIELD = r"""[^ =]+=(?:"[^"]*(?:"|$)|'[^']*(?:'|$)|[^ ]*)"""
 
 
 def audit_records(lines: DataFrame) -> DataFrame:
-    """Type, epoch, serial and the raw fields of each audit line."""
-    head = AUDIT_HEAD
+    """Type, epoch, serial and the raw fields of each audit line; the head and the fields are matched once each."""
+    mark = "\u0001"
     line = F.col("line")
-    body = F.regexp_extract(line, head, 4)
-    pattern = r"""([^ =]+)=("[^"]*(?:"|$)|'[^']*(?:'|$)|[^ ]*)"""
-    keys = F.regexp_extract_all(body, F.lit(pattern), 1)
-    values = F.regexp_extract_all(body, F.lit(pattern), 2)
+    some = lines.filter(line.contains("type=") & line.contains(" msg=audit(")).select(*FILE, *ORDER, "line")
+    head = computed(some, _h=F.split(F.regexp_replace(line, AUDIT_HEAD, mark.join(["$1", "$2", "$3", "$4"])), mark, 4)).drop("line")
+    h = F.col("_h")
     df = computed(
-        lines.filter(line.rlike(head)).select(*FILE, *ORDER, "line"),
-        type=F.regexp_extract(line, head, 1), epoch=F.regexp_extract(line, head, 2).try_cast("double"),
-        serial=F.regexp_extract(line, head, 3).try_cast("bigint"), _k=keys, _v=values,
-    ).drop("line").filter("serial IS NOT NULL")
+        head.filter(F.size("_h") == 4), type=h[0], epoch=h[1].try_cast("double"), serial=h[2].try_cast("bigint"), _f=F.regexp_extract_all(h[3], F.lit(AUDIT_FIELD), 0)
+    ).drop("_h").filter("serial IS NOT NULL")
+    df = computed(df, _k=F.transform("_f", lambda f: F.substring_index(f, "=", 1)), _v=F.transform("_f", lambda f: F.substring(f, F.instr(f, F.lit("=")) + 1, F.length(f))))
     # The last value of a key wins.
     last = lambda k: F.element_at(F.col("_v"), (F.size("_k") - F.array_position(F.reverse("_k"), k) + 1).cast("int"))
     keys = F.array_distinct("_k")
-    return computed(df, fields=F.map_from_arrays(keys, F.transform(keys, last))).drop("_k", "_v")
+    return computed(df, fields=F.map_from_arrays(keys, F.transform(keys, last))).drop("_f", "_k", "_v")
 
 
 def _argv(fields: Column) -> Column:
@@ -362,12 +361,7 @@ def audit_log(lines: DataFrame, by_serial: bool = False) -> DataFrame:
     if by_serial:
         rec = rec.withColumn("island", F.col("serial"))
     else:
-        # The groups are found on the serials alone, so that the fields of a line are parsed and moved once.
-        bare = lines.filter(F.col("line").rlike(AUDIT_HEAD)).select(*FILE, *ORDER, F.regexp_extract("line", AUDIT_HEAD, 3).try_cast("bigint").alias("_serial")).filter("_serial IS NOT NULL")
-        bare = carry_last(bare, FILE, "block", ORDER, {"_prev": F.col("_serial")}, inclusive=False)
-        fresh = F.col("_prev").isNull() | (F.col("_prev") != F.col("_serial"))
-        bare = running_sum(bare, FILE, "block", ORDER, {"island": fresh.cast("int")}).select(*FILE, *ORDER, "island")
-        rec = rec.join(bare, [*FILE, *ORDER])
+        rec = runs(rec, FILE, line_shard(), ORDER, "serial", "island")
     kind = F.col("type")
     at = F.struct("block", "line_no")
     is_user = kind.rlike("^(?:USER_|CRED_|ADD_|DEL_)") | kind.isin("GRP_MGMT", "LOGIN", "ANOM_ABEND")
@@ -438,7 +432,7 @@ def apt_history(lines: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.trim(F.regexp_extract(t, r"^Start-Date:(.*)$", 1)), "  ", " ")
     # A date line sets the date (even to none), a blank line clears it.
     mark = F.when(start, F.struct(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).alias("at"))).when(t == "", F.struct(F.lit(None).cast("timestamp").alias("at")))
-    df = carry_last(df, FILE, "block", ORDER, {"stamp": mark})
+    df = scan(df, FILE, line_shard(), ORDER, last={"stamp": mark})
     action = F.lower(extract(t, "^(" + "|".join(APT_ACTIONS) + "):"))
     df = df.withColumn("action", action).filter("action IS NOT NULL")
     items = F.transform(F.split(F.regexp_extract("t", r"^[^:]*:(.*)$", 1), r",(?![^(]*\))"), lambda i: F.trim(i))
