@@ -9,6 +9,8 @@ from triagelake.functions import times
 from triagelake.functions.text import any_of, contains_any
 from triagelake.operators.correlation import has_login_shell
 from triagelake.operators.cross_platform import full_path
+from triagelake.sources.contents import digests
+from triagelake.tables import append_table, merge_table
 
 
 # ---- Annotations and custody ------------------------------------------------------------------
@@ -34,9 +36,14 @@ def bookmarks(annotations: DataFrame, tag: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("timestamp").asc_nulls_last(), "created_at", "target_key")
 
 
-def append_custody(entries: DataFrame, root: str) -> None:
-    """Adds to the ledger; nothing already there is rewritten."""
-    entries.write.mode("append").parquet(f"{root}/custody")
+def store_annotations(edits: DataFrame, root: str) -> int:
+    """Upserts edits into the stored annotations in one step; returns the commit's number."""
+    return merge_table(edits, root, "annotations", upsert_annotations)
+
+
+def append_custody(entries: DataFrame, root: str) -> int:
+    """Adds to the ledger; nothing already there is rewritten. Returns the commit's number."""
+    return append_table(entries, root, "custody")
 
 
 # ---- Look-ups ---------------------------------------------------------------------------------
@@ -214,6 +221,13 @@ def content_hashes(contents: DataFrame) -> DataFrame:
     return contents.select("path", F.explode(pairs).alias("algorithm", "computed"))
 
 
+def file_hashes(files: DataFrame) -> DataFrame:
+    """The same of files named by `path` and the address `uri`, read a piece at a time; unreadable ones have no rows."""
+    sums = digests(files, ["path"])
+    pairs = F.create_map(*[c for a in ("md5", "sha1", "sha256") for c in (F.lit(a), F.col(a))])
+    return sums.filter("error IS NULL").select("path", F.explode(pairs).alias("algorithm", "computed"))
+
+
 def verify_sources(expected: DataFrame, computed: DataFrame) -> DataFrame:
     """Recorded against recomputed hashes: verified, mismatch, or unavailable."""
     out = expected.join(computed, ["path", "algorithm"], "left")

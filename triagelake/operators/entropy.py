@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from triagelake.functions.ordered import first_n
 from triagelake.functions.text import extension
 from triagelake.operators.cross_platform import encryption_bursts, extension_names
+from triagelake.sources.contents import sampled_entropy
 
 # Fixed values.
 WINDOW = 64 * 1024
@@ -75,6 +76,12 @@ def sample_bursts(t, contents: DataFrame, threshold: int = 25, per_extension: in
     return statistics(measured)
 
 
+def sample_burst_files(t, places: DataFrame, threshold: int = 25, per_extension: int | None = None) -> DataFrame:
+    """The same from files that are only named: places has (host_id, id, uri), and tasks read the sampled ranges."""
+    picked = candidates(t, threshold, per_extension).select("host_id", "ext", "id").join(places, ["host_id", "id"])
+    return statistics(sampled_entropy(picked, ["host_id", "ext", "id"], window=WINDOW, least=MIN_BYTES))
+
+
 def scan_candidates(t, max_bytes: int | None = None, limit: int | None = None) -> DataFrame:
     """Live, real files for a rule scan, optionally up to a size and the first n per host."""
     live = t["files"].filter(

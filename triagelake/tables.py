@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triagelake import commits
 from triagelake.functions.payload import with_payload
 
 # Every table starts with host_id. Types: s string, l long, i int, d double, b boolean,
@@ -164,28 +165,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_table(spark: SparkSession, root: str, name: str, hosts: list[str] | None = None) -> DataFrame:
-    """A stored table; the host filter prunes partitions before any file is read."""
+def has_hosts(name: str) -> bool:
+    return name not in _CASE_COLUMNS
+
+
+def read_table(spark: SparkSession, root: str, name: str, hosts: list[str] | None = None, at: int | None = None) -> DataFrame:
+    """A stored table as of its last commit (or commit `at`); only the folders of the wanted hosts are opened."""
     path = f"{root}/{name}"
-    if not _exists(spark, path):
+    if not _exists(spark, f"{path}/commits"):
         raise FileNotFoundError(path)
-    df = spark.read.schema(SCHEMAS[name]).parquet(path)
-    return df if hosts is None or "host_id" not in df.columns else df.filter(F.col("host_id").isin(hosts))
+    return commits.read(spark, path, SCHEMAS[name], has_hosts(name), hosts if has_hosts(name) else None, at)
 
 
-def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Replaces only the host partitions present in the data.
+def write_table(df: DataFrame, root: str, name: str) -> int:
+    """Replaces the hosts present in the data, or a table without hosts, in one step; returns the commit's number."""
+    return commits.replace_parts(conform(df, name), f"{root}/{name}", has_hosts(name))
 
-    Rows are range-partitioned on host and a hash, so a host with a large share of the
-    rows is written by many tasks instead of one.
-    """
-    out = conform(df, name)
-    if "host_id" not in _COLUMNS.get(name, "") and name in _CASE_COLUMNS:
-        out.write.mode("overwrite").parquet(f"{root}/{name}")
-        return
-    spread = out.withColumn("_h", F.xxhash64(*[c for c in out.columns if not isinstance(out.schema[c].dataType, T.MapType)]))
-    spread = spread.repartitionByRange("host_id", "_h").drop("_h")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("host_id").parquet(f"{root}/{name}")
+
+def append_table(df: DataFrame, root: str, name: str) -> int:
+    """Adds rows; what is there is not rewritten."""
+    return commits.append(conform(df, name), f"{root}/{name}", has_hosts(name))
+
+
+def merge_table(df: DataFrame, root: str, name: str, combine) -> int:
+    """Rewrites the touched hosts (or a table without hosts) as combine(present rows, new rows)."""
+    return commits.merge(conform(df, name), f"{root}/{name}", SCHEMAS[name], has_hosts(name), lambda a, b: conform(combine(a, b), name))
 
 
 def parse_instant(text):
