@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,9 +69,16 @@ def commit(spark: SparkSession, table: str, base: int, batches: Batches) -> int:
     return number
 
 
-def stage(rows: DataFrame, table: str, by_host: bool) -> str:
-    """Writes rows as a batch that no commit names yet. A host with a large share of the rows is many tasks' work."""
+def stage(rows: DataFrame, table: str, by_host: bool, within: Sequence[str] = (), order: Sequence[str] = ()) -> str:
+    """Writes rows as a batch that no commit names yet. A host with a large share of the rows is many tasks' work.
+
+    `within` are columns with folders of their own below a host; files are sorted by `order`, if that is given.
+    """
     batch = uuid.uuid4().hex
+    if order:
+        placed = ["host_id", *within, *order]
+        rows.repartitionByRange(*placed).sortWithinPartitions(*placed).write.partitionBy("host_id", *within).parquet(f"{table}/data/batch={batch}")
+        return batch
     if not by_host:
         rows.write.parquet(f"{table}/data/batch={batch}")
         return batch
