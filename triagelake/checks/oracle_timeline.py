@@ -90,6 +90,11 @@ GAP_S = 3600
 SESS = f"""{TL}, f AS (SELECT host_id, date, lag(date) OVER (PARTITION BY host_id ORDER BY date) p FROM tl), g AS (SELECT *, CASE WHEN p IS NULL OR epoch_us(date) - epoch_us(p) > {GAP_S * 1000000} THEN 1 ELSE 0 END n FROM f),
  s AS (SELECT *, sum(n) OVER (PARTITION BY host_id ORDER BY date) k FROM g)"""
 
+PAGED = ["files", "web_access", "registry"]
+PAGES = f"{cte(*PAGED)}, tl AS ({' UNION ALL '.join(branch(n) for n in PAGED)})"
+PLACED = "date, host_id, source, kind, path, coalesce(event_id, -1)"
+KEY_ROW = "epoch_us(date) AS date_us, host_id, source, kind, path, event_id"
+
 ORACLES = {f"timeline_{n}": f"{cte(n)} SELECT {FLAT_ROW} FROM ({branch(n)}) z" for n in ROWS}
 ORACLES |= {
     "timeline_filtered": f"{TL} SELECT {FLAT_ROW} FROM tl WHERE kind IN ('C', 'M') AND source IN ('FS', 'EVTX', 'WEB') AND NOT ends_with(path, '-slack') AND (contains(lower(path), '46') OR contains(CAST(event_id AS VARCHAR), '46')) AND date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2024-01-20'",
@@ -106,6 +111,9 @@ ORACLES |= {
     "timeline_longest_gaps": f"{SESS} SELECT host_id, epoch_us(p) AS start_us, epoch_us(date) AS end_us FROM s WHERE n = 1 AND p IS NOT NULL ORDER BY epoch_us(date) - epoch_us(p) DESC, p, host_id LIMIT 20",
     "timeline_table_total": f"{TL} SELECT count(*) AS total FROM tl",
     "timeline_first_rows": f"{TL} SELECT epoch_us(date) AS date_us FROM tl ORDER BY date",
+    "timeline_page": f"{PAGES} SELECT {KEY_ROW} FROM tl ORDER BY {PLACED} LIMIT 300 OFFSET 7000",
+    "timeline_page_after": f"{PAGES} SELECT {KEY_ROW} FROM tl WHERE ({PLACED}) > (SELECT ({PLACED}) FROM tl ORDER BY {PLACED} LIMIT 1 OFFSET 7000) ORDER BY {PLACED} LIMIT 300",
+    "timeline_stored_pivot": f"{PAGES} SELECT {FLAT_ROW} FROM tl WHERE date BETWEEN TIMESTAMP '2024-01-10 11:30:00' AND TIMESTAMP '2024-01-10 12:30:00'",
     "timeline_unique_keys": f"{TL} SELECT count(DISTINCT (source, kind, epoch_us(date), coalesce(event_id, 0), path)) AS n FROM tl",
     "timeline_zoom": f"""{cte('events')}, e AS (SELECT host_id, epoch_us(min(written_at)) f, epoch_us(max(written_at)) l FROM a_events GROUP BY host_id)
  SELECT host_id, CAST(greatest(f, round(f + (l - f) / 2.0 - (l - f) / 2.0 * 0.5)) AS BIGINT) AS new_low_us, CAST(least(l, round(f + (l - f) / 2.0 + (l - f) / 2.0 * 0.5)) AS BIGINT) AS new_high_us FROM e""",

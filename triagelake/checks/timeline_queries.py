@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.checks.adapters import GivenCase
 from triagelake.checks.oracle_timeline import MIXED, ROWS
 from triagelake.operators import gaps
+from triagelake.plans import stored_timeline as st
 from triagelake.plans import timeline as tl
 
 
@@ -30,6 +34,44 @@ def _branch(name: str):
     return _case(lambda t: flat(tl.BRANCHES[name][1](t)))
 
 
+def work_folder(spark) -> str:
+    """A new folder that driver and executors share; a temporary one where all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="triagelake-")
+    return f"{named}/case-{uuid.uuid4().hex}"
+
+
+PAGED, PLACE, PAGE = ["files", "web_access", "registry"], 7000, 300
+
+
+def _stored(t) -> str:
+    """The timeline of a few tables as a stored one."""
+    folder = f"{work_folder(t.spark)}/timeline"
+    st.add_hosts(tl.build(t, PAGED), folder)
+    return folder
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select(F.unix_micros("date").alias("date_us"), "host_id", "source", "kind", "path", "event_id")
+
+
+def page(t) -> DataFrame:
+    return _keys(st.page(t.spark, _stored(t), PLACE, PAGE))
+
+
+def page_after(t) -> DataFrame:
+    folder = _stored(t)
+    row = st.page(t.spark, folder, PLACE, 1).first()
+    return _keys(st.page_after(t.spark, folder, row.asDict(), PAGE))
+
+
+def stored_pivot(t) -> DataFrame:
+    return flat(st.pivot(t.spark, _stored(t), "2024-01-10 12:00:00"))
+
+
 mixed = lambda t: tl.build(t, MIXED)
 
 QUERIES = {f"timeline_{n}": _branch(n) for n in ROWS}
@@ -47,6 +89,9 @@ QUERIES |= {
     "timeline_longest_gaps": _case(lambda t: _us(gaps.longest(gaps.gaps(mixed(t)), 20), "start", "end").drop("duration_s")),
     "timeline_table_total": _case(lambda t: tl.table_view(mixed(t))[1]),
     "timeline_first_rows": _case(lambda t: tl.table_view(mixed(t))[0].select(F.unix_micros("date").alias("date_us"))),
+    "timeline_page": _case(page),
+    "timeline_page_after": _case(page_after),
+    "timeline_stored_pivot": _case(stored_pivot),
     "timeline_unique_keys": _case(lambda t: mixed(t).select(tl.stable_key().alias("k")).distinct().agg(F.count(F.lit(1)).alias("n"))),
     "timeline_zoom": _case(lambda t: _us(tl.zoom(tl.extent(tl.events(t), ["host_id"]).withColumn("low", F.lit(None).cast("timestamp")).withColumn("high", F.lit(None).cast("timestamp")), 0.5).select("host_id", "new_low", "new_high"), "new_low", "new_high")),
 }

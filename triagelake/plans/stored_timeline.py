@@ -1,7 +1,7 @@
-"""The timeline as a stored table: days in folders, rows in time order, and counts by hour.
+"""The timeline as a stored table: months in folders, rows in time order, and counts by hour.
 
 A host's rows are added or replaced as one batch, without touching other hosts' files. A range of time opens the folders
-of its days only, and inside a file the smallest and largest times of its row groups leave the rest out. The counts by
+of its months only, and inside a file the smallest and largest times of its row groups leave the rest out. The counts by
 host and hour (the order statistics) say which stretch of time holds a page, so any page is read without sorting more
 than that stretch: the page's rows and at most those of the hours at its ends.
 """
@@ -22,7 +22,7 @@ HOUR_US = 3_600_000_000
 SCHEMA = T.StructType([
     T.StructField("host_id", T.StringType()), T.StructField("date", T.TimestampType()), T.StructField("kind", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("file_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("is_deleted", T.BooleanType()),
-    T.StructField("event_id", T.LongType()), T.StructField("day", T.DateType()),
+    T.StructField("event_id", T.LongType()), T.StructField("month", T.DateType()),
 ])
 
 
@@ -30,11 +30,15 @@ def hour_of(date: Column) -> Column:
     return F.call_function("div", F.unix_micros(date), F.lit(HOUR_US))
 
 
+def month_of(date: Column) -> Column:
+    return F.trunc(date, "month")
+
+
 def add_hosts(timeline: DataFrame, table: str) -> int:
     """Adds the rows' hosts, or replaces what is stored of them; returns the commit's number."""
     spark = timeline.sparkSession
     base, batches = commits.last_commit(spark, table)
-    batch = commits.stage(timeline.withColumn("day", F.to_date("date")), table, True, within=["day"], order=["date"])
+    batch = commits.stage(timeline.withColumn("month", month_of(F.col("date"))), table, True, within=["month"], order=["date"])
     staged = spark.read.schema(SCHEMA).parquet(f"{table}/data/batch={batch}")
     counts = staged.groupBy("host_id", hour_of(F.col("date")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     counts.repartitionByRange("hour").write.parquet(f"{table}/hours/batch={batch}")
@@ -53,10 +57,10 @@ def hours(spark: SparkSession, table: str, hosts: list[str] | None = None) -> Da
 
 
 def between(spark: SparkSession, table: str, start: Column | str, end: Column | str, hosts: list[str] | None = None) -> DataFrame:
-    """The rows of a closed range of time; other days' folders are not opened."""
+    """The rows of a closed range of time; other months' folders are not opened."""
     start, end = (F.lit(x).cast("timestamp") if isinstance(x, str) else x for x in (start, end))
     rows = commits.read(spark, table, SCHEMA, True, hosts)
-    return rows.filter(F.col("day").between(F.to_date(start), F.to_date(end)) & F.col("date").between(start, end)).drop("day")
+    return rows.filter(F.col("month").between(month_of(start), month_of(end)) & F.col("date").between(start, end)).drop("month")
 
 
 def pivot(spark: SparkSession, table: str, moment: str, pad_minutes: int = 30, hosts: list[str] | None = None) -> DataFrame:
@@ -77,7 +81,7 @@ def page(spark: SparkSession, table: str, offset: int, size: int, hosts: list[st
     upto = per_hour.withColumn("upto", F.sum("n").over(Window.orderBy("hour")))
     found = upto.filter((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + size)).agg(F.min("hour"), F.max("hour"), F.min(F.col("upto") - F.col("n"))).first()
     if found[0] is None:
-        return commits.read(spark, table, SCHEMA, True, []).drop("day")
+        return commits.read(spark, table, SCHEMA, True, []).drop("month")
     return _stretch(spark, table, found[0], found[1], hosts).orderBy(*ORDER).offset(offset - found[2]).limit(size)
 
 
@@ -94,5 +98,5 @@ def page_after(spark: SparkSession, table: str, key: dict, size: int, hosts: lis
     upto = per_hour.withColumn("upto", F.sum(F.when(F.col("hour") > at, F.col("n")).otherwise(0)).over(Window.orderBy("hour")))
     last = upto.agg(F.coalesce(F.min(F.when(F.col("upto") >= size, F.col("hour"))), F.max("hour"))).first()[0]
     if last is None:
-        return commits.read(spark, table, SCHEMA, True, []).drop("day")
+        return commits.read(spark, table, SCHEMA, True, []).drop("month")
     return _stretch(spark, table, at, last, hosts).filter(behind).orderBy(*ORDER).limit(size)
