@@ -8,6 +8,9 @@ rule and most do not. The work of every check grows with the given tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -372,6 +375,16 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast("timestamp") if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in df.schema.fields])
 
 
+def work_folder(spark) -> str:
+    """A new folder that driver and executors share; a temporary one where all runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="triagelake-")
+    return f"{named}/case-{uuid.uuid4().hex}"
+
+
 class GivenCase(CaseTables):
     """A case whose tables are the adapters over one folder of given tables."""
 
@@ -423,4 +436,4 @@ def cte(*names: str) -> str:
     return "WITH " + ", ".join(parts)
 
 
-__all__ = ["ADAPTERS", "GIVEN", "SCHEMAS", "GivenCase", "cte", "given", "q", "spark_text"]
+__all__ = ["ADAPTERS", "GIVEN", "SCHEMAS", "GivenCase", "cte", "given", "q", "spark_text", "work_folder"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.checks.adapters import GivenCase, spark_text
+from triagelake.checks.adapters import GivenCase, spark_text, work_folder
 from triagelake.checks.oracle_case import CLAIMS, CONVERSATION_NOTES, FEEDS, FINDINGS, LINES, TOKENS
 from triagelake.functions import net, text, times
 from triagelake.functions.payload import decode_entities
@@ -13,11 +13,13 @@ from triagelake.operators import (
     casebook, correlation, cross_platform, enrichment, entropy, filters, hierarchy, ioc, lateral, reporting, search, windows,
 )
 from triagelake.operators.findings import union
+from triagelake.plans import stored_correlation
 from triagelake.plans import timeline as tl
 from triagelake.plans.detections import DETECTIONS
 from triagelake.sinks import exports as out
 from triagelake.sources import exports as src
 from triagelake.sources import linux_config, linux_logs, macos_text
+from triagelake.tables import CaseTables
 
 
 def _case(fn):
@@ -87,12 +89,28 @@ def contents(t) -> DataFrame:
     return rows.select("host_id", "id", F.when(F.col("id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(noise).alias("content"))
 
 
+def correlated(t) -> str:
+    """Partial results of all hosts, stored in two steps."""
+    names = ["events", "auth_log", "logins", "linux_users", "hosts"]
+    root = work_folder(t.spark)
+    for some in (["host-0", "host-2", "host-4"], ["host-1", "host-3", "host-5"]):
+        stored_correlation.add_hosts(CaseTables(t.spark, {n: t[n].filter(F.col("host_id").isin(some)) for n in names}), root)
+    return root
+
+
+def flat_edges(df: DataFrame) -> DataFrame:
+    return us(df, "first_seen", "last_seen").withColumn("logon_types", F.array_join(F.col("logon_types").cast("array<string>"), ","))
+
+
 QUERIES = {
     # graph and correlation
     "lateral_edges": _case(lambda t: us(lateral.edges(t["events"]), "first_seen", "last_seen").withColumn("logon_types", F.array_join(F.col("logon_types").cast("array<string>"), ","))),
     "lateral_edge_users": _case(lambda t: us(lateral.edge_users(t["events"]), "first_seen", "last_seen")),
     "lateral_nodes": _case(lambda t: lateral.nodes(t["events"])),
     "lateral_node_inbound": _case(lambda t: us(lateral.node_edges(lateral.edges(t["events"]), "WS-3")[0].drop("logon_types"), "first_seen", "last_seen")),
+    "lateral_edges_stored": _case(lambda t: flat_edges(stored_correlation.edges(t.spark, correlated(t)))),
+    "lateral_nodes_stored": _case(lambda t: stored_correlation.nodes(t.spark, correlated(t))),
+    "correlation_stored": _case(lambda t: flat_findings(stored_correlation.correlate(t.spark, correlated(t)))),
     "host_summary": _case(correlation.host_summary),
     "source_pivots": _case(lambda t: flat_findings(correlation.source_pivots(t))),
     "credential_reuse": _case(lambda t: flat_findings(correlation.credential_reuse(t))),

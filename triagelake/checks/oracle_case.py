@@ -104,6 +104,8 @@ O["source_pivots"] = f"{ALL4} SELECT 'Source ' || ip || ' authenticated to ' ||
 UK = r"regexp_replace(lower(trim(u)), '^.*\\', '')"
 BI = f"({UK} LIKE '%$' OR starts_with({UK}, 'dwm-') OR starts_with({UK}, 'umfd-') OR {UK} IN {in_(correlation.BUILTIN_USERS)} OR lower(trim(u)) IN ('', '-'))"
 O["credential_reuse"] = f"{ALL4} SELECT 'Account `' || s || '` active on ' || n || ' hosts (credential reuse)' AS title, {SEV} AS severity, 'exploitation' AS phase, 'T1078' AS attack_id, CAST(NULL AS BIGINT) AS ts_us, hs AS hosts FROM (SELECT k, min(s) s, count(*) n, string_agg(display_name, '|' ORDER BY display_name) hs FROM (SELECT host_id, {UK} k, min(trim(u)) s FROM ({USERS}) a WHERE NOT {BI} GROUP BY 1, 2) g JOIN a_hosts h USING (host_id) GROUP BY k HAVING count(*) >= 2) z"
+O["lateral_edges_stored"], O["lateral_nodes_stored"] = O["lateral_edges"], O["lateral_nodes"]
+O["correlation_stored"] = f"(SELECT * FROM ({O['source_pivots']}) a) UNION ALL (SELECT * FROM ({O['credential_reuse']}) b)"
 O["user_key"] = f"{cte('auth_log')} SELECT DISTINCT \"user\", {UK.replace('trim(u)', 'trim(' + chr(34) + 'user' + chr(34) + ')')} AS key, {BI.replace('trim(u)', 'trim(' + chr(34) + 'user' + chr(34) + ')')} AS builtin FROM a_auth_log"
 ESC = r"replace(needle, '.', '\.')"
 IPRE = r"'(^|[^0-9.]|(^|[^0-9])\.)' || " + ESC + r" || '($|[^0-9.]|\.($|[^0-9]))'"

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.checks.adapters import GivenCase
+from triagelake.checks.adapters import GivenCase, work_folder
 from triagelake.checks.oracle_timeline import MIXED, ROWS
 from triagelake.operators import gaps
 from triagelake.plans import stored_timeline as st
@@ -34,16 +31,6 @@ def _branch(name: str):
     return _case(lambda t: flat(tl.BRANCHES[name][1](t)))
 
 
-def work_folder(spark) -> str:
-    """A new folder that driver and executors share; a temporary one where all runs in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="triagelake-")
-    return f"{named}/case-{uuid.uuid4().hex}"
-
-
 PAGED, PLACE, PAGE = ["files", "web_access", "registry"], 7000, 300
 
 

@@ -81,8 +81,14 @@ def _case(df: DataFrame) -> DataFrame:
     return df.withColumn("host_id", F.lit(None).cast("string"))
 
 
-def shared_indicators(t, matches: DataFrame) -> DataFrame:
-    rows = matches.withColumn("key", F.lower("ioc_value")).filter("key <> ''").withColumn("shown", F.concat_ws("\u0001", "ioc_value", "ioc_kind"))
+def indicator_rows(matches: DataFrame) -> DataFrame:
+    """Matches by their indicator: host_id, key, shown (value and kind), timestamp."""
+    rows = matches.withColumn("key", F.lower("ioc_value")).filter("key <> ''")
+    return rows.select("host_id", "key", F.concat_ws("\u0001", "ioc_value", "ioc_kind").alias("shown"), "timestamp")
+
+
+def shared_indicators(t, matches: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    rows = rows if rows is not None else indicator_rows(matches)
     agg = _case(_spread(t, rows, "key", "shown", F.col("timestamp")))
     value, kind = F.split("shown", "\u0001")[0], F.split("shown", "\u0001")[1]
     label = F.element_at(F.create_map(*[F.lit(x) for p in KIND_LABELS.items() for x in p]), kind)

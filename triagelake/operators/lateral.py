@@ -16,6 +16,7 @@ def remote_logons(events: DataFrame) -> DataFrame:
     station, ip = trimmed(F.col("_station")), trimmed(F.col("_ip"))
     source = F.when(~station.isin("", "-"), station).when(~ip.isin("", "-", "::1", "0.0.0.0", "127.0.0.1"), ip)
     rows = rows.select(
+        "host_id",
         "written_at",
         source.alias("source"),
         F.col("computer").alias("target"),
@@ -26,9 +27,9 @@ def remote_logons(events: DataFrame) -> DataFrame:
     return rows.filter(F.col("type").isin(REMOTE_TYPES) & (F.col("target") != "") & F.col("source").isNotNull() & (F.col("source") != F.col("target")))
 
 
-def _per_user(events: DataFrame) -> DataFrame:
-    """Counts per (source, target, user): the first, wide level of the edge aggregate."""
-    return remote_logons(events).groupBy("source", "target", "user").agg(
+def per_user(events: DataFrame, *keys: str) -> DataFrame:
+    """Counts per (source, target, user), and `keys`: the first, wide level of the edge aggregate."""
+    return remote_logons(events).groupBy(*keys, "source", "target", "user").agg(
         F.count(F.lit(1)).alias("count"),
         F.count_if("failed").alias("failures"),
         F.sort_array(F.collect_set(F.col("type").cast("int"))).alias("types"),
@@ -37,9 +38,21 @@ def _per_user(events: DataFrame) -> DataFrame:
     )
 
 
+def merged(partials: DataFrame) -> DataFrame:
+    """Counts per (source, target, user) from those of several hosts."""
+    return partials.groupBy("source", "target", "user").agg(
+        F.sum("count").alias("count"), F.sum("failures").alias("failures"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+    )
+
+
 def edges(events: DataFrame) -> DataFrame:
     """One row per (source, target). Accounts are counted here and listed by `edge_users`."""
-    return _per_user(events).groupBy("source", "target").agg(
+    return edges_of(per_user(events))
+
+
+def edges_of(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("source", "target").agg(
         F.sum("count").alias("count"),
         F.sum("failures").alias("failure_count"),
         F.count("user").alias("user_count"),
@@ -51,11 +64,11 @@ def edges(events: DataFrame) -> DataFrame:
 
 def edge_users(events: DataFrame) -> DataFrame:
     """The accounts of each edge, one row each, with their own counts and times."""
-    return _per_user(events).filter("user IS NOT NULL").drop("types")
+    return per_user(events).filter("user IS NOT NULL").drop("types")
 
 
 def nodes(events: DataFrame, graph_edges: DataFrame | None = None) -> DataFrame:
-    """Degree per endpoint; a node is known when it is the computer of any event at all."""
+    """Degree per endpoint; a node is known when it is the computer of any event at all (only `computer` is read)."""
     pairs = graph_edges if graph_edges is not None else edges(events)
     ends = pairs.select(F.explode(F.array("source", "target")).alias("id"))
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
