@@ -206,3 +206,14 @@ def test_nothing_is_cut_off(spark):
     line = f"type=EXECVE msg=audit(1700000000.123:7): argc=5000 {args}"
     frame = spark.createDataFrame([("h", "f", 0, 1, line)], "host_id string, source_file string, block long, line_no long, line string").withColumn("anchor", F.current_timestamp())
     assert "x4999" in str(audit_log(frame).first())
+
+
+def test_lsass_reads(spark):
+    from triagelake.operators.credentials import credential_dumping
+
+    data = lambda target, mask: f'<Data Name="SourceImage">C:\\t\\x.exe</Data><Data Name="TargetImage">{target}</Data><Data Name="GrantedAccess">{mask}</Data>'
+    lsass = "C:\\Windows\\system32\\lsass.exe"
+    rows = [("h", 10, "Sysmon", data(lsass, "0x1410")), ("h", 10, "Sysmon", data(lsass, "0x1000")), ("h", 10, "Sysmon", data("C:\\a.exe", "0x1410")), ("h", 10, "System", data(lsass, "0x1410"))]
+    events = spark.createDataFrame(rows, "host_id string, event_id int, channel string, payload_xml string")
+    found = credential_dumping(CaseTables(spark, {"events": conform(events, "events")})).collect()
+    assert [(r["title"], r["technique"]["attack_id"]) for r in found] == [("Credential dumping: LSASS opened by x.exe", "T1003.001")]

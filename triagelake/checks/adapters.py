@@ -74,6 +74,7 @@ WIN_PATHS = [
 COMMANDS = [
     "net group /domain", "net user bob /domain", "nltest /dclist:corp", "whoami /all", "arp -a", "systeminfo",
     "powershell -nop -w hidden -enc SQBFAFgA", "vssadmin delete shadows /all", "wbadmin delete catalog -quiet",
+    r"rundll32 C:\Windows\System32\comsvcs.dll, MiniDump 612 C:\t\o.dmp full", r"reg save HKLM\SAM C:\t\s.hiv", "ntdsutil ac i ntds ifm",
     r"cmd.exe /Q /c dir 1> \\127.0.0.1\ADMIN$\__out 2>&1", "cmd.exe /q /c echo {m} 2>&1", "cmd.exe /q /c echo plain",
     r"wmic /node:srv{m} process call create calc.exe", r"copy a.exe \\srv{m}\c$\temp", "mmc20.application run",
     "notepad.exe file{d}.txt &amp;&amp; dir", "cipher /w:C", "diskpart clean", "explorer.exe", "bcdedit /set recoveryenabled no",

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from triagelake.checks.adapters import cte, q
+from triagelake.operators import credentials as c
 from triagelake.operators import cross_platform as x
 from triagelake.operators import linux as l
 from triagelake.operators import macos as m
@@ -500,6 +501,26 @@ add("download_origins", ["where_froms"], f"""SELECT host_id, CASE WHEN raw THEN
  {say("'{" + LEAF.format('path') + "}' was downloaded from {url}{CASE WHEN priv THEN ' (an internal/private address)' END}.")} AS detail, [path] AS ev FROM
  (SELECT host_id, path, raw, CASE WHEN raw THEN h ELSE s END k, min({WU}) url, bool_or(raw AND {PV}) priv FROM (SELECT *, {IP4.format('h')} raw, {SV} s FROM (SELECT *, {WHH} h FROM a_where_froms) a) b WHERE raw OR s IS NOT NULL GROUP BY 1, 2, 3, 4) c""")
 
+# ---- Credentials ------------------------------------------------------------------------------
+CWHAT = case_([(all_("low", t), q(w_)) for w_, t, a in c.COMMANDS] + [(f"contains(low, {q(t)})", q("tool " + t)) for t in c.TOOLS])
+CTECH = case_([(all_("low", t), q(a)) for w_, t, a in c.COMMANDS] + [(f"contains(low, {q(t)})", q(a)) for t, a in c.TOOLS.items()])
+TOOL = lambda hay: case_([(f"contains(lower({hay}), {q(t)})", q(t)) for t in c.TOOLS])
+TECH = lambda hay: case_([(f"contains(lower({hay}), {q(t)})", q(a)) for t, a in c.TOOLS.items()])
+
+
+def tools(table: str, where: str, hay: str, shown: str, ts: str, ev: str) -> str:
+    return f"""SELECT host_id, {q(f'Credential-dumping tool in {where}: ')} || {TOOL(hay)}, 3, 'exploitation', {TECH(hay)}, {ts}, {say('{' + shown + '}{?Time: |@' + ts + '}')}, {ev} FROM a_{table} WHERE {TOOL(hay)} IS NOT NULL"""
+
+
+add("credential_dumping", ["events", "shell_history", "prefetch", "amcache", "shimcache", "lnk", "browser_history"], f"""SELECT host_id, 'Credential dumping: ' || {CWHAT} AS title, 4 AS severity, 'exploitation' AS phase, {CTECH} AS attack_id, at1 AS ts, {say("{origin} shows: {line}")} AS detail, [source_file] AS ev FROM (SELECT *, lower(line) low FROM (
+  SELECT host_id, written_at at1, source_file, {HAY} line, 'Process on ' || computer origin FROM {PROC} UNION ALL SELECT host_id, timestamp, source_file, command, 'Shell history of ' || "user" FROM a_shell_history) u) v WHERE {CWHAT} IS NOT NULL
+ UNION ALL SELECT host_id, 'Credential dumping: LSASS opened by ' || coalesce({base('src')}, '?'), 3, 'exploitation', 'T1003.001', written_at, {say("{src} asked for {mask} on {tgt}, {@written_at}")}, [source_file] FROM {ev(src="SourceImage", tgt="TargetImage", mask="GrantedAccess")} WHERE event_id = 10 AND contains(lower(channel), 'sysmon') AND lower({base('tgt')}) = 'lsass.exe' AND lower(mask) IN {in_(c.LSASS_MASKS)}
+ UNION ALL {tools("prefetch", "Prefetch", "executable_name", "coalesce(executable_path, executable_name)", "coalesce(run1, run2)", "[source_file]")}
+ UNION ALL {tools("amcache", "Amcache", "concat_ws(' ', name, full_path)", "full_path", "registered_at", "[full_path]")}
+ UNION ALL {tools("shimcache", "Shimcache", "path", "path", "last_modified", "[path]")}
+ UNION ALL {tools("lnk", "a shortcut", "concat_ws(' ', local_path, network_path, arguments)", "coalesce(local_path, network_path)", "target_modified", "[source_file]")}
+ UNION ALL {tools("browser_history", "browser history", "concat_ws(' ', url, target_path)", "url", "timestamp", "[url, source_file]")}""")
+
 
 def run_all() -> str:
     """The rows of all detections."""

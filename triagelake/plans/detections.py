@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.payload import with_payload
+from triagelake.operators import credentials as c
 from triagelake.operators import cross_platform as x
 from triagelake.operators import linux as l
 from triagelake.operators import macos as m
@@ -111,6 +112,7 @@ DETECTIONS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "configuration_posture": (m.configuration_posture, ("config",)),
     "installs": (m.installs, ("installs",)),
     "download_origins": (m.download_origins, ("where_froms",)),
+    "credential_dumping": (c.credential_dumping, ("events", "shell_history", "prefetch", "amcache", "shimcache", "lnk", "browser_history")),
 }
 
 
