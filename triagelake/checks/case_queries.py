@@ -108,6 +108,7 @@ QUERIES = {
     "lateral_edge_users": _case(lambda t: us(lateral.edge_users(t["events"]), "first_seen", "last_seen")),
     "lateral_nodes": _case(lambda t: lateral.nodes(t["events"])),
     "lateral_node_inbound": _case(lambda t: us(lateral.node_edges(lateral.edges(t["events"]), "WS-3")[0].drop("logon_types"), "first_seen", "last_seen")),
+    "lateral_node_outbound": _case(lambda t: us(lateral.node_edges(lateral.edges(t["events"]), "WS-3")[1].drop("logon_types"), "first_seen", "last_seen")),
     "lateral_edges_stored": _case(lambda t: flat_edges(stored_correlation.edges(t.spark, correlated(t)))),
     "lateral_nodes_stored": _case(lambda t: stored_correlation.nodes(t.spark, correlated(t))),
     "correlation_stored": _case(lambda t: flat_findings(stored_correlation.correlate(t.spark, correlated(t)))),
@@ -141,7 +142,7 @@ QUERIES = {
     "severity_counts": _case(lambda t: reporting.severity_counts(found(t)).select("host_id", "severity", "n")),
     "phase_counts": _case(lambda t: reporting.phase_counts(found(t), [2, 3, 4]).select("host_id", "phase", "n", "max_severity")),
     "phase_matrix": _case(lambda t: reporting.phase_matrix(found(t)).select("host_id", "installation", "actionsOnObjectives", "delivery")),
-    "host_sections": _case(lambda t: reporting.host_sections(t, found(t), matches(t).limit(0)).select("host_id", "display_name", "files", "events", "registry_values", "findings")),
+    "host_sections": _case(lambda t: reporting.host_sections(t, found(t), matches(t)).select("host_id", "display_name", "files", "events", "registry_values", "findings", "ioc_matches")),
     "overview_counts": _case(lambda t: reporting.overview(t, tl.events(t), found(t))),
     "finding_export_rows": _case(lambda t: out.finding_rows(DETECTIONS["log_cleared"][0](t), t["hosts"]).select("timestamp_iso", "severity", "phase", "attack_id", "attack_name", "title", "host")),
     "timeline_export_rows": _case(lambda t: out.timeline_rows(tl.shell_history(t), t["hosts"])),

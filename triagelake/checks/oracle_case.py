@@ -95,6 +95,7 @@ O["lateral_edges"] = f"{cte('events')}, {ED} {EDG}, array_to_string(list_sort(li
 O["lateral_edge_users"] = f"{cte('events')}, {ED} SELECT src AS source, tgt AS target, usr AS \"user\", count(*) AS count, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS failures, min(us) AS first_seen_us, max(us) AS last_seen_us FROM e WHERE usr IS NOT NULL GROUP BY src, tgt, usr"
 O["lateral_nodes"] = f"{cte('events')}, {ED}, p AS (SELECT DISTINCT src, tgt FROM e), n AS (SELECT src id FROM p UNION ALL SELECT tgt FROM p) SELECT id, CASE WHEN id IN (SELECT computer FROM a_events) THEN 'knownHost' ELSE 'externalSource' END AS kind, count(*) AS degree FROM n GROUP BY id"
 O["lateral_node_inbound"] = f"{cte('events')}, {ED} {EDG}, min(us) AS first_seen_us, max(us) AS last_seen_us FROM e WHERE tgt = 'WS-3' GROUP BY src, tgt"
+O["lateral_node_outbound"] = O["lateral_node_inbound"].replace("WHERE tgt = 'WS-3'", "WHERE src = 'WS-3'")
 USERS = """SELECT DISTINCT host_id, u FROM (SELECT host_id, name u FROM a_linux_users WHERE uid BETWEEN 1000 AND 64999 AND shell NOT LIKE '%nologin' AND shell NOT LIKE '%/false' AND shell <> '' UNION ALL SELECT host_id, "user" FROM a_logins WHERE type = 'userProcess' AND NOT is_failed_login UNION ALL SELECT host_id, "user" FROM a_auth_log WHERE kind IN ('sshAccepted', 'sudo', 'sessionOpened')) x WHERE u <> ''"""
 IPS = f"SELECT DISTINCT host_id, ip FROM (SELECT host_id, source_ip ip FROM a_auth_log WHERE kind = 'sshAccepted' UNION ALL SELECT host_id, {fld('IpAddress')} FROM a_events WHERE event_id IN (4624, 4625)) x WHERE ip NOT IN ('', '-', '::1', '127.0.0.1')"
 ALL4 = cte("events", "auth_log", "logins", "linux_users", "hosts")
@@ -157,7 +158,7 @@ O["claim_metrics"] = f"WITH g AS (SELECT count(*) k, least(count(*), 6) sh FROM
 O["severity_counts"] = f"SELECT host_id, severity, count(*) AS n FROM ({F}) z GROUP BY ROLLUP (host_id, severity)"
 O["phase_counts"] = f"SELECT host_id, phase, count(*) AS n, max(severity) AS max_severity FROM ({F}) z WHERE severity >= 2 GROUP BY 1, 2"
 O["phase_matrix"] = f"SELECT host_id, count(*) FILTER (phase = 'installation') AS installation, count(*) FILTER (phase = 'actionsOnObjectives') AS \"actionsOnObjectives\", count(*) FILTER (phase = 'delivery') AS delivery FROM ({F}) z GROUP BY 1"
-O["host_sections"] = f"{cte('hosts', 'files', 'events', 'registry')} SELECT h.host_id, display_name, (SELECT count(*) FROM a_files x WHERE x.host_id = h.host_id) AS files, (SELECT count(*) FROM a_events x WHERE x.host_id = h.host_id) AS events, (SELECT count(*) FROM a_registry x WHERE x.host_id = h.host_id) AS registry_values, (SELECT count(*) FROM ({F}) x WHERE x.host_id = h.host_id) AS findings FROM a_hosts h"
+O["host_sections"] = f"{MT} SELECT h.host_id, display_name, (SELECT count(*) FROM a_files x WHERE x.host_id = h.host_id) AS files, (SELECT count(*) FROM a_events x WHERE x.host_id = h.host_id) AS events, (SELECT count(*) FROM a_registry x WHERE x.host_id = h.host_id) AS registry_values, (SELECT count(*) FROM ({F}) x WHERE x.host_id = h.host_id) AS findings, (SELECT count(*) FROM m x WHERE x.host_id = h.host_id) AS ioc_matches FROM a_hosts h"
 O["overview_counts"] = f"{cte('files', 'events', 'registry')} SELECT 'files' AS metric, count(*) AS n FROM a_files UNION ALL SELECT 'deleted', count(*) FROM a_files WHERE is_deleted UNION ALL SELECT 'timeline_events', count(*) FROM a_events UNION ALL SELECT 'log_events', count(*) FROM a_events UNION ALL SELECT 'registry_values', count(*) FROM a_registry UNION ALL SELECT 'findings', count(*) FROM ({F}) z UNION ALL SELECT 'severity_' || severity, count(*) FROM ({F}) z GROUP BY severity"
 O["finding_export_rows"] = f"WITH h AS (SELECT DISTINCT 'host-' || (user_id % 6) host_id, 'Host ' || (user_id % 6) n FROM events) SELECT strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso, 'Critical' AS severity, 'Actions on Objectives' AS phase, attack_id, 'Indicator Removal: Clear Windows Event Logs' AS attack_name, title, n AS host FROM ({d.ORACLES['log_cleared']}) z JOIN h USING (host_id)"
 O["timeline_export_rows"] = f"{cte('shell_history', 'hosts')} SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso, 'SHELL' AS source, 'C' AS macb, '' AS event_id, \"user\" || '$ ' || command AS path, CAST(0 AS BIGINT) AS size, 'false' AS deleted, display_name AS host FROM a_shell_history JOIN a_hosts USING (host_id) WHERE timestamp IS NOT NULL"
