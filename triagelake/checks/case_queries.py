@@ -213,6 +213,7 @@ QUERIES = {
     "scan_lease_addresses": _case(lambda t: linux_config.lease_addresses(lines(t, "lease")).select("host_id", "line_no", "ip")),
     "scan_security_log": _case(lambda t: us(macos_text.security_log(lines(t, "security"), "s", 2024).select("host_id", "kind", "severity", "timestamp", "message", "path"), "timestamp")),
     "scan_bodyfile": _case(lambda t: us(src.bodyfile(lines(t, "body")).select("host_id", "path", "symlink_target", "inode", "size", "is_directory", "modified", "created"), "modified", "created")),
+    "scan_bodyfile_files": _case(lambda t: us(src.bodyfile_files(src.bodyfile(lines(t, "body")), 3).select("host_id", "name", "parent_path", "meta_addr", "fs_id", "size", "is_directory", "modified"), "modified")),
     "scan_routing": _case(lambda t: linux_config.route_files(t["files"]).select("host_id", "id", "artifact")),
     "scan_amcache": _case(lambda t: us(src.amcache(t["registry"]).select("host_id", "name", "full_path", "sha1", "size", "registered_at", "source"), "registered_at")),
     "scan_powerlog_clock": _case(lambda t: us(src.correct_clock(

@@ -243,6 +243,7 @@ O["scan_authorized_keys"] = f"SELECT {H} AS host_id, 'user' || (user_id % 6) AS
 O["scan_lease_addresses"] = f"SELECT {H} AS host_id, event_id AS line_no, '10.0.0.' || (event_id % 250) AS ip FROM events WHERE event_id % 2 = 0"
 O["scan_security_log"] = f"SELECT {H} AS host_id, {arms(4, [q('xprotect'), q('gatekeeper'), 'NULL', q('syspolicyd')])} AS kind, {arms(4, [q('detected'), q('blocked'), 'NULL', q('allowed')])} AS severity, {arms(4, [q('XProtect[3]: malware detected in /Users/a/x.app now'), q('Gatekeeper: blocked by policy'), 'NULL', q('syspolicyd: assessment passed')])} || ' n' || event_id AS message, CASE WHEN event_id % 4 = 0 THEN '/Users/a/x.app' END AS path, {TUS} AS timestamp_us FROM events WHERE event_id % 4 <> 2"
 O["scan_bodyfile"] = f"SELECT {H} AS host_id, '/Users/a|b/f' || event_id AS path, CASE WHEN event_id % 3 = 0 THEN '/t' END AS symlink_target, event_id + 1 AS inode, event_id * 2 AS size, event_id % 3 = 2 AS is_directory, (1700000000 + event_id) * 1000000 + 250000 AS modified_us, CASE WHEN event_id % 2 = 1 THEN 1700000300000000 END AS created_us FROM events"
+O["scan_bodyfile_files"] = f"SELECT host_id, regexp_extract(path, '([^/]+)/*$', 1) AS name, regexp_replace(regexp_replace(path, '/+$', ''), '[^/]+$', '') AS parent_path, inode AS meta_addr, CAST(3 AS BIGINT) AS fs_id, size, is_directory, modified_us FROM ({O['scan_bodyfile']}) b"
 O["scan_routing"] = f"{cte('files')} SELECT host_id, id, art AS artifact FROM (SELECT *, CASE WHEN contains({LF}, '/var/log/') AND name = 'auth.log' THEN 'auth' WHEN contains({LF}, '/etc/cron.d/') THEN 'cron' END art FROM a_files WHERE NOT is_directory AND NOT is_deleted AND size > 0 AND NOT ends_with(name, '-slack')) z WHERE art IS NOT NULL"
 AV = lambda n: f"min(CASE WHEN name = {q(n)} THEN trim(data) END)"
 O["scan_amcache"] = rf"""{cte('registry')} SELECT host_id, coalesce(regexp_extract(fp, '([^\\/]+)$', 1), regexp_extract(path, '([^\\]+)$', 1)) AS name, fp AS full_path, sha AS sha1, sz AS size, CASE WHEN mod THEN 'inventoryApplicationFile' ELSE 'legacyFile' END AS source, epoch_us(ra) AS registered_at_us FROM

@@ -121,8 +121,8 @@ def time_shard(ts: Column, seconds: float) -> Column:
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str = "_rank") -> DataFrame:
-    """The first n rows of each key. The rank filter is applied before the shuffle too,
-    so a task receives at most n rows per key and map task however large the key is."""
+    """The first n rows of each key. Up to Spark's group-limit threshold (n = 1,000) the rank filter is applied before
+    the shuffle too, so a task receives at most n rows per key and map task however large the key is."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 

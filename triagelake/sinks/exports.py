@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,10 +91,24 @@ def csv_record(row: DataFrame) -> Column:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header, CRLF line ends and guarded fields, written by all tasks."""
-    guarded = rows.select(*[guard(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in rows.columns])
-    writer = guarded.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-    writer.csv(path)
+    """CSV with a header in every file, CRLF line ends and guarded fields, written by all tasks (`part-*.txt`).
+
+    Lines are composed here and written as text, as Spark's CSV writer turns line feeds inside of fields into CRLF.
+    """
+    header = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\r\n') else c for c in rows.columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() == 0
+        for batch in batches:
+            if first is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+                first = None
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+
+    lines = rows.select(csv_record(rows).alias("value")).mapInArrow(headed, "value string")
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

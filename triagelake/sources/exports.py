@@ -67,8 +67,13 @@ def extract_info(files: DataFrame, file_systems: DataFrame) -> DataFrame:
 
 
 def folder_listing(spark: SparkSession, root: str, host_id: str) -> DataFrame:
-    """Files below a folder. Only names, sizes and times are read, never the bytes."""
+    """Files below a folder. Only names, sizes and times are read, never the bytes; empty files come without a time."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    # Spark's file sources leave empty files out; they are taken from the list of files that the reader holds anyway.
+    named = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
+    plain = F.regexp_replace("path", "^([a-z0-9]+:)/*", "$1/")
+    empty = named.withColumn("path", plain).join(raw.select(plain.alias("path")), "path", "left_anti")
+    raw = raw.unionByName(empty.withColumn("length", F.lit(0).cast("bigint")), allowMissingColumns=True)
     base = root.rstrip("/").split(":", 1)[-1]
     rel = F.concat(F.lit("/"), F.regexp_replace("path", rf"^[a-z0-9]*:?/*{base.lstrip('/')}/*", ""))
     name = F.regexp_extract(rel, r"([^/]+)$", 1)
