@@ -49,8 +49,8 @@ def test_three_gigabytes_in_little_memory(tmp_path):
         f.write(os.urandom(1 << 16))
         f.truncate(3 << 30)
     code = (
-        "import resource, sys; from triagelake.sources import contents as c; c.open_file(sys.argv[1]).close(); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
-        "s = c.sampled(sys.argv[1], 65536, 512); d = c.digested(sys.argv[1], ('sha1',)); b = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "import sys; from triagelake.sources import contents as c; peak = lambda: int(next(x for x in open('/proc/self/status') if x.startswith('VmHWM')).split()[1]);"
+        "c.open_file(sys.argv[1]).close(); a = peak(); s = c.sampled(sys.argv[1], 65536, 512); d = c.digested(sys.argv[1], ('sha1',)); b = peak();"
         "print(s['size'], round(s['h']), d['size'], b // 1024, (b - a) // 1024)"
     )
     out = subprocess.run([sys.executable, "-c", code, path], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(__file__))})
