@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.graph import Forest, components
 from triagelake.llm.shared import quoted, stored, table, text_key
-from triagelake.llm.textcore import byte_hash, list_of, mix, ngrams, slices, span_hash, utf8, words
+from triagelake.llm.textcore import byte_hash, list_of, mix, ngrams, released, slices, span_hash, utf8, words
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Hash functions at most; the longest bands that reach the recall within them are taken.
@@ -82,7 +82,7 @@ def mix_light(h: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, n: int) -> Iterator[pa.RecordBatch]:
     """Rows with words: doc_id, text_key, digest of the words, band hashes."""
-    for batch in batches:
+    for batch in released(batches):
         data, offsets, _ = utf8(batch.column("text"))
         raw = data.tobytes()
         for i, j in slices(offsets):
@@ -98,7 +98,7 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int, n: int) ->
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Shingle sets of nodes, each node once per task."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in released(batches):
         nodes = batch.column("node").to_pylist()
         fresh = [k for k, node in enumerate(nodes) if node not in seen and not seen.add(node)]
         batch = batch.take(pa.array(fresh, pa.int64()))

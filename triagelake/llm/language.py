@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm.shared import packed, table, unpacked
-from triagelake.llm.textcore import list_of, slices, utf8
+from triagelake.llm.textcore import list_of, released, slices, utf8
 
 UNKNOWN = "und"
 
@@ -80,7 +80,7 @@ def _crossing(offsets: np.ndarray, order: int, n: int) -> np.ndarray:
 
 def features(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """Counts of each text's buckets, for training."""
-    for batch in batches:
+    for batch in released(batches):
         data, offsets, _ = utf8(batch.column("text"))
         keys, counts, ends = [], [], [0]
         for i in range(len(offsets) - 1):
@@ -124,9 +124,12 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model | None:
         return None
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
+        parts = list(released(batches))
         if parts:
-            m = fit(pa.Table.from_batches(parts).sort_by("pick"), s)
+            rows_ = pa.Table.from_batches(parts).sort_by("pick")
+            parts.clear()  # only the sorted copy stays while it trains
+            pa.default_memory_pool().release_unused()
+            m = fit(rows_, s)
             yield pa.RecordBatch.from_arrays([pa.array([list(m.langs)]), pa.array([m.scores.tobytes()]), pa.array([m.bias.tolist()]), pa.array([m.temperature])], ["langs", "scores", "bias", "temperature"])
 
     features_ = rows.mapInArrow(lambda b: features(b, s), "lang string, pick long, keys array<int>, counts array<int>")
@@ -180,7 +183,7 @@ def fit(sample: pa.Table, s: Settings) -> Model:
 
 def score_batches(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
     langs = np.array(m.langs, dtype=object)
-    for batch in batches:
+    for batch in released(batches):
         data, offsets, _ = utf8(batch.column("text"))
         best, conf = np.zeros(len(batch), np.int64), np.zeros(len(batch))
         for i, j in slices(offsets):

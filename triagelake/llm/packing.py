@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from triagelake.llm.shared import table
-from triagelake.llm.textcore import byte_hash, slices, utf8
+from triagelake.llm.textcore import byte_hash, released, slices, utf8
 from triagelake.llm.transducer import character_classes, pretokens
 
 WIDTH = 2048
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, width: int = WIDTH, path: str | None = None, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(width, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32)
-        for batch in batches:
+        for batch in released(batches):
             data, offsets, _ = utf8(batch.column("text"))
             names = batch.column("doc_id").to_pylist()
             for i, j in slices(offsets):

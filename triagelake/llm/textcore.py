@@ -35,6 +35,18 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0], valid
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before each next one and at the end, memory that Arrow has freed but kept goes back to the system.
+
+    A Python worker outlives its task, so what it keeps would stand beside the memory of all later stages.
+    """
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        yield batch
+    batch = None
+    pa.default_memory_pool().release_unused()
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `limit` bytes; a longer row alone."""
     i, n = 0, len(offsets) - 1
