@@ -86,3 +86,29 @@ def test_runs_merge_where_they_lie(spark):
         runs.forget()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_writes_are_few(spark, monkeypatch):
+    """A run is written once, merged already; lines make one file a task. Before, six batches wrote 17 tables."""
+    tables, files = [], []
+    write, stored = lines.Runs.write, lines.stored
+    monkeypatch.setattr(lines.Runs, "write", lambda self, df: tables.append(1) or write(self, df))
+
+    def noted(df, name, *by):
+        out = stored(df, name, *by)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(lines, "stored", noted)
+    rows = corpus()
+    assert result(lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
+    assert len(tables) == 7
+    assert [n for n, _ in files] == ["lines", "repeated"] and files[0][1] <= 5
+
+
+def test_settled_keys_are_still_found_hot(spark):
+    runs = lines.Runs(spark)
+    for hot in (False, True, False, False):
+        runs.add(spark.sql(f"SELECT 1L hi, 2L lo, 3L n, 9L last, {hot} hot UNION ALL SELECT 5L, 6L, 1L, 9L, false"))
+    assert sorted((r["hi"], r["n"], r["hot"]) for r in runs.whole().collect()) == [(1, 6, True), (5, 3, False)]
+    runs.forget()

@@ -4,10 +4,12 @@ Documents arrive in batches, the largest ids first. A batch's lines become one e
 many documents it stands and the largest of them. The batch is merged against the runs written so far and anti-joined
 with the keys that are settled there, that is, known from enough documents: since ids fall from batch to batch, nothing
 can change for those. What is left becomes a run of its own. A level holds one run at most: a second one is merged with
-it into a run of the next level. All runs merged say which keys repeat and which document keeps them.
+it into a run of the next level, before it is written. All runs merged say which keys repeat and which document keeps them.
 
 A run is a table bucketed and sorted by the hash, with as many buckets as the session's shuffles have partitions. So a
-batch's entries are written where their aggregation left them, and a merge with the runs moves no entry.
+batch's entries are written where their aggregation left them, and a merge with the runs moves no entry. Each table is
+as many files as buckets, and a file costs its writer several processes where Hadoop has no native library; so only runs
+are written.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm.shared import HOT_SHARE, join_hot_apart, packed, shared_folder, stored, table, text_key, unpacked
-from triagelake.llm.textcore import slices, utf8
+from triagelake.llm.textcore import released, slices, utf8
 
 #: Shorter keys (in code points) always stay.
 LEAST_POINTS = 20
@@ -40,7 +42,7 @@ def key_of(line: bytes) -> bytes:
 
 def line_keys(batches: Iterator[pa.RecordBatch], least_points: int) -> Iterator[pa.RecordBatch]:
     """For each row of doc_id, text_key, text its distinct long keys' hashes and the numbers of their lines."""
-    for batch in batches:
+    for batch in released(batches):
         data, offsets, _ = utf8(batch.column("text"))
         for i, j in slices(offsets):
             digests, rows, lines = [], [], []
@@ -62,7 +64,8 @@ def line_keys(batches: Iterator[pa.RecordBatch], least_points: int) -> Iterator[
 
 
 class Runs:
-    """Levelled sorted runs of (hi, lo, n, last): in how many documents a key stands, and the largest doc_id of them."""
+    """Levelled sorted runs of (hi, lo, n, last, hot): in how many documents a key stands, the largest doc_id of them,
+    and whether it is hot in some batch."""
 
     def __init__(self, spark: SparkSession, settled: int = LEAST_DOCUMENTS):
         self.spark, self.settled = spark, settled
@@ -81,33 +84,36 @@ class Runs:
         return [run for run in self.levels if run is not None]
 
     def fresh(self, entries: DataFrame) -> DataFrame:
-        """The entries whose key isn't settled by the runs."""
+        """The entries whose key isn't settled by the runs; hot ones stay in any case, to be known as such."""
+        if "hot" not in entries.columns:
+            entries = entries.withColumn("hot", F.lit(False))
         known = F.lit(0)
         for i, run in enumerate(self.runs()):
             entries = entries.join(run.select(*KEY, F.col("n").alias(f"n{i}")), KEY, "left")
             known = known + F.coalesce(f"n{i}", F.lit(0))
-        return entries.filter(known < self.settled).select(*KEY, "n", "last")
+        return entries.filter((known < self.settled) | F.col("hot")).select(*KEY, "n", "last", "hot")
 
     def merged(self, one: DataFrame, two: DataFrame) -> DataFrame:
         """Two runs as one. A full outer join of equal buckets, as a union would not keep them together."""
         n = F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))
-        return self.write(one.alias("a").join(two.alias("b"), KEY, "full").select(*KEY, n.alias("n"), F.greatest("a.last", "b.last").alias("last")))
+        hot = F.coalesce("a.hot", F.lit(False)) | F.coalesce("b.hot", F.lit(False))
+        return one.alias("a").join(two.alias("b"), KEY, "full").select(*KEY, n.alias("n"), F.greatest("a.last", "b.last").alias("last"), hot.alias("hot"))
 
     def add(self, entries: DataFrame) -> None:
-        """Adds the unsettled entries of a batch as a run, and compacts the levels that hold one already."""
-        run = self.write(self.fresh(entries))
+        """Adds the unsettled entries of a batch as a run, compacted with the levels that hold one already."""
+        run = self.fresh(entries)
         for at, other in enumerate(self.levels):
             if other is None:
-                self.levels[at] = run
+                self.levels[at] = run if at else self.write(run)
                 return
-            run, self.levels[at] = self.merged(other, run), None
-        self.levels.append(run)
+            run, self.levels[at] = self.write(self.merged(other, run)), None
+        self.levels.append(run if self.levels else self.write(run))
 
     def whole(self) -> DataFrame:
-        """All runs as one, the smallest levels first."""
+        """All runs as one, the smallest levels first; the last merge is left to the reader."""
         first, *rest = self.runs()
-        for run in rest:
-            first = self.merged(run, first)
+        for i, run in enumerate(rest):
+            first = self.merged(run, self.write(first) if i else first)
         return first
 
     def forget(self) -> None:
@@ -130,27 +136,27 @@ def repeated_lines(docs: DataFrame, least_points: int = LEAST_POINTS, least_docu
     spark = docs.sparkSession
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text").filter(F.length("text") >= least_points)
     found = keyed.mapInArrow(lambda b: line_keys(b, least_points), "hi long, lo long, doc_id long, text_key long, lines array<int>")
-    lines = stored(found.withColumn("batch", batch_of(docs, batches)), "lines", "batch")
+    # In order of the batch, so that a batch's read skips the other pages, and a task writes one file.
+    lines = stored(found.withColumn("batch", batch_of(docs, batches)).sortWithinPartitions("batch"), "lines")
     sizes = {r["batch"]: r["count"] for r in lines.groupBy("batch").count().collect()}
-    runs, hot = Runs(spark, least_documents), None
+    if not sizes:
+        return lines.select("doc_id", "text_key", F.array("lines").alias("drops"))
+    runs = Runs(spark, least_documents)
     for number in sorted(sizes):
         # Distinct documents first, so that a key of a third of all documents is counted before its entries meet.
         own = lines.filter(F.col("batch") == number).groupBy(*KEY, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-        entries = runs.write(own.groupBy(*KEY).agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"), F.sum("rows").alias("rows")))
         # A key with more than its share of all rows has more than that share in some batch: under HOT_SHARE keys a batch.
-        some = stored(entries.filter(F.col("rows") * HOT_SHARE > sizes[number]).select(*KEY), "hot")
-        hot = some if hot is None else hot.unionAll(some)
-        runs.add(entries)
-    if hot is None:
-        return lines.select("doc_id", "text_key", F.array("lines").alias("drops"))
-    verdict = stored(runs.whole().filter(F.col("n") >= least_documents).select(*KEY, "last"), "repeated")
+        hot = F.sum("rows") * HOT_SHARE > sizes[number]
+        runs.add(own.groupBy(*KEY).agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last"), hot.alias("hot")))
+    known = stored(runs.whole().filter((F.col("n") >= least_documents) | F.col("hot")), "repeated")
     runs.forget()
-    gone = join_hot_apart(lines.drop("batch"), verdict, hot.distinct(), KEY).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    verdict = known.filter(F.col("n") >= least_documents).select(*KEY, "last")
+    gone = join_hot_apart(lines.drop("batch"), verdict, known.filter("hot").select(*KEY), KEY).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set("lines").alias("drops"))
 
 
 def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         data, offsets, valid = utf8(batch.column("text"))
         others = [c for c in batch.schema.names if c not in ("text", "drops")]
         for i, j in slices(offsets):
