@@ -112,3 +112,29 @@ def test_settled_keys_are_still_found_hot(spark):
         runs.add(spark.sql(f"SELECT 1L hi, 2L lo, 3L n, 9L last, {hot} hot UNION ALL SELECT 5L, 6L, 1L, 9L, false"))
     assert sorted((r["hi"], r["n"], r["hot"]) for r in runs.whole().collect()) == [(1, 6, True), (5, 3, False)]
     runs.forget()
+
+
+def test_a_run_is_a_file_a_bucket(spark, monkeypatch):
+    """Buckets follow the rows. Before, a run was as many files as the session's shuffles have partitions."""
+    files, write = [], lines.Runs.write
+
+    def noted(self, df):
+        out = write(self, df)
+        files.append((self.buckets, [name.rsplit("_", 1)[1][:5] for name in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(lines.Runs, "write", noted)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    try:
+        for shuffles, limit in (("11", 1 << 19), ("3", 40)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            monkeypatch.setattr(lines, "BUCKET_ROWS", limit)
+            files.clear()
+            assert result(lines.drop_repeated_lines(docs)) == want
+            assert len(files) == 7 and all(len(names) == len(set(names)) <= buckets for buckets, names in files), files
+            assert (files[0][0] == 1) == (limit > 40)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)

@@ -6,10 +6,10 @@ with the keys that are settled there, that is, known from enough documents: sinc
 can change for those. What is left becomes a run of its own. A level holds one run at most: a second one is merged with
 it into a run of the next level, before it is written. All runs merged say which keys repeat and which document keeps them.
 
-A run is a table bucketed and sorted by the hash, with as many buckets as the session's shuffles have partitions. So a
-batch's entries are written where their aggregation left them, and a merge with the runs moves no entry. Each table is
-as many files as buckets, and a file costs its writer several processes where Hadoop has no native library; so only runs
-are written.
+A run is a table bucketed and sorted by the hash. A file costs its writer several processes where Hadoop has no native
+library, so only runs are written, and their buckets follow the number of rows, not the session's shuffles: entries move
+into the buckets when they are written, one task and one file a bucket. Runs merge with each other where they lie; beside
+a batch that lies in more partitions than there are buckets, a run's entries move once more.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ LEAST_POINTS = 20
 #: A key in so many documents loses its lines but for those of the last document.
 LEAST_DOCUMENTS = 3
 BATCHES = 6
+#: Rows of lines for each bucket of a run, which has at most an entry for each.
+BUCKET_ROWS = 1 << 19
 WHITE = b" \t\n\x0b\x0c\r"
 KEY = ["hi", "lo"]
 
@@ -67,16 +69,19 @@ class Runs:
     """Levelled sorted runs of (hi, lo, n, last, hot): in how many documents a key stands, the largest doc_id of them,
     and whether it is hot in some batch."""
 
-    def __init__(self, spark: SparkSession, settled: int = LEAST_DOCUMENTS):
+    def __init__(self, spark: SparkSession, settled: int = LEAST_DOCUMENTS, rows: int = 0):
+        """rows: of all batches."""
         self.spark, self.settled = spark, settled
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = -(-rows // BUCKET_ROWS) or 1
         self.levels: list[DataFrame | None] = []
         self.tables: list[str] = []
 
     def write(self, entries: DataFrame) -> DataFrame:
-        """Entries as a bucketed and sorted table in the shared folder."""
+        """Entries as a bucketed and sorted table in the shared folder, one file a bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
-        entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{shared_folder(self.spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+        # The hash by which Spark names a bucket.
+        placed = entries.repartitionById(self.buckets, F.pmod(F.hash(*KEY), F.lit(self.buckets)))
+        placed.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{shared_folder(self.spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -141,7 +146,7 @@ def repeated_lines(docs: DataFrame, least_points: int = LEAST_POINTS, least_docu
     sizes = {r["batch"]: r["count"] for r in lines.groupBy("batch").count().collect()}
     if not sizes:
         return lines.select("doc_id", "text_key", F.array("lines").alias("drops"))
-    runs = Runs(spark, least_documents)
+    runs = Runs(spark, least_documents, sum(sizes.values()))
     for number in sorted(sizes):
         # Distinct documents first, so that a key of a third of all documents is counted before its entries meet.
         own = lines.filter(F.col("batch") == number).groupBy(*KEY, "doc_id").agg(F.count(F.lit(1)).alias("rows"))
