@@ -76,6 +76,36 @@ def test_spread_burst_equals_loop(spark):
         assert {r["k"]: (r["n_values"], r["n_rows"], r["f"]) for r in got.withColumn("f", F.timestamp_micros("first_us")).collect()} == want
 
 
+def test_largest_window_equals_loop(spark):
+    for seed, width, shift in ((6, 90, 0), (7, 0, 0), (8, 40, -1_700_000_000 - 1500)):
+        rows = [(k, t + timedelta(seconds=shift), i) for k, t, i, _ in burst_rows(spark, seed)[0]] + [(None, at(5), 7)] * 3 + [("late", None, 1)] * 4
+        want = {}
+        for key in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == key and r[1] is not None), key=lambda r: r[1])
+            windows_ = [[x for x in mine if 0 <= (r[1] - x[1]).total_seconds() <= width] for r in mine]
+            if best := max((w for w in windows_ if len(w) >= 3), key=len, default=None):
+                want[key] = (len(best), best[0][1], best[-1][1], min(r[2] for r in best if r[1] == best[0][1]))
+        got = bursts.largest_window(spark.createDataFrame(rows, "k string, ts timestamp, rn long"), ["k"], "ts", 3, width, F.min("rn"))
+        got = got.withColumn("f", F.timestamp_micros("first_us")).withColumn("l", F.timestamp_micros("last_us"))
+        assert {r["k"]: (r["n_rows"], r["f"], r["l"], r["extra"]) for r in got.collect()} == want and len(want) > 3
+
+
+def test_largest_window_does_not_walk_its_frames(spark):
+    # Spark adds up a range frame anew for each row, which is quadratic in the rows of a window.
+    plan = bursts.largest_window(burst_rows(spark, 9)[1], ["k"], "ts", 3, 90)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" not in plan and "RowFrame" in plan
+
+
+def test_recycle_burst_reads_its_table_once(spark):
+    ddl = "host_id string, original_path string, deleted_at timestamp, size_bytes long, recycled_name string, sid string, source_file string"
+    rows = [(h, "a", at(i), 1, "$R", "s", f) for h, f in (("h", "$I2"), ("h", "$I1"), ("e", ""), (None, "$I1")) for i in range(20)]
+    df = windows.recycle_bin_burst({"recycle_bin": table(spark, "recycle_bin", rows, ddl)}, threshold=20)
+    assert {r["host_id"]: (r["title"].split(": ")[1], r["evidence"]) for r in df.collect()} == {
+        "h": ("40 deletes", ["$I1"]), "e": ("20 deletes", ["$Recycle.Bin"]), None: ("20 deletes", ["$Recycle.Bin"]),
+    }
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_sessions_and_gaps(spark):
     df = spark.createDataFrame([("h", at(60 * m)) for m in (0, 5, 10, 250, 255)], "host_id string, date timestamp")
     assert sorted(r["count"] for r in gaps.sessions(df).collect()) == [2, 3]
